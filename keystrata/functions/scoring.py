@@ -27,7 +27,8 @@ def confidence_level(score: Column) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """Bounded value; null stays null (greatest and least alone would skip it)."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def severity(score: Column) -> Column:

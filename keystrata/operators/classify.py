@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.dims import policy, small
+from keystrata.dims import aliases, policy, small
 from keystrata.functions.binding import bind
-from keystrata.functions.naming import contains_any, is_pqc
+from keystrata.functions.naming import contains_any, starts_with_any
 from keystrata.functions.text import lookup
 
 CLASSIFIED = [
@@ -16,12 +16,23 @@ CLASSIFIED = [
 ]
 
 
+def with_upper(assets: DataFrame) -> DataFrame:
+    """Adds the upper-cased name and family the rules test. The rules are evaluated in
+    several bound steps: one large expression would compile to a method the JVM refuses
+    to optimise."""
+    return bind(
+        assets,
+        _ua=F.upper(F.coalesce("algorithm", F.lit(""))),
+        _uf=F.upper(F.coalesce("algorithm_family", F.lit(""))),
+    )
+
+
 def _alg() -> Column:
-    return F.upper(F.coalesce("algorithm", F.lit("")))
+    return F.col("_ua")
 
 
 def _family() -> Column:
-    return F.upper(F.coalesce("algorithm_family", F.lit("")))
+    return F.col("_uf")
 
 
 def _has(*parts: str) -> Column:
@@ -97,26 +108,39 @@ def _public_key_rule() -> Column:
         .when(curve.isin(list(policy.CURVE_BITS)), "public:SECURE:known")
         .otherwise("public:UNKNOWN:known")
     )
-    return F.when(_uses_modulus(), by_key).when(_uses_curve(), by_curve).otherwise("public:UNKNOWN:open")
+    return F.when(F.col("_modulus"), by_key).when(F.col("_curved"), by_curve).otherwise("public:UNKNOWN:open")
 
 
-def classification_rule() -> Column:
-    """The rule an asset falls under; the first that applies, in this order."""
+def with_rule(assets: DataFrame) -> DataFrame:
+    """Adds ``_rule``, the first rule that applies to an asset, in the order below."""
     prim = F.col("primitive_type")
     hashes = [h[0] for h in policy.HASH_PROFILES]
-    return (
+    public = prim.isin("ASYMMETRIC_ENCRYPTION", "DIGITAL_SIGNATURE", "KEY_EXCHANGE")
+    df = with_upper(assets)
+    df = bind(
+        df,
+        _pqc=starts_with_any(_alg(), aliases.PQC_PREFIXES) | _family().isin(aliases.PQC_PREFIXES),
+        _modulus=public & _uses_modulus(),
+        _curved=public & _uses_curve(),
+    )
+    df = bind(
+        df,
+        _keyed=F.when(prim == "MAC", _mac_rule()).when(prim == "KDF", _kdf_rule()),
+    )
+    df = bind(
+        df,
+        _by_kind=F.when(prim == "SYMMETRIC_CIPHER", _cipher_rule()).when(public, _public_key_rule()),
+    )
+    rule = (
         F.when(prim.isin(policy.NOT_CLASSIFIED_PRIMITIVES), "none")
-        .when(F.coalesce("algorithm", F.lit("")).isin("", "Unknown Algorithm", "UNKNOWN"), "unknown")
-        .when(is_pqc(F.col("algorithm")) | _family().isin("ML-KEM", "ML-DSA", "SLH-DSA"), "pqc")
+        .when(_alg().isin("", "UNKNOWN ALGORITHM", "UNKNOWN"), "unknown")
+        .when(F.col("_pqc"), "pqc")
         .when(prim == "PROTOCOL", "protocol")
         .when((prim == "HASH_FUNCTION") & F.col("algorithm").isin(hashes), F.concat(F.lit("hash:"), F.col("algorithm")))
         .when(prim == "HASH_FUNCTION", "hash:?")
-        .when(prim == "SYMMETRIC_CIPHER", _cipher_rule())
-        .when(prim == "MAC", _mac_rule())
-        .when(prim == "KDF", _kdf_rule())
-        .when(prim.isin("ASYMMETRIC_ENCRYPTION", "DIGITAL_SIGNATURE", "KEY_EXCHANGE"), _public_key_rule())
-        .otherwise("unknown")
+        .otherwise(F.coalesce("_keyed", "_by_kind", F.lit("unknown")))
     )
+    return bind(df, _rule=rule)
 
 
 def classify(assets: DataFrame, notes: bool = True) -> DataFrame:
@@ -127,7 +151,7 @@ def classify(assets: DataFrame, notes: bool = True) -> DataFrame:
     quantum bits at all.
     """
     dim = small(assets.sparkSession, policy.classification_rows())
-    df = bind(assets, _rule=classification_rule())
+    df = with_rule(assets)
     df = df.join(dim, df["_rule"] == dim["rule"], "left")
     key = F.col("key_length_bits")
     aes = F.startswith(F.col("_rule"), F.lit("aes:"))
@@ -139,8 +163,8 @@ def classify(assets: DataFrame, notes: bool = True) -> DataFrame:
         F.col("threat").alias("quantum_threat_type"),
         F.col("quantum").alias("quantum_security_status"),
         F.when(aes, key)
-        .when(public & _uses_modulus(), _modulus_bits(key))
-        .when(public & _uses_curve(), lookup(F.col("curve"), policy.CURVE_BITS))
+        .when(public & F.col("_modulus"), _modulus_bits(key))
+        .when(public & F.col("_curved"), lookup(F.col("curve"), policy.CURVE_BITS))
         .otherwise(F.col("classical_bits"))
         .cast("int")
         .alias("effective_classical_security_bits"),

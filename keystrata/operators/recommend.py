@@ -12,68 +12,77 @@ from keystrata.functions.text import lookup
 
 
 def _alg() -> Column:
-    return F.upper("algorithm")
+    return F.col("_ua")
 
 
 def _has(*parts: str) -> Column:
     return contains_any(_alg(), list(parts))
 
 
-def _family() -> Column:
+def _family_of(name: Column) -> Column:
     """Name up to the first -, else up to the first _, else up to the first /."""
-    name = F.trim(_alg())
-    cut = (
-        F.when(F.contains(name, F.lit("-")), "-").when(F.contains(name, F.lit("_")), "_").otherwise("/")
-    )
+    cut = F.when(F.contains(name, F.lit("-")), "-").when(F.contains(name, F.lit("_")), "_").otherwise("/")
     return F.split_part(name, cut, F.lit(1))
 
 
+def _family() -> Column:
+    return F.col("_first")
+
+
 def _signature_rule() -> Column:
     return F.when(_has("ECDSA", "ED25519", "ED448"), "signature:hybrid").otherwise("signature:direct")
 
 
-def recommendation_rule() -> Column:
-    """The rule an asset falls under; risk and urgency play no part in it."""
-    prim, key, name = F.col("primitive_type"), F.col("key_length_bits"), F.trim(_alg())
+def with_recommendation_rule(assets: DataFrame) -> DataFrame:
+    """Adds ``_rule``, the first rule that applies; risk and urgency play no part in it."""
+    prim, key = F.col("primitive_type"), F.col("key_length_bits")
     shor = F.coalesce(F.col("quantum_threat_type") == "SHOR_POLYNOMIAL_BREAK", F.lit(False))
-    broken = name.isin(policy.BROKEN_NAMES_FOR_REPLACEMENT)
-    rsa_like = _family().isin(policy.ENCRYPTION_FAMILIES) | _has("RSA")
-    dh_like = _family().isin(policy.KEY_EXCHANGE_FAMILIES) | _has("DH")
-    signature_like = _family().isin(policy.SIGNATURE_FAMILIES)
+    broken = F.trim(_alg()).isin(policy.BROKEN_NAMES_FOR_REPLACEMENT)
     short_key = F.coalesce(key < 256, F.lit(False))
     long_key = F.coalesce(key >= 256, F.lit(False))
-    return (
+    df = bind(assets, _ua=F.upper("algorithm"))
+    df = bind(df, _first=_family_of(F.trim(_alg())), _broken=broken)
+    df = bind(
+        df,
+        _rsa=_family().isin(policy.ENCRYPTION_FAMILIES) | _has("RSA"),
+        _exchange=_family().isin(policy.KEY_EXCHANGE_FAMILIES),
+        _dh=_has("DH"),
+        _signs=_family().isin(policy.SIGNATURE_FAMILIES) | _has("DSA"),
+        _sign_rule=_signature_rule(),
+    )
+    rsa, exchange, dh, signs = F.col("_rsa"), F.col("_exchange"), F.col("_dh"), F.col("_signs")
+    df = bind(
+        df,
+        _public=F.when(prim == "CERTIFICATE", "certificate")
+        .when(prim == "KEY_MATERIAL",
+              F.when(rsa, "encryption").when(exchange | dh, "exchange")
+              .when(signs | _has("ED25519"), F.col("_sign_rule")).otherwise("unknown"))
+        .when(prim == "DIGITAL_SIGNATURE",
+              F.when(rsa | signs | _has("ED") | shor, F.col("_sign_rule")).otherwise("unknown"))
+        .when(prim == "KEY_EXCHANGE",
+              F.when(rsa, "encryption").when(exchange | dh | shor, "exchange").otherwise("unknown"))
+        .when(prim == "ASYMMETRIC_ENCRYPTION",
+              F.when(rsa, "encryption").when(exchange | _has("ECDH"), "exchange")
+              .when(shor, "encryption").otherwise("unknown")),
+    )
+    rule = (
         F.when(F.startswith(_alg(), F.lit("ML-KEM")), "pqc:203")
         .when(F.startswith(_alg(), F.lit("ML-DSA")), "pqc:204")
         .when(F.startswith(_alg(), F.lit("SLH-DSA")), "pqc:205")
         .when(prim.isin("LIBRARY", "RANDOM", "PROTOCOL"), "none")
         .when(prim == "HASH_FUNCTION",
-              F.when(broken, "hash:broken")
+              F.when(F.col("_broken"), "hash:broken")
               .when(_alg().isin(list(policy.HASH_UPGRADES)), "hash:upgrade")
               .otherwise("hash:fine"))
         .when(prim == "SYMMETRIC_CIPHER",
-              F.when(broken, "cipher:broken")
+              F.when(F.col("_broken"), "cipher:broken")
               .when(long_key, "cipher:fine")
               .when(_alg().isin(list(policy.CIPHER_UPGRADES)) | _has("128") | short_key, "cipher:upgrade")
               .otherwise("cipher:?"))
         .when(prim.isin("MAC", "KDF"), F.when(_has("MD5", "SHA1", "SHA-1"), "keyed:broken").otherwise("none"))
-        .when(prim == "CERTIFICATE", "certificate")
-        .when(prim == "KEY_MATERIAL",
-              F.when(rsa_like, "encryption")
-              .when(dh_like, "exchange")
-              .when(signature_like | _has("DSA", "ED25519"), _signature_rule())
-              .otherwise("unknown"))
-        .when(prim == "DIGITAL_SIGNATURE",
-              F.when(rsa_like | signature_like | _has("DSA", "ED") | shor, _signature_rule()).otherwise("unknown"))
-        .when(prim == "KEY_EXCHANGE",
-              F.when(rsa_like, "encryption").when(dh_like | shor, "exchange").otherwise("unknown"))
-        .when(prim == "ASYMMETRIC_ENCRYPTION",
-              F.when(rsa_like, "encryption")
-              .when(_family().isin(policy.KEY_EXCHANGE_FAMILIES) | _has("ECDH"), "exchange")
-              .when(shor, "encryption")
-              .otherwise("unknown"))
-        .otherwise("unknown")
+        .otherwise(F.coalesce("_public", F.lit("unknown")))
     )
+    return bind(df, _rule=rule)
 
 
 def _parameter_set(rule: Column) -> Column:
@@ -96,9 +105,8 @@ def recommend(assets: DataFrame, explain: bool = True) -> DataFrame:
     """Recommendation per asset. MACs and KDFs count as broken when their name holds a
     broken hash anywhere. Needs quantum_threat_type."""
     dim = small(assets.sparkSession, policy.recommendation_rows())
-    df = bind(
-        assets.select("asset_id", "algorithm", "primitive_type", "key_length_bits", "curve", "quantum_threat_type"),
-        _rule=recommendation_rule(),
+    df = with_recommendation_rule(
+        assets.select("asset_id", "algorithm", "primitive_type", "key_length_bits", "curve", "quantum_threat_type")
     )
     df = bind(df, _set=_parameter_set(F.col("_rule")))
     df = df.join(dim, df["_rule"] == dim["rule"], "left")

@@ -9,12 +9,13 @@ from keystrata.dims import policy, small
 from keystrata.functions.binding import bind
 from keystrata.functions.naming import contains_any, is_pqc
 from keystrata.functions.scoring import clamp, severity
+from keystrata.operators.classify import with_upper
 
 _SHOR, _RESISTANT, _BROKEN = "SHOR_POLYNOMIAL_BREAK", "QUANTUM_RESISTANT", "CLASSICALLY_BROKEN"
 
 
 def _alg() -> Column:
-    return F.upper("algorithm")
+    return F.col("_ua")
 
 
 def _has(*parts: str) -> Column:
@@ -26,34 +27,39 @@ def _is(column: str, value: str) -> Column:
     return F.coalesce(F.col(column) == value, F.lit(False))
 
 
-def risk_rule() -> Column:
-    """The branch an asset is scored by; the first that applies, in this order."""
+def with_risk_rule(assets: DataFrame) -> DataFrame:
+    """Adds ``_rule``, the branch an asset is scored by; the first that applies, in order."""
     prim, key = F.col("primitive_type"), F.col("key_length_bits")
     key_is = lambda n: F.coalesce(key == n, F.lit(False))
     safe_chacha = _is("quantum_security_status", "SAFE") & (_has("CHACHA") | _is("algorithm_family", "CHACHA"))
-    return (
+    df = bind(
+        with_upper(assets),
+        _broken=_is("classical_security_status", "BROKEN") | _is("quantum_threat_type", _BROKEN)
+        | F.upper("algorithm").isin(policy.BROKEN_NAMES_FOR_RISK),
+        _shor=_is("quantum_threat_type", _SHOR) | _is("quantum_security_status", "CRITICAL"),
+        _pqc=is_pqc(F.col("algorithm")) | (
+            _is("quantum_threat_type", _RESISTANT) & _is("quantum_security_status", "SAFE")
+            & prim.isin("ASYMMETRIC_ENCRYPTION", "DIGITAL_SIGNATURE", "KEY_EXCHANGE")
+        ),
+    )
+    df = bind(
+        df,
+        _cipher=F.when(_has("3DES", "DES3", "TRIPLEDES"), "3des")
+        .when(key_is(256) | safe_chacha, "cipher:256")
+        .when(key_is(128), "cipher:128")
+        .when(key_is(192), "cipher:192")
+        .otherwise("cipher:?"),
+        _hash=F.when(_has("384", "512", "SHA3", "SHA-3"), "hash:long")
+        .when(_has("256"), "hash:256")
+        .when(_has("224"), "hash:224"),
+    )
+    rule = (
         F.when(prim.isin("LIBRARY", "RANDOM"), "none")
-        .when(
-            _is("classical_security_status", "BROKEN") | _is("quantum_threat_type", _BROKEN)
-            | _alg().isin(policy.BROKEN_NAMES_FOR_RISK),
-            "broken",
-        )
-        .when(
-            is_pqc(F.col("algorithm"))
-            | (_is("quantum_threat_type", _RESISTANT) & _is("quantum_security_status", "SAFE")
-               & prim.isin("ASYMMETRIC_ENCRYPTION", "DIGITAL_SIGNATURE", "KEY_EXCHANGE")),
-            "pqc",
-        )
-        .when(_is("quantum_threat_type", _SHOR) | _is("quantum_security_status", "CRITICAL"), "shor")
-        .when(prim == "SYMMETRIC_CIPHER",
-              F.when(_has("3DES", "DES3", "TRIPLEDES"), "3des")
-              .when(key_is(256) | safe_chacha, "cipher:256")
-              .when(key_is(128), "cipher:128")
-              .when(key_is(192), "cipher:192")
-              .otherwise("cipher:?"))
-        .when((prim == "HASH_FUNCTION") & _has("384", "512", "SHA3", "SHA-3"), "hash:long")
-        .when((prim == "HASH_FUNCTION") & _has("256"), "hash:256")
-        .when((prim == "HASH_FUNCTION") & _has("224"), "hash:224")
+        .when(F.col("_broken"), "broken")
+        .when(F.col("_pqc"), "pqc")
+        .when(F.col("_shor"), "shor")
+        .when(prim == "SYMMETRIC_CIPHER", F.col("_cipher"))
+        .when(prim == "HASH_FUNCTION", F.coalesce("_hash", F.lit("unknown")))
         .when(prim.isin("KDF", "MAC"), F.when(_has("MD5", "SHA1", "SHA-1"), "keyed:broken").otherwise("keyed"))
         .when(prim == "PROTOCOL",
               F.when(_is("classical_security_status", "BROKEN"), "protocol:broken")
@@ -61,13 +67,14 @@ def risk_rule() -> Column:
               .otherwise("protocol"))
         .otherwise("unknown")
     )
+    return bind(df, _rule=rule)
 
 
 def _modifiers(rule: Column) -> list[tuple[Column, str, Column, float, str, str]]:
     """(condition, name, score, maximum, field, reason) of the parameter factors."""
     key = F.col("key_length_bits")
     shor, rsa = rule == "shor", _has("RSA")
-    curved = contains_any(F.upper(F.coalesce("algorithm_family", F.lit(""))), ["ECC", "ECDSA", "ECDH"]) | _has(
+    curved = contains_any(F.col("_uf"), ["ECC", "ECDSA", "ECDH"]) | _has(
         "ECC", "ECDSA", "ECDH"
     )
     ecb = rule.isin("cipher:256", "cipher:128", "cipher:?") & F.coalesce(F.upper("mode") == "ECB", F.lit(False))
@@ -88,11 +95,16 @@ def _modifiers(rule: Column) -> list[tuple[Column, str, Column, float, str, str]
     ]
 
 
-def _score() -> Column:
+def _scored(assets: DataFrame) -> DataFrame:
+    """Adds ``_rule``, the rule's base columns and risk_score."""
+    dim = small(assets.sparkSession, policy.risk_rows())
+    df = with_risk_rule(assets)
+    df = df.join(dim, df["_rule"] == dim["rule"], "left")
     total = F.col("base_score")
     for condition, _, value, *_rest in _modifiers(F.col("_rule")):
         total = total + F.when(condition, value).otherwise(0.0)
-    return F.round(clamp(total, 0.0, 100.0)).cast("int")
+    df = bind(df, _total=total)
+    return bind(df, risk_score=F.round(clamp(F.col("_total"), 0.0, 100.0)).cast("int"))
 
 
 def score_risk(assets: DataFrame, explain: bool = True) -> DataFrame:
@@ -101,17 +113,11 @@ def score_risk(assets: DataFrame, explain: bool = True) -> DataFrame:
     The score is the sum of the factors, clamped to 0-100. Discovery confidence is passed
     on and never scales the score. Needs the classification columns.
     """
-    dim = small(assets.sparkSession, policy.risk_rows())
-    carried = [c for c in (
-        "asset_id", "algorithm", "algorithm_family", "key_length_bits", "curve", "mode", "padding", "confidence_score",
-    ) if c in assets.columns]
-    df = bind(assets, _rule=risk_rule()).select(*carried, "_rule")
-    df = df.join(dim, df["_rule"] == dim["rule"], "left")
-    modifiers = _modifiers(F.col("_rule"))
-    score = _score()
-    base = [F.col("asset_id"), score.alias("risk_score"), severity(score).alias("severity")]
+    df = _scored(assets)
+    base = [F.col("asset_id"), F.col("risk_score"), severity(F.col("risk_score")).alias("severity")]
     if not explain:
         return df.select(*base)
+    modifiers = _modifiers(F.col("_rule"))
     factors = F.concat(
         F.transform("base_factors", lambda f: F.struct(
             f["name"].alias("name"), f["score"].alias("score"), f["maximum"].alias("maximum"),
@@ -143,9 +149,7 @@ def risk_factors(risk: DataFrame) -> DataFrame:
 def with_risk(assets: DataFrame) -> DataFrame:
     """Assets with risk_score and risk_severity. The score depends on the asset's own row,
     so it is computed beside it rather than joined back."""
-    dim = small(assets.sparkSession, policy.risk_rows()).select("rule", "base_score")
-    df = bind(assets, _rule=risk_rule())
-    df = bind(df.join(F.broadcast(dim), df["_rule"] == dim["rule"], "left"), risk_score=_score())
+    df = _scored(assets)
     return df.select(*assets.columns, "risk_score", severity(F.col("risk_score")).alias("risk_severity"))
 
 
