@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.functions.binding import bind
+
 # Marks the start of a match inside a text; private use, so neither a word nor a space character.
 MARK = ""
 _MARK_STAND_IN = ""
@@ -54,37 +56,49 @@ def marked(text: Column, regex: str) -> Column:
     return F.regexp_replace(F.translate(text, MARK, _MARK_STAND_IN), F.lit(f"({regex})"), F.lit(MARK + "$1"))
 
 
-def marked_hits(text: Column, regex: str) -> Column:
-    """Every match with its line, as array<struct<line, ordinal, symbol>>, in one pass
-    over the text. The regex may run over line ends; a match counts for the line it
-    starts on.
+def marked_hits(df: DataFrame, regex: str, take: str | None = None, text: str = "text") -> DataFrame:
+    """One row per match of ``regex`` in the text column: line, ordinal (within the line),
+    symbol, line_text and snippet replace the text; other columns stay.
+
+    The text is marked before each match and then cut into lines, so the line number is the
+    index of the piece and the work is linear in the text, however many matches there are.
+    The regex may run over line ends; a match counts for the line it starts on, and only
+    such a match looks at the lines that follow.
 
-    The text is marked before each match and then cut into lines, so the line number is
-    the index of the piece. Only for a match that does not end on its own line is the
-    rest of the text looked at again.
+    ``take`` is the regex to read from the mark on when it differs from what is marked (a
+    call's name is marked, its argument list read as well).
     """
-    lines = F.split(marked(text, regex), "\n", -1)
-    anchored = f"^(?:{regex})"
-
-    def per_line(line: Column, i: Column) -> Column:
-        pieces = F.split(line, MARK, -1)
-
-        def hit(piece: Column, k: Column) -> Column:
-            own = F.regexp_extract(piece, anchored, 0)
-            rest = F.regexp_extract(
-                F.translate(F.array_join(F.concat(F.array(piece), F.slice(lines, i + 2, F.size(lines))), "\n"), MARK, ""),
-                anchored, 0,
-            )
-            return F.struct(
-                (i + 1).cast("int").alias("line"),
-                k.cast("int").alias("ordinal"),
-                F.when(own != "", own).otherwise(rest).alias("symbol"),
-            )
-
-        hits = F.transform(F.slice(pieces, 2, F.size(pieces)), hit)
-        return F.when(F.contains(line, F.lit(MARK)), hits).otherwise(F.slice(hits, 1, 0))
-
-    return F.flatten(F.transform(lines, per_line))
+    anchored = f"^(?:{take or regex})"
+    rest = [c for c in df.columns if c != text]
+    df = bind(df, _lines=text_lines(F.col(text)))
+    df = bind(df, _marked=F.split(marked(F.col(text), regex), "\n", -1))
+    marked_lines = F.filter(
+        F.transform("_marked", lambda s, i: F.struct(i.alias("i"), s.alias("s"))),
+        lambda h: F.contains(h["s"], F.lit(MARK)),
+    )
+    rows = df.select(*rest, "_lines", F.explode(F.transform(marked_lines, lambda h: F.struct(
+        (h["i"] + 1).cast("int").alias("line"),
+        F.split(h["s"], MARK, -1).alias("pieces"),
+        F.get(F.col("_lines"), h["i"]).alias("line_text"),
+        snippet(F.col("_lines"), h["i"] + 1).alias("snippet"),
+        # Following lines are kept only where the last match of the line does not end on it.
+        F.when(
+            F.regexp_extract(F.substring_index(h["s"], MARK, -1), anchored, 0) == "",
+            F.translate(F.array_join(F.slice("_marked", h["i"] + 2, F.size("_marked")), "\n"), MARK, ""),
+        ).alias("after"),
+    ))).alias("_h"))
+    rows = rows.select(
+        *rest, "_h.line", "_h.line_text", "_h.snippet", "_h.after", F.col("_h.pieces").alias("_pieces"),
+        F.posexplode(F.slice("_h.pieces", 2, F.size("_h.pieces"))).alias("ordinal", "_piece"),
+    )
+    reach = F.col("_piece")
+    if take:  # may run past the next mark
+        reach = F.array_join(F.slice("_pieces", F.col("ordinal") + 2, F.size("_pieces")), "")
+    rows = bind(rows, _own=F.regexp_extract(reach, anchored, 0), _reach=reach)
+    symbol = F.when(F.col("_own") != "", F.col("_own")).otherwise(
+        F.regexp_extract(F.concat_ws("\n", "_reach", "after"), anchored, 0)
+    )
+    return bind(rows, symbol=symbol).select(*rest, "line", "ordinal", "symbol", "line_text", "snippet")
 
 
 def norm_path(path: Column) -> Column:

@@ -128,13 +128,14 @@ def asset_evidence(normalized: DataFrame, membership: DataFrame) -> DataFrame:
 def asset_metadata(evidence: DataFrame) -> DataFrame:
     """The distinct values that describe an asset's evidence, in long form:
     (asset_id, attribute, value)."""
-    pairs = F.array(
-        F.struct(F.lit("discovery_method").alias("attribute"), F.col("discovery_method").alias("value")),
-        F.struct(F.lit("scanner"), F.col("scanner_name")),
-        F.struct(F.lit("raw_symbol"), F.when(F.col("raw_symbol") != "", F.col("raw_symbol"))),
-        F.struct(F.lit("symbol"), F.when(F.col("symbol_name") != "", F.col("symbol_name"))),
-        F.struct(F.lit("byte_offset"), F.col("location.byte_offset").cast("string")),
-    )
+    values = {
+        "discovery_method": F.col("discovery_method"),
+        "scanner": F.col("scanner_name"),
+        "raw_symbol": F.when(F.col("raw_symbol") != "", F.col("raw_symbol")),
+        "symbol": F.when(F.col("symbol_name") != "", F.col("symbol_name")),
+        "byte_offset": F.col("location.byte_offset").cast("string"),
+    }
+    pairs = F.array(*[F.struct(F.lit(n).alias("attribute"), v.alias("value")) for n, v in values.items()])
     return (
         evidence.select("asset_id", F.inline(pairs))
         .where(F.col("value").isNotNull())
