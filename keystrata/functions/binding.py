@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def bind(df: DataFrame, **exprs: Column) -> DataFrame:
@@ -15,7 +16,11 @@ def bind(df: DataFrame, **exprs: Column) -> DataFrame:
     memory. Producing the columns from a one-row generator keeps each stage's expressions
     apart; filters and column pruning still pass through it.
     """
-    keep = [c for c in df.columns if c not in exprs]
-    made = F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()])))
-    out = df.select(*[F.col(f"`{c}`") for c in keep], made)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[n for n in exprs if n not in df.columns])
+    columns = df.columns
+    structs = [f.name for f in df.schema.fields if isinstance(f.dataType, StructType) and f.name not in exprs]
+    keep = [c for c in columns if c not in exprs and c not in structs]
+    # Struct columns travel through the generator too: field pruning would otherwise be
+    # pushed below several generators in turn, which the optimizer gets wrong.
+    cells = [F.col(f"`{c}`").alias(c) for c in structs] + [e.alias(n) for n, e in exprs.items()]
+    out = df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*cells))))
+    return out.select(*[F.col(f"`{c}`") for c in columns], *[n for n in exprs if n not in columns])

@@ -21,13 +21,14 @@ def _missing(key: Column) -> Column:
     return key.isNull() | (key == 0)
 
 
-def normalize(findings: DataFrame) -> DataFrame:
+def normalize(findings: DataFrame, forms_in_libraries: bool = False) -> DataFrame:
     """Adds path_key and the eight canonical attribute columns to every finding.
 
     An explicit hint wins over a parameter parsed from a transformation string, that over
     an envelope symbol, that over the structured name, that over the raw symbol. Nothing
     is guessed: a parameter no source names stays null. The transformation form is not
-    looked for in library findings, whose symbols hold plain paths.
+    looked for in library findings, whose symbols hold plain paths, unless
+    ``forms_in_libraries`` asks for it.
     """
     raw, said = F.col("_raw"), F.col("_said")
     has = lambda c, part: F.contains(c, F.lit(part))
@@ -43,7 +44,7 @@ def normalize(findings: DataFrame) -> DataFrame:
     df = bind(
         df,
         _form=F.when(
-            (has(raw, "/") | has(said, "/")) & (F.col("artifact_category") != "LIBRARY"),
+            (has(raw, "/") | has(said, "/")) & (F.lit(forms_in_libraries) | (F.col("artifact_category") != "LIBRARY")),
             F.coalesce(naming.parse_transformation(raw), naming.parse_transformation(said)),
         ),
     )
