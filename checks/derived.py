@@ -23,7 +23,15 @@ ROW_ID = (
 
 def for_spark(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {t for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table. Each is one file with one row group, which Spark cannot split, so its
+    rows are spread over the cores here; tables of many files are read as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def for_duckdb(sql: str) -> str:

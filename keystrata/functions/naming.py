@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from keystrata.dims import aliases
+from keystrata.functions.binding import let
 from keystrata.functions.text import lookup, nonempty, pattern
 
 
@@ -27,15 +28,17 @@ def canonical_padding(padding: Column) -> Column:
 
 
 def canonical_curve(hint: Column, symbol: Column) -> Column:
-    """A given curve by alias; without one, the first alias found as a word in the symbol."""
+    """A given curve by alias; without one, of the aliases found as words in the symbol the
+    one that comes first in the alias list."""
     given = nonempty(hint)
-    words = {a: pattern(rf"\b{a}\b") for a in aliases.CURVES}
-    found = F.lit(None).cast("string")
-    for alias, curve in reversed(aliases.CURVES.items()):
-        found = F.when(symbol.rlike(words[alias]), curve).otherwise(found)
-    any_alias = pattern(r"\b(?:" + "|".join(aliases.CURVES) + r")\b")
+    word = pattern(r"\b(?:" + "|".join(aliases.CURVES) + r")\b")
+    order = {a: i for i, a in enumerate(aliases.CURVES)}
+    first = F.array_min(F.transform(
+        F.regexp_extract_all(F.lower(symbol), F.lit(word), F.lit(0)), lambda w: lookup(w, order)
+    ))
+    found = F.get(F.array(*[F.lit(c) for c in aliases.CURVES.values()]), first)
     return F.when(given.isNotNull(), F.coalesce(lookup(F.lower(given), aliases.CURVES), given)).otherwise(
-        F.when(symbol.rlike(any_alias), found)
+        F.when(symbol.rlike(word), found)
     )
 
 
@@ -53,74 +56,69 @@ _THREE = r"([A-Za-z0-9_-]+)/([A-Za-z0-9_-]+)/([A-Za-z0-9_-]+)"
 _TWO = r"([A-Za-z0-9_-]+)/([A-Za-z0-9_-]+)"
 
 
+def _groups(text: Column, regex: str, groups: str) -> Column:
+    """The groups of a match in one pass, as an array; ``groups`` lists them split by |."""
+    return F.split(F.regexp_replace(text, f"(?s)^.*?{regex}.*$", groups), r"\|")
+
+
+def _filled(c: Column) -> Column:
+    return F.when(c != "", c)
+
+
 def parse_transformation(text: Column) -> Column:
     """ALG/MODE/PADDING or ALG/MODE anywhere in the text, as struct<algorithm, mode, padding>
     (null without one)."""
-    three = extract(text, _THREE, 1)
-    algorithm = F.coalesce(three, extract(text, _TWO, 1))
-    mode = F.coalesce(extract(text, _THREE, 2), extract(text, _TWO, 2))
-    return F.when(
-        algorithm.isNotNull(),
-        F.struct(
-            algorithm.alias("algorithm"),
-            canonical_mode(mode).alias("mode"),
-            canonical_padding(extract(text, _THREE, 3)).alias("padding"),
-        ),
+    parts = F.when(text.rlike(_THREE), _groups(text, _THREE, "$1|$2|$3")).when(
+        text.rlike(_TWO), _groups(text, _TWO, "$1|$2|")
     )
+    return F.when(text.rlike(_TWO), let(parts, lambda p: F.struct(
+        p[0].alias("algorithm"),
+        canonical_mode(p[1]).alias("mode"),
+        canonical_padding(_filled(p[2])).alias("padding"),
+    )))
 
 
-_EVP_AES = r"(?i)EVP_aes_(\d{3})_([a-z0-9]+)"
-_EVP_HASH = r"(?i)EVP_(sha\d+|sha3_\d+|md5)"
+_EVP = r"(?i:EVP_)(?i:aes_(\d{3})_([a-z0-9]+)|(sha\d+|sha3_\d+|md5))"
 
 
 def parse_evp(text: Column) -> Column:
     """OpenSSL envelope names as struct<algorithm, key, mode> (null when not one)."""
     upper = F.upper(text)
-    bits, mode = extract(text, _EVP_AES, 1), F.upper(extract(text, _EVP_AES, 2))
-    digest = F.upper(extract(text, _EVP_HASH, 1))
-    digest = F.regexp_replace(digest, "^SHA(?=.)", "SHA-")
-    algorithm = (
-        F.when(bits.isNotNull(), F.concat_ws("-", F.lit("AES"), bits, mode))
-        .when(digest.isNotNull(), digest)
-        .when(F.contains(upper, F.lit("RSA")), F.lit("RSA"))
-        .when(F.contains(upper, F.lit("EC")), F.lit("ECDSA"))
-    )
+    digest = lambda d: F.regexp_replace(F.upper(d), "^SHA(?=.)", "SHA-")
+    made = lambda a, k, m: F.struct(
+        a.alias("algorithm"), k.cast("int").alias("key"), m.cast("string").alias("mode"))
+    none = F.lit(None)
     return F.when(
-        F.contains(text, F.lit("EVP_")) & algorithm.isNotNull(),
-        F.struct(algorithm.alias("algorithm"), bits.cast("int").alias("key"), mode.alias("mode")),
+        F.contains(text, F.lit("EVP_")),
+        F.when(text.rlike(_EVP), let(_groups(text, _EVP, "$1|$2|$3"), lambda p: F.when(
+            p[0] != "", made(F.concat_ws("-", F.lit("AES"), p[0], F.upper(p[1])), p[0], F.upper(p[1]))
+        ).otherwise(made(digest(p[2]), none, none))))
+        .when(F.contains(upper, F.lit("RSA")), made(F.lit("RSA"), none, none))
+        .when(F.contains(upper, F.lit("EC")), made(F.lit("ECDSA"), none, none)),
     )
 
 
+_STRUCTURED = (
+    r"(?i)^(?:AES(?:-(128|192|256)(?:-([A-Z0-9]+))?|(128|192|256)([A-Z]{2,4})?|-([A-Z]{3,4}))"
+    r"|RSA-(512|1024|2048|3072|4096|7680|15360)|SHA(\d{3}))$"
+)
+
+
 def parse_algorithm_name(name: Column) -> Column:
     """Parameters carried by a structured name, as struct<algorithm, key, mode>.
 
     AES-256-GCM, AES-256, AES256[GCM], AES-GCM, RSA-2048 and SHA256 are understood;
     any other name comes back unchanged without parameters.
     """
-    n = F.replace(name, F.lit("_"), F.lit("-"))
-    key_mode = r"(?i)^AES-(128|192|256)-([A-Z0-9]+)$"
-    key_only = r"(?i)^AES-(128|192|256)$"
-    joined = r"(?i)^AES(128|192|256)([A-Z]{2,4})?$"
-    mode_only = r"(?i)^AES-([A-Z]{3,4})$"
-    rsa = r"(?i)^RSA-(512|1024|2048|3072|4096|7680|15360)$"
-    sha = r"(?i)^SHA(\d{3})$"
-    is_aes = n.rlike(key_mode) | n.rlike(key_only) | n.rlike(joined) | n.rlike(mode_only)
-    joined_mode = F.upper(extract(n, joined, 2))
-    return F.struct(
-        F.when(is_aes, F.lit("AES"))
-        .when(n.rlike(rsa), F.lit("RSA"))
-        .when(n.rlike(sha), F.concat(F.lit("SHA-"), extract(n, sha, 1)))
-        .otherwise(name)
-        .alias("algorithm"),
-        F.coalesce(extract(n, key_mode, 1), extract(n, key_only, 1), extract(n, joined, 1), extract(n, rsa, 1))
-        .cast("int")
-        .alias("key"),
-        F.coalesce(
-            F.upper(extract(n, key_mode, 2)),
-            F.coalesce(lookup(F.lower(joined_mode), aliases.MODES), joined_mode),
-            F.upper(extract(n, mode_only, 1)),
-        ).alias("mode"),
-    )
+    dashed = F.replace(name, F.lit("_"), F.lit("-"))
+    parts = F.split(F.regexp_replace(dashed, _STRUCTURED, "$1$3|$2$4$5|$6|$7"), r"\|")
+    made = lambda a, k, m: F.struct(a.alias("algorithm"), k.cast("int").alias("key"), m.cast("string").alias("mode"))
+    none = F.lit(None)
+    return F.when(dashed.rlike(_STRUCTURED), let(parts, lambda p: (
+        F.when(p[2] != "", made(F.lit("RSA"), p[2], none))
+        .when(p[3] != "", made(F.concat(F.lit("SHA-"), p[3]), none, none))
+        .otherwise(made(F.lit("AES"), _filled(p[0]), F.upper(_filled(p[1]))))
+    ))).otherwise(made(name, none, none))
 
 
 def key_from_symbol(symbol: Column, algorithm: Column) -> Column:

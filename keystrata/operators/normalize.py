@@ -37,10 +37,9 @@ def normalize(findings: DataFrame, forms_in_libraries: bool = False) -> DataFram
         findings,
         _raw=F.trim(F.coalesce("raw_symbol", F.lit(""))),
         _said=nonempty(F.col("suspected_algorithm")),
-        _mode=naming.canonical_mode(F.col("mode_hint")),
-        implementation_library=naming.canonical_library(F.col("library_hint")),
         path_key=norm_path(F.coalesce("location.file_path", F.lit(""))),
     )
+    df = bind(df, implementation_library=naming.canonical_library(F.col("library_hint")))
     df = bind(
         df,
         _form=F.when(
@@ -59,15 +58,12 @@ def normalize(findings: DataFrame, forms_in_libraries: bool = False) -> DataFram
     df = bind(
         df,
         _said=F.coalesce("_name.algorithm", "_said"),
-        mode=F.coalesce(
-            F.col("_mode"), F.col("_form.mode"), naming.canonical_mode(F.col("_evp.mode")),
-            naming.canonical_mode(F.col("_name.mode")),
-        ),
+        mode=F.coalesce(nonempty(F.col("mode_hint")), F.col("_form.mode"), F.col("_evp.mode"), F.col("_name.mode")),
         padding=F.col("_form.padding"),
         _key=F.when(_missing(hint), F.coalesce("_evp.key", "_name.key", hint)).otherwise(hint),
-        _curve=naming.canonical_curve(F.col("curve_hint"), raw),
-        _as_curve=lookup(F.lower(F.coalesce("_name.algorithm", "_said")), aliases.CURVES),
     )
+    df = bind(df, _curve=naming.canonical_curve(F.col("curve_hint"), raw))
+    df = bind(df, mode=naming.canonical_mode(F.col("mode")), _as_curve=lookup(F.lower(said), aliases.CURVES))
     low = F.lower(said)
     df = bind(
         df,
@@ -82,13 +78,15 @@ def normalize(findings: DataFrame, forms_in_libraries: bool = False) -> DataFram
             .otherwise("ECDSA"),
         ).otherwise(F.replace(said, F.lit("_"), F.lit("-"))),
     )
-    resolved = bind(resolve_algorithm(df, "_clean"), _named=_canonical_name())
+    resolved = resolve_algorithm(df, "_clean")
+    resolved = bind(resolved, _unsaid=F.when(F.col("_clean").isNull(), _unsuspected_name()))
+    resolved = bind(resolved, _named=F.coalesce("_unsaid", _canonical_name()))
+    resolved = bind(resolved, algorithm=F.col("_named.algorithm"), algorithm_family=F.col("_named.family"))
     return resolved.select(
         *findings.columns, "path_key",
-        F.col("_named.algorithm").alias("algorithm"),
-        F.col("_named.family").alias("algorithm_family"),
+        "algorithm", "algorithm_family",
         naming.primitive_type(
-            F.col("artifact_category"), F.col("_named.family"), F.col("_named.algorithm"), F.col("_raw")
+            F.col("artifact_category"), F.col("algorithm_family"), F.col("algorithm"), F.col("_raw")
         ).alias("primitive_type"),
         "key_length_bits", "curve", "mode", "padding", "implementation_library",
     )
@@ -101,20 +99,19 @@ def _named(algorithm: Column | str, family: Column | str | None) -> Column:
     )
 
 
-def _canonical_name() -> Column:
-    """struct<algorithm, family> from the registry row, the cleaned name, or, when nothing
-    is suspected, the category and the symbol."""
-    clean, upper = F.col("_clean"), F.upper("_clean")
+def _aes_name() -> Column:
+    key = F.col("key_length_bits")
+    return F.concat_ws("-", F.lit("AES"), F.when(~_missing(key), key.cast("string")), F.col("mode"))
+
+
+def _unsuspected_name() -> Column:
+    """struct<algorithm, family> where no algorithm is suspected: by category, else by what
+    the symbol contains."""
     key, mode = F.col("key_length_bits"), F.col("mode")
-    has_key = ~_missing(key)
-    aes = F.concat_ws("-", F.lit("AES"), F.when(has_key, key.cast("string")), mode)
-    registered = F.when(F.col("algorithm_key") == "AES", _named(aes, "AES")).otherwise(
-        _named(F.col("canonical_name"), F.col("family"))
-    )
     raw = F.upper("_raw")
     has = lambda *parts: naming.contains_any(raw, list(parts))
     cat = F.col("artifact_category")
-    unsuspected = (
+    return (
         F.when(cat == "CERTIFICATE", _named("X.509 Certificate", "CERTIFICATE"))
         .when(cat == "KEY_MATERIAL", _named("Cryptographic Key Material", "KEY_MATERIAL"))
         .when(cat == "LIBRARY", _named(
@@ -125,7 +122,7 @@ def _canonical_name() -> Column:
         .when((cat == "PROTOCOL") & has("SSH"), _named("SSH", "PROTOCOL"))
         .when((cat == "PROTOCOL") & has("SSL"), _named("SSL", "PROTOCOL"))
         .when(has("RSA"), _named("RSA", "RSA"))
-        .when(has("AES") & has_key & mode.isNotNull(), _named(aes, "AES"))
+        .when(has("AES") & ~_missing(key) & mode.isNotNull(), _named(_aes_name(), "AES"))
         .when(has("AES"), _named("AES", "AES"))
         .when(has("SHA256", "SHA-256"), _named("SHA-256", "SHA"))
         .when(has("HMAC"), _named("HMAC", "MAC"))
@@ -134,17 +131,20 @@ def _canonical_name() -> Column:
         .when(has("SECP256R1", "PRIME256V1"), _named("ECDSA", "ECC"))
         .otherwise(_named("Unknown Algorithm", None))
     )
-    unregistered = F.when(F.startswith(upper, F.lit("ML-KEM")), _named("ML-KEM", "ML-KEM"))
-    for prefix in ("ML-DSA", "SLH-DSA"):
-        unregistered = unregistered.when(F.startswith(upper, F.lit(prefix)), _named(prefix, prefix))
-    unregistered = (
-        unregistered.when(upper.rlike("^(SHA-|SHA3)"), _named(clean, "SHA"))
+
+
+def _canonical_name() -> Column:
+    """struct<algorithm, family> of a suspected algorithm: its registry row, else its
+    cleaned name with the part before the first dash as family."""
+    clean, upper = F.col("_clean"), F.upper("_clean")
+    out = F.when(F.col("algorithm_key") == "AES", _named(_aes_name(), "AES")).when(
+        F.col("algorithm_key").isNotNull(), _named(F.col("canonical_name"), F.col("family"))
+    )
+    for prefix in aliases.PQC_PREFIXES:
+        out = out.when(F.startswith(upper, F.lit(prefix)), _named(prefix, prefix))
+    return (
+        out.when(upper.rlike("^(SHA-|SHA3)"), _named(clean, "SHA"))
         .when(F.startswith(upper, F.lit("TLS")), _named("TLS", "PROTOCOL"))
         .when(F.startswith(upper, F.lit("SSL")), _named("SSL", "PROTOCOL"))
         .otherwise(_named(clean, F.substring_index(upper, "-", 1)))
     )
-    return (
-        F.when(clean.isNull(), unsuspected)
-        .when(F.col("algorithm_key").isNotNull(), registered)
-        .otherwise(unregistered)
-    )
