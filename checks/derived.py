@@ -23,7 +23,10 @@ ROW_ID = (
 
 def for_spark(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {t for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
+    text = sql.replace("{", "{{").replace("}", "}}")  # braces inside literals stay as they are
+    for t in used:
+        text = text.replace("{{" + t + "}}", "{" + t + "}")
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def for_duckdb(sql: str) -> str:
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return re.sub(r"\{(" + "|".join(TABLES) + r")\}", r"\1", sql)
 
 
 # index, algorithm, family, primitive of the derived assets

@@ -236,13 +236,14 @@ def scan_summary(scans: DataFrame) -> DataFrame:
     assets, files_scanned.
     """
     done = F.col("completed_at").isNotNull()
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return scans.select(
         "scan_id",
         scan_status(F.col("failed"), done, F.col("error_count")).alias("status"),
         iso("created_at").alias("created_at"),
         iso("completed_at").alias("completed_at"),
-        ((F.unix_micros("completed_at") - F.unix_micros("started_at")) / 1e6).alias("duration_seconds"),
+        ((micros("completed_at") - micros("started_at")) / 1e6).alias("duration_seconds"),
         iso(F.col("created_at") + F.expr("INTERVAL 7 DAYS")).alias("expires_at"),
         *[F.when(done, F.col(c)).alias(c) for c in ("findings", "assets", "files_scanned")],
     )
