@@ -38,7 +38,8 @@ graded AS (
     CASE WHEN key_length_bits IS NULL THEN NULL WHEN key_length_bits >= 15360 THEN 256 WHEN key_length_bits >= 7680 THEN 192
          WHEN key_length_bits >= 4096 THEN 140 WHEN key_length_bits >= 3072 THEN 128 WHEN key_length_bits >= 2048 THEN 112
          WHEN key_length_bits >= 1024 THEN 80 ELSE 56 END AS kbits,
-    CASE curve WHEN 'secp256r1' THEN 128 WHEN 'secp384r1' THEN 192 WHEN 'secp521r1' THEN 260 END AS curvebits
+    CASE curve WHEN 'secp256r1' THEN 128 WHEN 'secp384r1' THEN 192 WHEN 'secp521r1' THEN 260 WHEN 'secp256k1' THEN 128
+      WHEN 'Curve25519' THEN 128 WHEN 'Ed25519' THEN 128 WHEN 'brainpoolP256r1' THEN 128 WHEN 'brainpoolP384r1' THEN 192 WHEN 'brainpoolP512r1' THEN 256 END AS curvebits
   FROM shaped s LEFT JOIN hash_profile p ON p.h = s.hname AND s.grp IN ('hash','machash')),
 classified AS (
   SELECT *,

@@ -72,12 +72,10 @@ STEMS = [
     "PKCS1", "OAEP", "PSS", "HMAC", "RC4", "ARCFOUR", "ARC4", "TLS", "SSL", "PBKDF2", "bcrypt", "argon2",
     "scrypt", "ML[-_]?KEM", "kyber", "crystals", "ML[-_]?DSA", "dilithium", "SLH[-_]?DSA", "sphincs",
 ]
-# Patterns whose match may run over a line end, with the text their match must contain.
-MULTILINE_TRIGGERS = {
-    "PEM_private_key": "-----begin", "PEM_ec_private_key": "-----begin",
-    "PEM_public_key": "-----begin", "PEM_certificate": "-----begin",
-    "SSH_private_key": "-----begin", "JWT_alg": '"alg"',
-}
+# Patterns whose match may run over a line end. No two of them match at the same place.
+MULTILINE = ["PEM_private_key", "PEM_ec_private_key", "PEM_public_key", "PEM_certificate", "SSH_private_key", "JWT_alg"]
+# Every match of theirs contains one of these.
+MULTILINE_OPENING = r'-----BEGIN|"alg"'
 
 
 def pattern_rows() -> list[dict]:

@@ -96,7 +96,7 @@ def scan_tls_config(files: DataFrame, context: Column) -> DataFrame:
         F.lit("PEM block | score=0.95"), F.col("symbol"), container_context=context,
     )]
     for r in patterns.pattern_rows():
-        if patterns.MULTILINE_TRIGGERS.get(r["pattern"]) != "-----begin":
+        if r["category"] not in ("KEY_MATERIAL", "CERTIFICATE"):
             continue
         hits = marked_hits(texts, pattern(r["regex"])).drop("snippet")
         parts.append(finding(

@@ -336,11 +336,11 @@ def pattern_hits(files: DataFrame) -> DataFrame:
     the pattern's columns. Input: path, analyzer, text.
 
     Single-line patterns are tried only on lines where one of the stems they all begin
-    with occurs; the six that may run over line ends read the text once each, and only
-    where their opening text occurs at all.
+    with occurs; the six that may run over line ends are looked for together, only in
+    texts that hold an opening of theirs.
     """
     rows = patterns.pattern_rows()
-    single = [r for r in rows if r["pattern"] not in patterns.MULTILINE_TRIGGERS]
+    single = [r for r in rows if r["pattern"] not in patterns.MULTILINE]
     stems = pattern(r"\b(?:" + "|".join(patterns.STEMS) + ")")
     rest = [c for c in files.columns if c != "text"]
     df = bind(files.where(F.col("text").rlike(stems)), _lines=text_lines(F.col("text")))
@@ -367,13 +367,14 @@ def pattern_hits(files: DataFrame) -> DataFrame:
     found = found.select(
         *rest, "line", "line_text", "snippet", "pattern_ordinal", F.posexplode("symbols").alias("ordinal", "symbol")
     )
-    parts = [found]
-    low = F.lower("text")
-    for r in rows:
-        trigger = patterns.MULTILINE_TRIGGERS.get(r["pattern"])
-        if trigger:
-            hits = marked_hits(files.where(F.contains(low, F.lit(trigger))), pattern(r["regex"]))
-            parts.append(hits.withColumn("pattern_ordinal", F.lit(r["pattern_ordinal"])))
+    spread = [r for r in rows if r["pattern"] in patterns.MULTILINE]
+    any_of = "|".join(r["regex"] for r in spread)
+    opened = files.where(F.col("text").rlike(pattern(patterns.MULTILINE_OPENING)))
+    blocks = marked_hits(opened, pattern(f"(?={any_of})"), pattern(f"(?:{any_of})"))
+    which = F.lit(None).cast("int")
+    for r in reversed(spread):
+        which = F.when(F.col("symbol").rlike(pattern("^" + r["regex"])), r["pattern_ordinal"]).otherwise(which)
+    parts = [found, bind(blocks, pattern_ordinal=which)]
     dim = small(files.sparkSession, [{k: v for k, v in r.items() if k != "regex"} for r in rows])
     return union_all(parts).join(dim, "pattern_ordinal")
 
