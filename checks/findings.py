@@ -356,9 +356,8 @@ def _(spark, sf):
 
 @check("first_fit_clusters", f"WITH RECURSIVE {NORM}, {FIT} SELECT finding_id, leader_id FROM placed")
 def _(spark, sf):
-    profiled = cluster.with_profile(normalized(spark, sf))
-    _, clusters = cluster.assign_clusters(profiled)
-    return profiled.join(clusters, ["path_key", "profile_id"]).select("finding_id", "leader_id")
+    found = cluster.assign_clusters(normalized(spark, sf))
+    return found.profiled.join(found.clusters, ["path_key", "profile_id"]).select("finding_id", "leader_id")
 
 
 _NS = ids.ASSET_NAMESPACE.hex
@@ -387,25 +386,22 @@ def _(spark, sf):
 
 @check("asset_evidence", f"WITH RECURSIVE {NORM}, {FIT}, {ASSETS} SELECT a.asset_id, p.finding_id, p.discovery_method FROM placed p JOIN asset a USING (file_path, leader_id)")
 def _(spark, sf):
-    base = normalized(spark, sf)
-    _, membership = merge.build_assets(base)
-    return merge.asset_evidence(base, membership).select("asset_id", "finding_id", "discovery_method")
+    _, evidence = merge.build_assets(normalized(spark, sf))
+    return evidence.select("asset_id", "finding_id", "discovery_method")
 
 
 @check("asset_metadata", f"""WITH RECURSIVE {NORM}, {FIT}, {ASSETS}
 SELECT DISTINCT a.asset_id, v.attribute, v.value FROM placed p JOIN asset a USING (file_path, leader_id),
   LATERAL (SELECT 'discovery_method' AS attribute, p.discovery_method AS value UNION ALL SELECT 'scanner', p.scanner_name) v""")
 def _(spark, sf):
-    base = normalized(spark, sf)
-    _, membership = merge.build_assets(base)
-    return merge.asset_metadata(merge.asset_evidence(base, membership))
+    _, evidence = merge.build_assets(normalized(spark, sf))
+    return merge.asset_metadata(evidence)
 
 
 @check("parent_asset", f"WITH RECURSIVE {NORM}, {FIT}, {ASSETS} SELECT p.finding_id, a.asset_id FROM placed p JOIN asset a USING (file_path, leader_id) WHERE p.discovery_method = 'AST'")
 def _(spark, sf):
     base = normalized(spark, sf)
-    _, membership = merge.build_assets(base)
-    evidence = merge.asset_evidence(base, membership)
+    _, evidence = merge.build_assets(base)
     return merge.parent_asset(base.where(F.col("discovery_method") == "AST"), evidence)
 
 

@@ -13,12 +13,14 @@ definition, so the work is cut into pieces that cannot influence each other:
    be split where the path has no finding without a family, and lines only where it has
    no finding free of line proximity (binary, container or file-level).
 3. The pieces stream through Python in sorted order, many to a task; only the clusters
-   of the piece at hand are held.
+   of the piece at hand are held. A piece is one file's profiles at most, so its size is
+   bounded by the lines of a file and not by the number of findings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -294,8 +296,38 @@ def first_fit_clusters(profiles: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_first_fit_sorted, _ASSIGNED)
 
 
-def assign_clusters(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(profiles, cluster of each profile). The profiles are written once to the
-    checkpoint folder: piece finding, clustering and merging all read them."""
-    profiles = checkpointed(fold_profiles(normalized))
-    return profiles, first_fit_clusters(profiles)
+def _uneven_paths(profiles: DataFrame) -> DataFrame:
+    """Paths where equal findings may part ways. The rule is one-sided in one case: a
+    file-level library finding may join a finding with a line, but not the reverse. So of
+    two equal findings the later one may find the cluster closed by a library finding."""
+    narrow = profiles.where(~F.col("wide"))
+    level = narrow.where(F.col("line").isNull() & (F.col("primitive_type") == "LIBRARY")).select("path_key").distinct()
+    lined = narrow.where(F.col("line").isNotNull()).select("path_key").distinct()
+    return level.join(lined, "path_key")
+
+
+@dataclass
+class Clustered:
+    """Findings with their profile, the folded profiles, and the cluster of each profile."""
+
+    profiled: DataFrame
+    profiles: DataFrame
+    clusters: DataFrame
+
+
+def assign_clusters(normalized: DataFrame) -> Clustered:
+    """Clusters all findings. The profiles are written once to the checkpoint folder: piece
+    finding, clustering and merging all read them. Findings of uneven paths (none, as far
+    as the scanners go) are not folded but keep a profile each."""
+    profiled = normalized if "profile_id" in normalized.columns else with_profile(normalized)
+    profiles = checkpointed(fold_profiles(profiled))
+    uneven = checkpointed(_uneven_paths(profiles))
+    if not uneven.isEmpty():
+        flagged = uneven.withColumn("_uneven", F.lit(True))
+        own = F.md5(F.concat("profile_id", "finding_id"))
+        profiled = profiled.join(flagged, "path_key", "left")
+        profiled = bind(profiled, profile_id=F.when(F.col("_uneven"), own).otherwise(F.col("profile_id")))
+        single = fold_profiles(profiled.where(F.col("_uneven")))
+        profiles = checkpointed(profiles.join(uneven, "path_key", "left_anti").unionByName(single))
+        profiled = profiled.drop("_uneven")
+    return Clustered(profiled, profiles, checkpointed(first_fit_clusters(profiles)))

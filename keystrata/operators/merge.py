@@ -9,7 +9,6 @@ from keystrata.functions import ids
 from keystrata.functions.scoring import confidence_level
 from keystrata.functions.binding import bind
 from keystrata.operators import cluster
-from keystrata.session import checkpointed
 
 _CLUSTER = ["path_key", "leader_seq", "leader_id"]
 
@@ -104,22 +103,21 @@ def confidence(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def build_assets(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(assets, profile membership) of normalised findings. Membership maps
-    (path_key, profile_id) to asset_id and is all that evidence needs."""
-    profiled = cluster.with_profile(normalized)
-    profiles, clusters = cluster.assign_clusters(profiled)
-    clusters = checkpointed(clusters)
-    assets = merge_clusters(profiles, clusters)
-    membership = clusters.join(assets.select(*_CLUSTER, "asset_id"), _CLUSTER).select(
+    """(assets, evidence) of normalised findings; see ``merge_clusters`` and
+    ``asset_evidence``."""
+    found = cluster.assign_clusters(normalized)
+    assets = merge_clusters(found.profiles, found.clusters)
+    return assets, asset_evidence(found, assets)
+
+
+def asset_evidence(found: cluster.Clustered, assets: DataFrame) -> DataFrame:
+    """One row per finding with the asset it supports. Findings meet their cluster by path
+    and profile; a profile that many findings share is a skewed key on one side only, which
+    adaptive execution splits."""
+    membership = found.clusters.join(assets.select(*_CLUSTER, "asset_id"), _CLUSTER).select(
         "path_key", "profile_id", "asset_id"
     )
-    return assets, membership
-
-
-def asset_evidence(normalized: DataFrame, membership: DataFrame) -> DataFrame:
-    """One row per finding with the asset it supports."""
-    profiled = normalized if "profile_id" in normalized.columns else cluster.with_profile(normalized)
-    return profiled.join(membership, ["path_key", "profile_id"]).select(
+    return found.profiled.join(membership, ["path_key", "profile_id"]).select(
         "asset_id", "finding_id", "emit_seq", "path_key", "scanner_name", "discovery_method", "raw_symbol",
         "symbol_name", "location", F.round("confidence_score", 4).alias("confidence_score"), "confidence_rationale",
     )

@@ -22,7 +22,7 @@ def analyse(
     a missing value is never taken for zero.
     """
     normalized = checkpointed(normalize(findings))
-    assets, membership = merge.build_assets(normalized)
+    assets, evidence = merge.build_assets(normalized)
     assets = checkpointed(risk.with_risk(classify(assets)))
     unique = merge.one_per_id(assets)
     config = timeline.TimelineConfig(
@@ -38,7 +38,6 @@ def analyse(
     scores = risk.score_risk(unique)
     times = timeline.assess_timeline(unique, inputs, config)
     recs = recommend.recommend(unique)
-    evidence = merge.asset_evidence(normalized, membership)
     parts = components.to_components(unique)
     return {
         "findings": findings,
