@@ -13,8 +13,9 @@ _MARK_STAND_IN = ""
 
 
 def pattern(regex: str, ignore_case: bool = True) -> str:
-    """A Java regex with word and space classes over all of Unicode."""
-    return ("(?iU)" if ignore_case else "(?U)") + regex.replace("(?P<", "(?<")
+    """A Java regex with word and space classes over all of Unicode and only line feeds as
+    line ends."""
+    return ("(?iUd)" if ignore_case else "(?Ud)") + regex.replace("(?P<", "(?<")
 
 
 def lookup(key: Column, mapping: dict[str, object]) -> Column:

@@ -126,7 +126,7 @@ def _package_findings(packages: DataFrame, manager: str, sep: str, phase: int, c
 def scan_dpkg(files: DataFrame, context: Column) -> DataFrame:
     """Known packages of the package status file; it is read once."""
     stanzas = files.where(F.col("path") == DPKG_STATUS).select("path", F.posexplode(F.split("text", "\n\n", -1)).alias("seq", "stanza"))
-    field = lambda name: F.trim(F.regexp_extract("stanza", rf"(?m)^{name}:\s*(.+)$", 1))
+    field = lambda name: F.trim(F.regexp_extract("stanza", rf"(?md)^{name}:\s*(.+)$", 1))
     rows = stanzas.select("path", "seq", field("Package").alias("package"), field("Version").alias("version"))
     rows = rows.where(F.col("package") != "").withColumn(
         "version", F.when(F.col("version") != "", F.col("version")).otherwise("unknown")
@@ -144,7 +144,7 @@ def scan_pip(files: DataFrame, context: Column) -> DataFrame:
         F.regexp_extract("path", folder, 1).alias("folder"),
         F.lower(F.substring_index(F.regexp_extract("path", folder, 2), "-", 1)).alias("package"),
         F.when(F.col("path").rlike(folder + "METADATA$"), 1).when(F.col("path").rlike(folder + "PKG-INFO$"), 2).alias("rank"),
-        F.trim(F.regexp_extract("text", r"(?m)^Version:(.*)$", 1)).alias("found"),
+        F.trim(F.regexp_extract("text", r"(?md)^Version:(.*)$", 1)).alias("found"),
     )
     rows = inside.groupBy("folder", "package").agg(
         F.min(F.when(F.col("rank").isNotNull() & (F.col("found") != ""), F.struct("rank", "found")))["found"].alias("version")
