@@ -24,9 +24,14 @@ def lookup(key: Column, mapping: dict[str, object]) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def strip(c: Column) -> Column:
+    """The text without white space at either end."""
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def nonempty(c: Column) -> Column:
-    """Trimmed text, null when nothing is left."""
-    trimmed = F.trim(c)
+    """Stripped text, null when nothing is left."""
+    trimmed = strip(c)
     return F.when(trimmed != "", trimmed)
 
 
@@ -67,7 +72,9 @@ def marked_hits(df: DataFrame, regex: str, take: str | None = None, text: str =
     such a match looks at the lines that follow.
 
     ``take`` is the regex to read from the mark on when it differs from what is marked (a
-    call's name is marked, its argument list read as well).
+    call's name is marked, its argument list read as well); where it does not match, the
+    symbol is what was marked. Neither regex may have a shorter match on the first line of a
+    match that spans several.
     """
     anchored = f"^(?:{take or regex})"
     rest = [c for c in df.columns if c != text]
@@ -77,14 +84,23 @@ def marked_hits(df: DataFrame, regex: str, take: str | None = None, text: str =
         F.transform("_marked", lambda s, i: F.struct(i.alias("i"), s.alias("s"))),
         lambda h: F.contains(h["s"], F.lit(MARK)),
     )
+
+    def unfinished(line: Column) -> Column:
+        if not take:
+            return F.regexp_extract(F.substring_index(line, MARK, -1), anchored, 0) == ""
+        pieces = F.split(line, MARK, -1)
+        places = F.sequence(F.lit(2), F.size(pieces))
+        return F.exists(places, lambda n: F.regexp_extract(
+            F.array_join(F.slice(pieces, n, F.size(pieces)), ""), anchored, 0) == "")
+
     rows = df.select(*rest, "_lines", F.explode(F.transform(marked_lines, lambda h: F.struct(
         (h["i"] + 1).cast("int").alias("line"),
         F.split(h["s"], MARK, -1).alias("pieces"),
         F.get(F.col("_lines"), h["i"]).alias("line_text"),
         snippet(F.col("_lines"), h["i"] + 1).alias("snippet"),
-        # Following lines are kept only where the last match of the line does not end on it.
+        # Following lines are kept only where some match of the line does not end on it.
         F.when(
-            F.regexp_extract(F.substring_index(h["s"], MARK, -1), anchored, 0) == "",
+            unfinished(h["s"]),
             F.translate(F.array_join(F.slice("_marked", h["i"] + 2, F.size("_marked")), "\n"), MARK, ""),
         ).alias("after"),
     ))).alias("_h"))
@@ -96,15 +112,16 @@ def marked_hits(df: DataFrame, regex: str, take: str | None = None, text: str =
     if take:  # may run past the next mark
         reach = F.array_join(F.slice("_pieces", F.col("ordinal") + 2, F.size("_pieces")), "")
     rows = bind(rows, _own=F.regexp_extract(reach, anchored, 0), _reach=reach)
-    symbol = F.when(F.col("_own") != "", F.col("_own")).otherwise(
-        F.regexp_extract(F.concat_ws("\n", "_reach", "after"), anchored, 0)
-    )
+    spanning = F.regexp_extract(F.concat_ws("\n", "_reach", "after"), anchored, 0)
+    rows = bind(rows, _symbol=F.when(F.col("_own") != "", F.col("_own")).otherwise(spanning))
+    bare = F.regexp_extract("_reach", f"^(?:{regex})", 0)
+    symbol = F.when(F.col("_symbol") != "", F.col("_symbol")).otherwise(bare)
     return bind(rows, symbol=symbol).select(*rest, "line", "ordinal", "symbol", "line_text", "snippet")
 
 
 def norm_path(path: Column) -> Column:
     """Slashes forward, trimmed, one leading ./ removed, lower case."""
-    return F.lower(F.regexp_replace(F.trim(F.replace(path, F.lit("\\"), F.lit("/"))), r"^\./", ""))
+    return F.lower(F.regexp_replace(strip(F.replace(path, F.lit("\\"), F.lit("/"))), r"^\./", ""))
 
 
 def glob_to_regex(glob: str) -> str:

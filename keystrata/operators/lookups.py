@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.dims import algorithms, apis, libraries, small, symbols
+from keystrata.functions.text import strip
 
 
 def resolve_algorithm(df: DataFrame, name: str) -> DataFrame:
     """Adds algorithm_key, canonical_name, family, category and quantum_threat of the
     algorithm that column ``name`` spells; null where no spelling matches."""
     dim = small(df.sparkSession, algorithms.alias_rows())
-    return df.join(dim, F.lower(F.trim(F.col(name))) == dim["alias"], "left").drop("alias")
+    return df.join(dim, F.lower(strip(F.col(name))) == dim["alias"], "left").drop("alias")
 
 
 def _boundary_prefixes(name: Column) -> Column:
@@ -39,7 +40,7 @@ def match_library(df: DataFrame, name: str, kind: str = "import") -> DataFrame:
     module or path boundary of the name. ``kind='package'`` takes exact names only.
     """
     spark = df.sparkSession
-    low = F.lower(F.trim(F.col(name)))
+    low = F.lower(strip(F.col(name)))
     rows = libraries.library_alias_rows(f"{kind}_aliases")
     if kind == "package":
         dim = small(spark, rows).drop("alias_ordinal")
@@ -79,7 +80,7 @@ def match_api(
         if r["is_qualified"] or not qualified_only
     ]
     full_dim = small(spark, rows).withColumnRenamed("entry", "_full")
-    low = F.lower(F.trim(F.col(call)))
+    low = F.lower(strip(F.col(call)))
     out = df.join(
         full_dim,
         (F.lower(F.col(language)) == full_dim["lookup_language"]) & (low == full_dim["lookup_key"]),
@@ -101,7 +102,7 @@ def match_shared_lib(df: DataFrame, name: str) -> DataFrame:
     """Adds the library of a shared object file name: exact, else the first registered
     name whose part before ``.so`` starts the file name."""
     rows = libraries.library_alias_rows("shared_objects")
-    low = F.lower(F.trim(F.col(name)))
+    low = F.lower(strip(F.col(name)))
     best = F.lit(None).cast("string")
     for r in reversed(rows):
         best = F.when(F.startswith(low, F.lit(r["alias"].split(".so")[0])), r["alias"]).otherwise(best)

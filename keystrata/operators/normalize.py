@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keystrata.dims import aliases
 from keystrata.functions import naming
 from keystrata.functions.binding import bind
-from keystrata.functions.text import lookup, nonempty, norm_path
+from keystrata.functions.text import lookup, nonempty, norm_path, strip
 from keystrata.operators.lookups import resolve_algorithm
 
 ATTRIBUTES = [
@@ -35,7 +35,7 @@ def normalize(findings: DataFrame, forms_in_libraries: bool = False) -> DataFram
     hint = F.col("key_size_hint")
     df = bind(
         findings,
-        _raw=F.trim(F.coalesce("raw_symbol", F.lit(""))),
+        _raw=strip(F.coalesce("raw_symbol", F.lit(""))),
         _said=nonempty(F.col("suspected_algorithm")),
         path_key=norm_path(F.coalesce("location.file_path", F.lit(""))),
     )

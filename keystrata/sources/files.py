@@ -56,7 +56,8 @@ def excluded(path: Column, exclude: list[str]) -> Column:
 
 def list_files(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
     """Every file below the root that no exclusion covers. A plan that leaves out
-    ``content`` does not open the files."""
+    ``content`` does not open the files. Spark's file sources pass over files of zero
+    length, which hold no evidence."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     df = raw.select(_relative(F.col("path"), root).alias("path"), "length", "modificationTime", "content")
     df = df.where(~excluded(F.col("path"), DEFAULT_EXCLUDES if exclude is None else exclude))
