@@ -28,15 +28,27 @@ def check(name: str, sql: str | None = None):
 # DuckDB's word boundary knows ASCII only, so letters beyond it are mapped to a plain letter
 # no pattern contains and any other character beyond it to a space.
 _ASCII = "regexp_replace(regexp_replace({}, '[\\x{{C0}}-\\x{{24F}}]', 'q', 'g'), '[\\x{{80}}-\\x{{10FFFF}}]', ' ', 'g')"
-_PATTERNS = f"pat(ordinal, pattern, regex) AS {values([(r['pattern_ordinal'], r['pattern'], '(?i)' + r['regex']) for r in patterns.pattern_rows()])}"
+
+def _each_pattern(columns: str, source: str) -> str:
+    """One branch per pattern, so that every regex is a constant to DuckDB."""
+    def quoted(r: dict) -> str:
+        return "'(?i)" + r["regex"].replace("'", "''") + "'"
+
+    return " UNION ALL ".join(
+        f"SELECT {columns}, {r['pattern_ordinal']} AS ordinal, unnest(regexp_extract_all(l, {quoted(r)})) AS symbol FROM {source} "
+        f"WHERE regexp_matches(l, {quoted(r)})" for r in patterns.pattern_rows())
+
+
+_PATTERNS = f"pat(ordinal, pattern, algorithm, base, remark) AS {values([(r['pattern_ordinal'], r['pattern'], r['algorithm'], r['base_confidence'], r['comment_confidence']) for r in patterns.pattern_rows()])}"
 
 
 def _pattern_sql(source: str, key: str, text: str) -> str:
     return f"""
 WITH {_PATTERNS},
 line AS (SELECT {key}, unnest(string_split({text}, chr(10))) AS l, generate_subscripts(string_split({text}, chr(10)), 1) AS line FROM {source}),
-ascii AS (SELECT {key}, CAST(line AS INT) AS line, {_ASCII.format('l')} AS l FROM line)
-SELECT {key}, line, pattern, unnest(regexp_extract_all(l, regex)) AS symbol FROM ascii, pat WHERE regexp_matches(l, regex)"""
+ascii AS (SELECT {key}, CAST(line AS INT) AS line, {_ASCII.format('l')} AS l FROM line),
+hit AS ({_each_pattern(key + ', line', 'ascii')})
+SELECT {key}, line, pattern, symbol FROM hit JOIN pat USING (ordinal)"""
 
 
 def document_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,10 +199,10 @@ def _(spark, sf):
 
 
 @check("scan_patterns", f"""
-WITH {_SOURCES}, pat(ordinal, pattern, regex, algorithm, base, remark) AS {values([(r['pattern_ordinal'], r['pattern'], '(?i)' + r['regex'], r['algorithm'], r['base_confidence'], r['comment_confidence']) for r in patterns.pattern_rows()])},
+WITH {_SOURCES}, {_PATTERNS},
 line AS (SELECT path, language, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM sources WHERE language <> 'go'),
-hit AS (SELECT path, language, line, l, pat.*, unnest(regexp_extract_all(l, regex)) AS symbol FROM line, pat WHERE regexp_matches(l, regex)),
-scored AS (SELECT *, CASE WHEN language = 'python' THEN regexp_matches(l, '^\\s*#') ELSE regexp_matches(l, '^\\s*(//|\\*|/\\*)') END AS remarked FROM hit)
+hit AS ({_each_pattern('path, language, line, l', 'line')}),
+scored AS (SELECT *, CASE WHEN language = 'python' THEN regexp_matches(l, '^\\s*#') ELSE regexp_matches(l, '^\\s*(//|\\*|/\\*)') END AS remarked FROM hit JOIN pat USING (ordinal))
 SELECT path, CAST(line AS INT) AS line, symbol AS raw_symbol, algorithm AS suspected_algorithm, CAST(CASE WHEN remarked THEN remark ELSE base END AS DOUBLE) AS confidence_score
 FROM scored WHERE NOT remarked OR remark >= CASE WHEN language = 'python' THEN 0.20 ELSE 0.22 END""")
 def _(spark, sf):

@@ -158,56 +158,47 @@ def fold_profiles(normalized: DataFrame) -> DataFrame:
 
 def line_islands(df: DataFrame, keys: list[str], line: str = "line", gap: int = LINE_GAP) -> DataFrame:
     """Adds ``island``: the first line of the run of lines, no two neighbours more than
-    ``gap`` apart, that a row belongs to within ``keys``.
+    ``gap`` apart, that a row belongs to within ``keys`` (which must not be null).
 
-    Two levels keep any one window small: runs are found inside buckets of
-    BUCKET_LINES lines, and only one row per bucket takes part in linking buckets.
+    Two levels keep any one window small: breaks are found inside buckets of BUCKET_LINES
+    lines, and only one row per bucket takes part in linking buckets to runs.
     """
-    df = df.withColumn("_bucket", F.floor(F.col(line) / BUCKET_LINES))
+    at = F.col(line)
+    df = df.withColumn("_bucket", F.floor(at / BUCKET_LINES))
     inside = W.partitionBy(*keys, "_bucket").orderBy(line)
     across = W.partitionBy(*keys).orderBy("_bucket")
-    buckets = (
-        df.groupBy(*keys, "_bucket")
-        .agg(F.max(line).alias("_last_line"))
-        .select(*keys, "_bucket", F.lag("_last_line").over(across).alias("_line_before"))
+    step = at - F.lag(line).over(inside)
+    df = df.withColumn("_break", F.when(step > gap, at))
+    buckets = df.groupBy(*keys, "_bucket").agg(
+        F.min(line).alias("_first"), F.max(line).alias("_last"), F.max("_break").alias("_last_break")
     )
-    df = _null_safe_join(df, buckets, [*keys, "_bucket"])
-    before = F.coalesce(F.lag(line).over(inside), F.col("_line_before"))
-    df = df.withColumn("_start", F.when(before.isNull() | (F.col(line) - before > gap), F.col(line)))
-    carried = (
-        df.groupBy(*keys, "_bucket")
-        .agg(F.max("_start").alias("_last_start"))
-        .select(*keys, "_bucket", F.max("_last_start").over(across.rowsBetween(W.unboundedPreceding, -1)).alias("_carry"))
+    joined = F.col("_first") - F.lag("_last").over(across) <= gap
+    buckets = buckets.withColumn("_joined", F.coalesce(joined, F.lit(False)))
+    # Where the bucket's last run starts, null when it started in an earlier bucket.
+    buckets = buckets.withColumn(
+        "_anchor", F.coalesce("_last_break", F.when(~F.col("_joined"), F.col("_first")))
     )
-    df = _null_safe_join(df, carried, [*keys, "_bucket"])
-    run = F.max("_start").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return df.withColumn("island", F.coalesce(run, F.col("_carry"))).drop(
-        "_bucket", "_line_before", "_start", "_carry"
-    )
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(right, condition, "left").drop(*[f"_r_{k}" for k in keys])
+    earlier = F.last("_anchor", ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1))
+    entry = F.when(F.col("_joined"), earlier).otherwise(F.col("_first"))
+    df = df.join(buckets.select(*keys, "_bucket", entry.alias("_entry")), [*keys, "_bucket"])
+    run = F.max("_break").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return df.withColumn("island", F.coalesce(run, F.col("_entry"))).drop("_bucket", "_break", "_entry")
 
 
 def pieces(profiles: DataFrame) -> DataFrame:
     """Adds the piece a profile is clustered in: (path_key, piece_family, island)."""
     family = F.upper(F.coalesce("algorithm_family", F.lit("")))
-    flags = profiles.groupBy("path_key").agg(
-        F.max(F.col("wide") | F.col("line").isNull()).alias("_boundless"),
-        F.max(family == "").alias("_familyless"),
+    boundless, familyless = F.col("wide") | F.col("line").isNull(), family == ""
+    # Only the paths that hold such a finding are joined in.
+    special = profiles.where(boundless | familyless).groupBy("path_key").agg(
+        F.max(boundless).alias("_boundless"), F.max(familyless).alias("_familyless")
     )
-    df = profiles.join(flags, "path_key")
-    df = df.withColumn("piece_family", F.when(F.col("_familyless"), F.lit("")).otherwise(family))
+    df = profiles.join(special, "path_key", "left")
+    is_set = lambda c: F.coalesce(F.col(c), F.lit(False))
+    df = df.withColumn("piece_family", F.when(is_set("_familyless"), F.lit("")).otherwise(family))
     # Where proximity is waived somewhere in the path, all its lines count as one run.
-    df = df.withColumn("_run_line", F.when(~F.col("_boundless"), F.col("line")).otherwise(F.lit(0)))
-    return line_islands(df, ["path_key", "piece_family"], "_run_line").drop(
-        "_boundless", "_familyless", "_run_line"
-    )
+    df = df.withColumn("_run_line", F.when(~is_set("_boundless"), F.col("line")).otherwise(F.lit(0)))
+    return line_islands(df, ["path_key", "piece_family"], "_run_line").drop("_boundless", "_familyless", "_run_line")
 
 
 # --- first fit --------------------------------------------------------------
@@ -296,12 +287,16 @@ def first_fit_clusters(profiles: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_first_fit_sorted, _ASSIGNED)
 
 
+def _level_libraries(profiles: DataFrame) -> DataFrame:
+    return profiles.where(~F.col("wide") & F.col("line").isNull() & (F.col("primitive_type") == "LIBRARY"))
+
+
 def _uneven_paths(profiles: DataFrame) -> DataFrame:
     """Paths where equal findings may part ways. The rule is one-sided in one case: a
     file-level library finding may join a finding with a line, but not the reverse. So of
     two equal findings the later one may find the cluster closed by a library finding."""
     narrow = profiles.where(~F.col("wide"))
-    level = narrow.where(F.col("line").isNull() & (F.col("primitive_type") == "LIBRARY")).select("path_key").distinct()
+    level = _level_libraries(profiles).select("path_key").distinct()
     lined = narrow.where(F.col("line").isNotNull()).select("path_key").distinct()
     return level.join(lined, "path_key")
 
@@ -321,8 +316,8 @@ def assign_clusters(normalized: DataFrame) -> Clustered:
     as the scanners go) are not folded but keep a profile each."""
     profiled = normalized if "profile_id" in normalized.columns else with_profile(normalized)
     profiles = checkpointed(fold_profiles(profiled))
-    uneven = checkpointed(_uneven_paths(profiles))
-    if not uneven.isEmpty():
+    if not _level_libraries(profiles).isEmpty():
+        uneven = checkpointed(_uneven_paths(profiles))
         flagged = uneven.withColumn("_uneven", F.lit(True))
         own = F.md5(F.concat("profile_id", "finding_id"))
         profiled = profiled.join(flagged, "path_key", "left")
