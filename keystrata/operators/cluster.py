@@ -161,10 +161,12 @@ def line_islands(df: DataFrame, keys: list[str], line: str = "line", gap: int =
     ``gap`` apart, that a row belongs to within ``keys`` (which must not be null).
 
     Two levels keep any one window small: breaks are found inside buckets of BUCKET_LINES
-    lines, and only one row per bucket takes part in linking buckets to runs.
+    lines, and only one row per bucket takes part in linking buckets to runs. Rows are
+    spread by bucket explicitly, or Spark would keep a coarser partitioning it finds in
+    place and put all of a large path into one task.
     """
     at = F.col(line)
-    df = df.withColumn("_bucket", F.floor(at / BUCKET_LINES))
+    df = df.withColumn("_bucket", F.floor(at / BUCKET_LINES)).repartition(*keys, "_bucket")
     inside = W.partitionBy(*keys, "_bucket").orderBy(line)
     across = W.partitionBy(*keys).orderBy("_bucket")
     step = at - F.lag(line).over(inside)
