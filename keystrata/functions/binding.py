@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,9 +24,3 @@ def bind(df: DataFrame, **exprs: Column) -> DataFrame:
     cells = [F.col(f"`{c}`").alias(c) for c in structs] + [e.alias(n) for n, e in exprs.items()]
     out = df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*cells))))
     return out.select(*[F.col(f"`{c}`") for c in columns], *[n for n in exprs if n not in columns])
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once. Meant for expressions under a
-    condition few rows meet: it is evaluated without generated code."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from keystrata.dims import aliases
-from keystrata.functions.binding import let
 from keystrata.functions.text import lookup, nonempty, pattern
 
 
@@ -32,11 +31,9 @@ def canonical_curve(hint: Column, symbol: Column) -> Column:
     one that comes first in the alias list."""
     given = nonempty(hint)
     word = pattern(r"\b(?:" + "|".join(aliases.CURVES) + r")\b")
-    order = {a: i for i, a in enumerate(aliases.CURVES)}
-    first = F.array_min(F.transform(
-        F.regexp_extract_all(F.lower(symbol), F.lit(word), F.lit(0)), lambda w: lookup(w, order)
-    ))
-    found = F.get(F.array(*[F.lit(c) for c in aliases.CURVES.values()]), first)
+    found = F.lit(None).cast("string")
+    for alias, curve in reversed(aliases.CURVES.items()):
+        found = F.when(symbol.rlike(pattern(rf"\b{alias}\b")), curve).otherwise(found)
     return F.when(given.isNotNull(), F.coalesce(lookup(F.lower(given), aliases.CURVES), given)).otherwise(
         F.when(symbol.rlike(word), found)
     )
@@ -65,37 +62,57 @@ def _filled(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def has_transformation(text: Column) -> Column:
+    return F.contains(text, F.lit("/")) & text.rlike(_TWO)
+
+
+def transformation_parts(text: Column) -> Column:
+    """[algorithm, mode, padding] of a text that has a transformation."""
+    return F.when(text.rlike(_THREE), _groups(text, _THREE, "$1|$2|$3")).otherwise(_groups(text, _TWO, "$1|$2|"))
+
+
+def transformation(parts: Column) -> Column:
+    return F.struct(
+        parts[0].alias("algorithm"),
+        canonical_mode(parts[1]).alias("mode"),
+        canonical_padding(_filled(parts[2])).alias("padding"),
+    )
+
+
 def parse_transformation(text: Column) -> Column:
     """ALG/MODE/PADDING or ALG/MODE anywhere in the text, as struct<algorithm, mode, padding>
     (null without one)."""
-    parts = F.when(text.rlike(_THREE), _groups(text, _THREE, "$1|$2|$3")).when(
-        text.rlike(_TWO), _groups(text, _TWO, "$1|$2|")
-    )
-    return F.when(text.rlike(_TWO), let(parts, lambda p: F.struct(
-        p[0].alias("algorithm"),
-        canonical_mode(p[1]).alias("mode"),
-        canonical_padding(_filled(p[2])).alias("padding"),
-    )))
+    return F.when(has_transformation(text), transformation(transformation_parts(text)))
 
 
 _EVP = r"(?i:EVP_)(?i:aes_(\d{3})_([a-z0-9]+)|(sha\d+|sha3_\d+|md5))"
 
 
+def has_evp(text: Column) -> Column:
+    """Whether the text holds an OpenSSL envelope name that tells an algorithm."""
+    return F.contains(text, F.lit("EVP_")) & (text.rlike(_EVP) | F.upper(text).rlike("RSA|EC"))
+
+
+def evp_parts(text: Column) -> Column:
+    """[AES bits, AES mode, digest, plain algorithm] of such a text."""
+    plain = F.when(F.contains(F.upper(text), F.lit("RSA")), "|||RSA").otherwise("|||ECDSA")
+    return F.when(text.rlike(_EVP), _groups(text, _EVP, "$1|$2|$3|")).otherwise(F.split(plain, r"\|"))
+
+
+def evp(parts: Column) -> Column:
+    bits, mode = _filled(parts[0]), _filled(F.upper(parts[1]))
+    digest = F.regexp_replace(F.upper(parts[2]), "^SHA(?=.)", "SHA-")
+    return F.struct(
+        F.when(bits.isNotNull(), F.concat_ws("-", F.lit("AES"), bits, mode))
+        .when(parts[2] != "", digest).otherwise(parts[3]).alias("algorithm"),
+        bits.cast("int").alias("key"),
+        mode.alias("mode"),
+    )
+
+
 def parse_evp(text: Column) -> Column:
     """OpenSSL envelope names as struct<algorithm, key, mode> (null when not one)."""
-    upper = F.upper(text)
-    digest = lambda d: F.regexp_replace(F.upper(d), "^SHA(?=.)", "SHA-")
-    made = lambda a, k, m: F.struct(
-        a.alias("algorithm"), k.cast("int").alias("key"), m.cast("string").alias("mode"))
-    none = F.lit(None)
-    return F.when(
-        F.contains(text, F.lit("EVP_")),
-        F.when(text.rlike(_EVP), let(_groups(text, _EVP, "$1|$2|$3"), lambda p: F.when(
-            p[0] != "", made(F.concat_ws("-", F.lit("AES"), p[0], F.upper(p[1])), p[0], F.upper(p[1]))
-        ).otherwise(made(digest(p[2]), none, none))))
-        .when(F.contains(upper, F.lit("RSA")), made(F.lit("RSA"), none, none))
-        .when(F.contains(upper, F.lit("EC")), made(F.lit("ECDSA"), none, none)),
-    )
+    return F.when(has_evp(text), evp(evp_parts(text)))
 
 
 _STRUCTURED = (
@@ -104,21 +121,34 @@ _STRUCTURED = (
 )
 
 
+def name_parts(name: Column) -> Column:
+    """[AES bits, AES mode, RSA bits, SHA digits] of a structured name, null for others."""
+    dashed = F.replace(name, F.lit("_"), F.lit("-"))
+    return F.when(
+        dashed.rlike(_STRUCTURED), F.split(F.regexp_replace(dashed, _STRUCTURED, "$1$3|$2$4$5|$6|$7"), r"\|")
+    )
+
+
+def structured_name(name: Column, parts: Column) -> Column:
+    rsa, sha = _filled(parts[2]), _filled(parts[3])
+    return F.struct(
+        F.when(parts.isNull(), name)
+        .when(rsa.isNotNull(), F.lit("RSA"))
+        .when(sha.isNotNull(), F.concat(F.lit("SHA-"), sha))
+        .otherwise(F.lit("AES"))
+        .alias("algorithm"),
+        F.coalesce(rsa, _filled(parts[0])).cast("int").alias("key"),
+        F.upper(_filled(parts[1])).alias("mode"),
+    )
+
+
 def parse_algorithm_name(name: Column) -> Column:
     """Parameters carried by a structured name, as struct<algorithm, key, mode>.
 
     AES-256-GCM, AES-256, AES256[GCM], AES-GCM, RSA-2048 and SHA256 are understood;
     any other name comes back unchanged without parameters.
     """
-    dashed = F.replace(name, F.lit("_"), F.lit("-"))
-    parts = F.split(F.regexp_replace(dashed, _STRUCTURED, "$1$3|$2$4$5|$6|$7"), r"\|")
-    made = lambda a, k, m: F.struct(a.alias("algorithm"), k.cast("int").alias("key"), m.cast("string").alias("mode"))
-    none = F.lit(None)
-    return F.when(dashed.rlike(_STRUCTURED), let(parts, lambda p: (
-        F.when(p[2] != "", made(F.lit("RSA"), p[2], none))
-        .when(p[3] != "", made(F.concat(F.lit("SHA-"), p[3]), none, none))
-        .otherwise(made(F.lit("AES"), _filled(p[0]), F.upper(_filled(p[1]))))
-    ))).otherwise(made(name, none, none))
+    return structured_name(name, name_parts(name))
 
 
 def key_from_symbol(symbol: Column, algorithm: Column) -> Column:

@@ -31,7 +31,6 @@ def normalize(findings: DataFrame, forms_in_libraries: bool = False) -> DataFram
     ``forms_in_libraries`` asks for it.
     """
     raw, said = F.col("_raw"), F.col("_said")
-    has = lambda c, part: F.contains(c, F.lit(part))
     hint = F.col("key_size_hint")
     df = bind(
         findings,
@@ -40,21 +39,20 @@ def normalize(findings: DataFrame, forms_in_libraries: bool = False) -> DataFram
         path_key=norm_path(F.coalesce("location.file_path", F.lit(""))),
     )
     df = bind(df, implementation_library=naming.canonical_library(F.col("library_hint")))
-    df = bind(
-        df,
-        _form=F.when(
-            (has(raw, "/") | has(said, "/")) & (F.lit(forms_in_libraries) | (F.col("artifact_category") != "LIBRARY")),
-            F.coalesce(naming.parse_transformation(raw), naming.parse_transformation(said)),
-        ),
-    )
+    # Each form is read from the symbol, else from the suspected name: first the text that
+    # has it, then its parts, then the attributes.
+    allowed = F.lit(forms_in_libraries) | (F.col("artifact_category") != "LIBRARY")
+    df = bind(df, _text=F.when(allowed, F.when(naming.has_transformation(raw), raw).when(naming.has_transformation(said), said)))
+    df = bind(df, _parts=F.when(F.col("_text").isNotNull(), naming.transformation_parts(F.col("_text"))))
+    df = bind(df, _form=F.when(F.col("_parts").isNotNull(), naming.transformation(F.col("_parts"))))
     df = bind(df, _said=F.coalesce("_form.algorithm", "_said"))
-    df = bind(
-        df,
-        _evp=F.when(has(raw, "EVP_") | has(said, "EVP_"), F.coalesce(naming.parse_evp(raw), naming.parse_evp(said))),
-    )
+    df = bind(df, _text=F.when(naming.has_evp(raw), raw).when(naming.has_evp(said), said))
+    df = bind(df, _parts=F.when(F.col("_text").isNotNull(), naming.evp_parts(F.col("_text"))))
+    df = bind(df, _evp=F.when(F.col("_parts").isNotNull(), naming.evp(F.col("_parts"))))
     vague = said.isNull() | F.startswith(F.upper(said), F.lit("EVP")) | F.upper(said).isin("AES", "SHA", "RSA", "HASH")
     df = bind(df, _said=F.when(F.col("_evp.algorithm").isNotNull() & vague, F.col("_evp.algorithm")).otherwise(said))
-    df = bind(df, _name=F.when(said.isNotNull(), naming.parse_algorithm_name(said)))
+    df = bind(df, _parts=naming.name_parts(said))
+    df = bind(df, _name=F.when(said.isNotNull(), naming.structured_name(said, F.col("_parts"))))
     df = bind(
         df,
         _said=F.coalesce("_name.algorithm", "_said"),
