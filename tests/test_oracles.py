@@ -4,10 +4,13 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from checks import assets, findings, inventory, sources
 from checks.compare import DATA, compare, connect
 
 SF = f"{DATA}/sf0.001"
+QUERIES = {k: v for m in (sources, findings, assets, inventory) for k, v in m.QUERIES.items()}
+SQL = {k: v for m in (sources, findings, assets, inventory) for k, v in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
 
 
@@ -17,12 +20,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    ok, message = compare(spark, con, queries()[name], oracle_sql()[name], SF)
+    ok, message = compare(spark, con, QUERIES[name], SQL[name], SF)
     assert ok, message
 
 
