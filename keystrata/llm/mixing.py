@@ -162,7 +162,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     m = mix(docs, keep=True, **options)
     out = m.placed.join(m.sized.select("row", "size", "own"), "row")
     own = [F.col(f"own.`{c}`").alias(c) for c in docs.columns if c not in (*added, "text", "n_chars")]
-    text = F.when(F.col("words") < F.col("size"), F.expr("regexp_extract(own.text, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*+[^\\\\x20\\\\x09-\\\\x0D]++){', words, '}'), 0)")).otherwise(F.col("own.text"))
+    text = F.when(F.col("words") < F.col("size"), F.expr("regexp_extract(own.text, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*+[^\\\\x20\\\\x09-\\\\x0D]++){', words, '}+'), 0)")).otherwise(F.col("own.text"))
     out = out.select(*own, text.alias("text"), *([F.col("own.n_chars").alias("__n")] if "n_chars" in docs.columns else []), "words", "size", "shard", "position", "copy")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("words") < F.col("size"), F.length("text").cast("long")).otherwise(F.col("__n")))
