@@ -6,11 +6,11 @@
   stretch of the signature; classes with a common prefix of d values there form a region.
 * Links come in two passes. First every class is compared with the centre of the regions of
   full depth it lies in, which collapses large groups of copies with one comparison each.
-  Then regions of depth 3 that still hold several components are taken apart: small ones
-  pair by pair, larger ones by their centre and, one value deeper, again.
-* Candidates whose signatures agree too little for the threshold (four standard errors
-  below it) go; all others are confirmed on full shingle sets, best first, skipping pairs
-  that became connected meanwhile.
+  Then shallow regions that still hold several groups are taken apart: small ones pair by
+  pair, larger ones by their centre and, some values deeper, again. Pairs that one group
+  already holds, or whose sizes alone rule a link out, are never made.
+* Candidates whose signatures agree too little for the threshold (3.5 standard errors below
+  it) go; all others are confirmed on full shingle sets.
 * Components are closed over the confirmed links.
 
 Null, empty and blank texts have no shingles, are linked with nothing and stay. Repeated
@@ -35,7 +35,10 @@ from keystrata.session import checkpointed
 
 WORDS = 5
 PERCENT = 75
-TREES, DEPTH, SHALLOW = 24, 6, 3
+TREES, DEPTH = 24, 8
+#: Depths at which regions are taken apart. A link at the threshold shares 4 values in one
+#: of 24 trees at least with probability 1 - (1 - 0.75**4)**24 = 0.9999.
+LEVELS = (4, 6, DEPTH)
 #: Classes of a region that are still paired one by one.
 REGION = 48
 
@@ -100,10 +103,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) whose full sets are similar enough."""
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
-    # No pair passes whose sizes alone forbid it.
-    sized = pairs.select("a", "b").join(a.select("a", "na"), "a").join(b.select("b", "nb"), "b")
-    sized = sized.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b")
-    both = sized.join(a, "a").join(b, "b").select("a", "b", "na", "nb", _common("ma", "mb").alias("c"))
+    both = pairs.select("a", "b").join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "na", "nb", _common("ma", "mb").alias("c"))
     return both.where(f"100 * c >= {PERCENT} * (na + nb - c)").select("a", "b")
 
 
@@ -124,26 +124,27 @@ def _with_size(rows: DataFrame, depth: int) -> DataFrame:
     return keyed.join(sizes.where("size > 1"), "key")
 
 
-def _pairs_between(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of different components, from the forest's rows."""
-    own = rows.select("node", "tree", "label").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comp is not None else rows.select("node", "tree", "label", F.col("node").alias("comp"))
-    out, empty = [], True
-    for depth in range(SHALLOW, DEPTH + 1):
+def _pairs_between(rows: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of different groups, from rows (node, n, comp, tree, label)."""
+    out, own = [], rows
+    for depth in LEVELS:
+        last = depth == DEPTH
         keyed = own.withColumn("key", _region(depth))
         mixed = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         keyed = checkpointed(keyed.join(mixed.select("key", "size"), "key"))
-        last = depth == DEPTH
-        if last:  # equal in this tree's whole stretch: deal the region into runs by the next tree's order
-            keyed = keyed.withColumn("key", F.when(F.col("size") <= REGION, F.col("key")).otherwise(F.xxhash64("key", F.floor(F.pmod(F.xxhash64("comp", "node"), F.lit(1 << 20)) * F.ceil(2 * F.col("size") / REGION) / (1 << 20)))))
-        small = keyed if last else keyed.where(F.col("size") <= REGION)
-        groups = small.groupBy("key").agg(F.collect_list(F.struct("node", "comp")).alias("all"))
+        large = keyed.where(F.col("size") > REGION)
+        # Regions that are equal in a tree's whole stretch are dealt into runs by a hash.
+        run = F.floor(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.ceil(2 * F.col("size") / REGION) / (1 << 20))
+        small = keyed.withColumn("key", F.when(F.col("size") <= REGION, F.col("key")).otherwise(F.xxhash64("key", run))) if last else keyed.where(F.col("size") <= REGION)
+        groups = small.groupBy("key").agg(F.collect_list(F.struct("node", "n", "comp")).alias("all"))
         one = groups.select("all", F.explode("all").alias("x"))
-        out.append(one.select(F.col("x.node").alias("a"), F.explode(F.filter("all", lambda y: (y.node > F.col("x.node")) & (y.comp != F.col("x.comp")))).alias("y")).select("a", F.col("y.node").alias("b")))
-        large = keyed.where(F.col("size") > REGION) if not last else keyed.where(F.col("size") > REGION).withColumn("key", _region(depth))
-        centred = large.join(_centres(large), "key").join(large.select(F.col("node").alias("centre"), F.col("comp").alias("other")).distinct(), "centre")
-        out.append(centred.where("comp <> other").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
-        own = large.select("node", "tree", "label", "comp")
-        if last or large.isEmpty():
+        other = lambda y: (y.node > F.col("x.node")) & (y.comp != F.col("x.comp")) & (100 * F.least(y.n, F.col("x.n")) >= PERCENT * F.greatest(y.n, F.col("x.n")))
+        out.append(one.select(F.col("x.node").alias("a"), F.explode(F.transform(F.filter("all", other), lambda y: y.node)).alias("b")))
+        centre = large.select(F.col("node").alias("centre"), F.col("comp").alias("other")).distinct()
+        centred = large.join(_centres(large), "key").join(centre, "centre").where("comp <> other")
+        out.append(centred.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
+        own = large.select(*rows.columns)
+        if large.isEmpty():
             break
     pairs = out[0]
     for more in out[1:]:
@@ -151,52 +152,49 @@ def _pairs_between(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     return pairs.distinct()
 
 
+def _grouped(confirmed: DataFrame) -> DataFrame:
+    """(node, comp): two steps of the smallest label over the links, enough to name stars."""
+    both = checkpointed(confirmed.union(confirmed.select("b", "a")).toDF("node", "next"))
+    first = both.groupBy("node").agg(F.least("node", F.min("next")).alias("comp"))
+    second = both.join(first.toDF("next", "near"), "next").groupBy("node").agg(F.min("near").alias("near"))
+    return checkpointed(first.join(second, "node").select("node", F.least("comp", "near").alias("comp")))
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, comp): members (doc_id, n_shingles, node) has each document's class, comp
-    (node, comp) the component of each class that is linked with another."""
+    """(members, confirmed): members (doc_id, n_shingles, node) has each document's class,
+    confirmed (a, b) links between classes that connect all linked ones."""
     docs = docs.select("doc_id", "text")
     sketch = checkpointed(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, sig binary"))
-    classes = checkpointed(sketch.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")).where("node is not null"))
-    rows = classes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = rows.select("node", "tree", F.substring("sig", F.col("tree") * F.lit(2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("label"))
-    rows = checkpointed(_with_size(rows, SHALLOW).select("node", "tree", "label"))
+    classes = sketch.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = checkpointed(classes.where("node is not null"))
+    rows = classes.select("node", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select("node", "n", "tree", F.substring("sig", F.col("tree") * F.lit(2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("label"))
+    rows = checkpointed(_with_size(rows, LEVELS[0]).select("node", "n", "tree", "label"))
 
-    needed = rows.select("node").distinct()
-    sets = checkpointed(docs.join(needed, docs["doc_id"] == needed["node"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "node long, n long, members binary"))
+    needed = checkpointed(rows.select("node").distinct())
+    sets = docs.join(needed, docs["doc_id"] == needed["node"], "left_semi").mapInArrow(_sets, "node long, n long, members binary")
+    sets = checkpointed(sets.join(classes.select("node", "n"), ["node", "n"], "left_semi"))
 
     # First pass: each class and the centre that it shares most trees with.
     deep = checkpointed(_with_size(rows, DEPTH))
     star = deep.join(_centres(deep), "key").where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("shared"))
     star = star.groupBy("node").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("centre"))
-    confirmed = checkpointed(_confirm(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), sets))
-    comp = checkpointed(components(confirmed).toDF("node", "comp"))
-
-    # Second pass: what is left between components.
-    sigs = classes.select("node", "sig")
-    pairs = _pairs_between(rows, comp)
-    a, b = sigs.toDF("a", "sa"), sigs.toDF("b", "sb")
-    least = PERCENT / 100 - 4 * (PERCENT / 100 * (1 - PERCENT / 100) / (TREES * DEPTH)) ** 0.5
-    open_ = checkpointed(pairs.join(a, "a").join(b, "b").select("a", "b", _agreement("sa", "sb").alias("estimate")).where(F.col("estimate") >= least))
-    for turn in range(3):
-        named = open_.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
-        open_ = checkpointed(named.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "estimate"))
-        if open_.isEmpty():
-            break
-        now = open_.select("a", "b")
-        if turn < 2:
-            best = open_.select("a", "b", "estimate", F.col("a").alias("node")).union(open_.select("a", "b", "estimate", F.col("b").alias("node")))
-            now = checkpointed(best.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("estimate", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct())
-        fresh = checkpointed(_confirm(now, sets))
-        open_ = open_.join(now, ["a", "b"], "left_anti")
-        confirmed = confirmed.union(fresh)
-        comp = checkpointed(components(confirmed).toDF("node", "comp"))
+    star = checkpointed(_confirm(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), sets))
+
+    # Second pass: what is left between groups.
+    rows = rows.join(_grouped(star), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    a, b = (classes.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
+    least = PERCENT / 100 - 3.5 * (PERCENT / 100 * (1 - PERCENT / 100) / (TREES * DEPTH)) ** 0.5
+    likely = checkpointed(_pairs_between(rows).join(a, "a").join(b, "b").select("a", "b", _agreement("sa", "sb").alias("estimate")).where(F.col("estimate") >= least))
+    more = checkpointed(_confirm(likely, sets))
     members = sketch.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "node"), "set_key", "left").select("doc_id", "n_shingles", "node")
-    return members, comp
+    return members, star.union(more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    members, comp = links(docs)
+    members, confirmed = links(docs)
+    comp = components(confirmed).toDF("node", "comp")
     out = members.join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node", "doc_id").alias("component_id"))
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
