@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import contamination, mixing, neardup, pii, quality, warc
+from keystrata.llm import contamination, language, mixing, neardup, pii, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -40,6 +45,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op4_near_duplicates": op4_near_duplicates,
+    "op7_language": op7_language,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
