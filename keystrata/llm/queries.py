@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import contamination, extraction, language, mixing, neardup, pii, quality, warc
+from keystrata.llm import contamination, extraction, language, media, mixing, neardup, pii, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.measured(media.store(table(spark, sf_dir, "documents")))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_html": op3_html,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_media": op5_media,
     "op7_language": op7_language,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
