@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import contamination, extraction, language, media, mixing, neardup, pii, quality, warc
+from keystrata.llm import contamination, extraction, language, licenses, media, mixing, neardup, pii, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.measured(media.store(table(spark, sf_dir, "documents")))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
@@ -55,6 +59,7 @@ QUERIES = {
     "op3_html": op3_html,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_media": op5_media,
+    "op6_licenses": op6_licenses,
     "op7_language": op7_language,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
