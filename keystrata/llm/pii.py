@@ -16,29 +16,35 @@ scanned one by one. Columns other than the text pass through untouched.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.functions.binding import bind
 
-# Letters and total lengths of IBANs by country.
-_IBAN = """
-AD 24, AE 23, AL 28, AT 20, AZ 28, BA 20, BE 16, BG 22, BH 22, BR 29, BY 28, CH 21, CR 22, CY 28, CZ 24, DE 22, DK 18,
-DO 28, EE 20, EG 29, ES 24, FI 18, FO 18, FR 27, GB 22, GE 22, GI 23, GL 18, GR 27, GT 28, HR 21, HU 28, IE 22, IL 23,
-IQ 23, IS 26, IT 27, JO 30, KW 30, KZ 20, LB 28, LC 32, LI 21, LT 20, LU 20, LV 21, MC 27, MD 24, ME 22, MK 19, MR 27,
-MT 31, MU 30, NL 18, NO 15, PK 24, PL 28, PS 29, PT 25, QA 29, RO 24, RS 22, SA 24, SC 31, SE 24, SI 19, SK 24, SM 27,
-ST 25, SV 28, TL 23, TN 24, TR 26, UA 29, VA 22, VG 24, XK 20
-"""
+# Countries by the length of their IBANs.
+_IBAN = {
+    15: ["NO"],
+    16: ["BE"],
+    18: ["DK", "FI", "FO", "GL", "NL"],
+    19: ["MK", "SI"],
+    20: ["AT", "BA", "EE", "KZ", "LT", "LU", "XK"],
+    21: ["CH", "HR", "LI", "LV"],
+    22: ["BG", "BH", "CR", "DE", "GB", "GE", "IE", "ME", "RS", "VA"],
+    23: ["AE", "GI", "IL", "IQ", "TL"],
+    24: ["AD", "CZ", "ES", "MD", "PK", "RO", "SA", "SE", "SK", "TN", "VG"],
+    25: ["PT", "ST"],
+    26: ["IS", "TR"],
+    27: ["FR", "GR", "IT", "MC", "MR", "SM"],
+    28: ["AL", "AZ", "BY", "CY", "DO", "GT", "HU", "LB", "PL", "SV"],
+    29: ["BR", "EG", "PS", "QA", "UA"],
+    30: ["JO", "KW", "MU"],
+    31: ["MT", "SC"],
+    32: ["LC"],
+}
 
 
 def _iban_pattern() -> str:
-    by_length = defaultdict(list)
-    for entry in _IBAN.split(","):
-        country, length = entry.split()
-        by_length[int(length)].append(country)
-    forms = (f"(?:{'|'.join(c)})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by_length.items()))
+    forms = (f"(?:{'|'.join(c)})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(_IBAN.items()))
     return f"(?<![A-Za-z0-9])(?:{'|'.join(forms)})(?![A-Za-z0-9])"
 
 
