@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.derived import for_duckdb, for_spark, table
 from checks.findings import _SYM, _PRE, values
-from keystrata.dims import patterns
+from keystrata.dims import libraries, patterns
 from keystrata.functions.text import text_lines
 from keystrata.sources import binary, container, files, repository
 
@@ -219,6 +219,35 @@ def _(spark, sf):
         F.col("location.file_path").alias("path"), F.col("location.snippet").alias("snippet"))
 
 
+@check("scan_repository", f"""
+WITH {_SOURCES}, per(language, method, n) AS (VALUES ('python', 'IMPORT_ANALYSIS', 4), ('python', 'AST', 3), ('javascript', 'IMPORT_ANALYSIS', 2),
+  ('javascript', 'API_CALL', 2), ('java', 'IMPORT_ANALYSIS', 2), ('java', 'API_CALL', 2), ('c', 'IMPORT_ANALYSIS', 2), ('c', 'API_CALL', 4)),
+line AS (SELECT path, language, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM sources WHERE language <> 'go'),
+{_PATTERNS}, hit AS ({_each_pattern('path, language, line, l', 'line')}),
+scored AS (SELECT *, CASE WHEN language = 'python' THEN regexp_matches(l, '^\\s*#') ELSE regexp_matches(l, '^\\s*(//|\\*|/\\*)') END AS remarked FROM hit JOIN pat USING (ordinal)),
+n AS (SELECT path, method, n FROM sources JOIN per USING (language)
+  UNION ALL SELECT path, 'REGEX', count(*) FROM scored WHERE NOT remarked OR remark >= CASE WHEN language = 'python' THEN 0.20 ELSE 0.22 END GROUP BY path)
+SELECT path, method, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS places FROM n""")
+def _(spark, sf):
+    return repository.scan_repository(sources(spark, sf)).groupBy(F.col("location.file_path").alias("path"), F.col("discovery_method").alias("method")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("emit_seq").alias("places"))
+
+
+_LONG = "(SELECT doc_id, concat(repeat('AES ', 300), replace(text, chr(10), ' MD5 ')) AS text FROM documents)"
+
+
+@check("emission_order", f"""
+WITH {_PATTERNS}, line AS (SELECT doc_id, text AS l FROM {_LONG} q), ascii AS (SELECT doc_id, {_ASCII.format('l')} AS l FROM line),
+hit AS ({_each_pattern('doc_id', 'ascii')})
+SELECT CAST(doc_id AS VARCHAR) AS path, count(*) AS n, count(*) AS places FROM hit GROUP BY ALL""")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("path"), F.lit("python").alias("language"),
+        F.concat(F.repeat(F.lit("AES "), F.lit(300)), F.replace("text", F.lit("\n"), F.lit(" MD5 "))).alias("text"))
+    return repository.scan_patterns(docs).groupBy(F.col("location.file_path").alias("path")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("emit_seq").alias("places"))
+
+
 # --- files ------------------------------------------------------------------
 
 _HEADS = [("tool", "7F454C4602010100"), ("a.exe", "4D5A90000300"), ("mac", "CFFAEDFE0700"), ("fat.bin", "CAFEBABE00000002"),
@@ -388,7 +417,7 @@ SELECT want.path, raw_symbol, suspected_algorithm, library_hint, CAST(score AS D
     [("usr/lib/libssl.so.3", "usr/lib/libssl.so.3", "libssl.so.3", a, "OpenSSL", 0.95) for a in ("RSA", "AES", "ECDSA")]
     + [("lib64/libgnutls.so.30", "lib64/libgnutls.so.30", "libgnutls.so.30", None, None, 0.55)]))
 def _(spark, sf):
-    return _counted(container.scan_shared_libs(tree(spark, sf), container.container_context("image:1")))
+    return _counted(container.scan_shared_libs(tree(spark, sf), container.container_context("image:1"), most=3))
 
 
 _P = "etc/ssl/a.pem"
@@ -406,7 +435,7 @@ _D = "var/lib/dpkg/status"
 
 @check("scan_dpkg", _tree_expected([(_D, _D, "openssl==3.0", "RSA", "OpenSSL", 0.90), (_D, _D, "libsodium==unknown", "ED25519", "libsodium", 0.90)]))
 def _(spark, sf):
-    return _counted(container.scan_dpkg(tree(spark, sf), container.container_context("image:1")))
+    return _counted(container.scan_dpkg(tree(spark, sf), container.container_context("image:1"), most=1))
 
 
 _B = "usr/lib/python3/dist-packages/bcrypt-4.0.dist-info"
@@ -414,7 +443,7 @@ _B = "usr/lib/python3/dist-packages/bcrypt-4.0.dist-info"
 
 @check("scan_pip", _tree_expected([(_B + "/METADATA", _B, "bcrypt==4.0", "bcrypt", "bcryptjs", 0.83)], True))
 def _(spark, sf):
-    return _counted(container.scan_pip(tree(spark, sf), container.container_context("image:1")))
+    return _counted(container.scan_pip(tree(spark, sf), container.container_context("image:1"), most=1))
 
 
 _N = "usr/lib/node_modules/"
@@ -424,7 +453,23 @@ _N = "usr/lib/node_modules/"
     (_N + "jose/package.json", _N + "jose/package.json", "jose@5.1", "RSA", "jose", 0.75),
     (_N + "jsonwebtoken/package.json", _N + "jsonwebtoken/package.json", "jsonwebtoken@unknown", "RSA", "jsonwebtoken", 0.77)], True))
 def _(spark, sf):
-    return _counted(container.scan_npm(tree(spark, sf), container.container_context("image:1")))
+    return _counted(container.scan_npm(tree(spark, sf), container.container_context("image:1"), most=1))
+
+
+def _all_algorithms(library: str) -> list[str]:
+    return next(r["primary_algorithms"] for r in libraries.library_rows() if r["library"] == library)
+
+
+@check("scan_container", _tree_expected(
+    [("usr/lib/libssl.so.3", "usr/lib/libssl.so.3", "libssl.so.3", a, "OpenSSL", 0.95) for a in _all_algorithms("OpenSSL")]
+    + [("lib64/libgnutls.so.30", "lib64/libgnutls.so.30", "libgnutls.so.30", None, None, 0.55)]
+    + [(_D, _D, "openssl==3.0", a, "OpenSSL", 0.90) for a in _all_algorithms("OpenSSL")]
+    + [(_D, _D, "libsodium==unknown", a, "libsodium", 0.90) for a in _all_algorithms("libsodium")]
+    + [(_P, _P, "-----BEGIN CERTIFICATE-----", None, None, 0.95), (_P, _P, "-----BEGIN RSA PRIVATE KEY-----", None, None, 0.95),
+       (_P, _P, "-----BEGIN CERTIFICATE-----", None, None, 0.93), (_P, _P, "-----BEGIN RSA PRIVATE KEY-----", "RSA", None, 0.97)]))
+def _(spark, sf):
+    src = tree(spark, sf).where("NOT path LIKE '%node_modules%' AND NOT path LIKE '%dist-packages%'")
+    return _counted(container.scan_container(src, container.container_context("image:1")))
 
 
 # --- scans as records -------------------------------------------------------
@@ -445,8 +490,3 @@ def _(spark, sf):
     from keystrata.operators import listing
 
     return listing.scan_summary(for_spark(spark, sf, SCANS))
-
-
-@check("json_fields", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events""")
-def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))

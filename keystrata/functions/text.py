@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.binding import bind
 
-# Marks the start of a match inside a text; private use, so neither a word nor a space character.
-MARK = ""
-_MARK_STAND_IN = ""
-
-
 def pattern(regex: str, ignore_case: bool = True) -> str:
     """A Java regex with word and space classes over all of Unicode and only line feeds as
     line ends."""
@@ -48,8 +43,17 @@ def is_comment(line: Column, language: str) -> Column:
     return line.rlike(opener)
 
 
-def snippet(lines: Column, line_no: Column, context: int = 2, limit: int = 200) -> Column:
-    """The line and its neighbours, cut with an ellipsis beyond ``limit`` characters."""
+SNIPPET = 200
+
+
+def line_heads(lines: Column, limit: int = SNIPPET) -> Column:
+    """As much of each line as a snippet of ``limit`` characters can show."""
+    return F.transform(lines, lambda s: F.substring(s, 1, limit + 1))
+
+
+def snippet(lines: Column, line_no: Column, context: int = 2, limit: int = SNIPPET) -> Column:
+    """The line and its neighbours for display, cut with an ellipsis beyond ``limit``
+    characters. ``lines`` may hold only the heads of the lines."""
     first = F.greatest(F.lit(1), line_no - context)
     joined = F.array_join(F.slice(lines, first, line_no + context - first + 1), "\n")
     return F.when(F.length(joined) <= limit, joined).otherwise(
@@ -57,66 +61,80 @@ def snippet(lines: Column, line_no: Column, context: int = 2, limit: int = 200)
     )
 
 
-def marked(text: Column, regex: str) -> Column:
-    """The text with a mark put before every match."""
-    return F.regexp_replace(F.translate(text, MARK, _MARK_STAND_IN), F.lit(f"({regex})"), F.lit(MARK + "$1"))
+_BLOCK = 256
+
 
+def prefix_sums(df: DataFrame, **steps: str) -> DataFrame:
+    """Adds for each ``name=column`` the array of sums of all earlier elements of an array
+    column. Sums run in blocks, so long arrays cost little more than linear time."""
+    blocks = lambda c: F.sequence(F.lit(0), F.floor(F.size(c) / _BLOCK).cast("int"))
+    part = lambda c, b: F.slice(c, b * _BLOCK + 1, F.lit(_BLOCK))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    df = bind(df, **{f"_sum_{n}": F.transform(blocks(c), lambda b: total(part(c, b))) for n, c in steps.items()})  # noqa: B023
+    df = bind(df, **{f"_sum_{n}": F.aggregate(
+        f"_sum_{n}", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))) for n in steps})
 
-def marked_hits(df: DataFrame, regex: str, take: str | None = None, text: str = "text") -> DataFrame:
-    """One row per match of ``regex`` in the text column: line, ordinal (within the line),
-    symbol, line_text and snippet replace the text; other columns stay.
+    def within(name: str, column: str) -> Column:
+        zero = lambda b: F.struct(F.get(F.col(f"_sum_{name}"), b).alias("at"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.flatten(F.transform(blocks(column), lambda b: F.aggregate(part(column, b), zero(b), step)["out"]))
 
-    The text is marked before each match and then cut into lines, so the line number is the
-    index of the piece and the work is linear in the text, however many matches there are.
-    The regex may run over line ends; a match counts for the line it starts on, and only
-    such a match looks at the lines that follow.
+    return bind(df, **{n: within(n, c) for n, c in steps.items()}).drop(*(f"_sum_{n}" for n in steps))
 
-    ``take`` is the regex to read from the mark on when it differs from what is marked (a
-    call's name is marked, its argument list read as well); where it does not match, the
-    symbol is what was marked. Neither regex may have a shorter match on the first line of a
-    match that spans several.
+
+def line_ends(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def text_hits(
+    df: DataFrame, regexes: dict[str, str], only: dict[str, Column] | None = None, flags: dict[str, str] | None = None, text: str = "text",
+) -> DataFrame:
+    """One row per match of each regex in the text column, from one pass over the table:
+    which (the regex's name), line, place (offset of the match), ordinal (its number in the
+    text), symbol, after (what follows up to the next match) and snippet replace the text;
+    other columns stay. ``only`` limits a regex to rows; ``flags`` adds a boolean by name
+    that says whether the line a match starts on matches a regex.
+
+    A text is split at the matches; running sums over the lengths and line ends of gaps and
+    matches give places and lines, so the work is close to linear in the text and no row
+    carries more of it than its own match and the gap behind it.
     """
-    anchored = f"^(?:{take or regex})"
+    only, flags, names = only or {}, flags or {}, list(regexes)
     rest = [c for c in df.columns if c != text]
-    df = bind(df, _lines=text_lines(F.col(text)))
-    df = bind(df, _marked=F.split(marked(F.col(text), regex), "\n", -1))
-    marked_lines = F.filter(
-        F.transform("_marked", lambda s, i: F.struct(i.alias("i"), s.alias("s"))),
-        lambda h: F.contains(h["s"], F.lit(MARK)),
-    )
-
-    def unfinished(line: Column) -> Column:
-        if not take:
-            return F.regexp_extract(F.substring_index(line, MARK, -1), anchored, 0) == ""
-        pieces = F.split(line, MARK, -1)
-        places = F.sequence(F.lit(2), F.size(pieces))
-        return F.exists(places, lambda n: F.regexp_extract(
-            F.array_join(F.slice(pieces, n, F.size(pieces)), ""), anchored, 0) == "")
-
-    rows = df.select(*rest, "_lines", F.explode(F.transform(marked_lines, lambda h: F.struct(
-        (h["i"] + 1).cast("int").alias("line"),
-        F.split(h["s"], MARK, -1).alias("pieces"),
-        F.get(F.col("_lines"), h["i"]).alias("line_text"),
-        snippet(F.col("_lines"), h["i"] + 1).alias("snippet"),
-        # Following lines are kept only where some match of the line does not end on it.
-        F.when(
-            unfinished(h["s"]),
-            F.translate(F.array_join(F.slice("_marked", h["i"] + 2, F.size("_marked")), "\n"), MARK, ""),
-        ).alias("after"),
-    ))).alias("_h"))
-    rows = rows.select(
-        *rest, "_h.line", "_h.line_text", "_h.snippet", "_h.after", F.col("_h.pieces").alias("_pieces"),
-        F.posexplode(F.slice("_h.pieces", 2, F.size("_h.pieces"))).alias("ordinal", "_piece"),
-    )
-    reach = F.col("_piece")
-    if take:  # may run past the next mark
-        reach = F.array_join(F.slice("_pieces", F.col("ordinal") + 2, F.size("_pieces")), "")
-    rows = bind(rows, _own=F.regexp_extract(reach, anchored, 0), _reach=reach)
-    spanning = F.regexp_extract(F.concat_ws("\n", "_reach", "after"), anchored, 0)
-    rows = bind(rows, _symbol=F.when(F.col("_own") != "", F.col("_own")).otherwise(spanning))
-    bare = F.regexp_extract("_reach", f"^(?:{regex})", 0)
-    symbol = F.when(F.col("_symbol") != "", F.col("_symbol")).otherwise(bare)
-    return bind(rows, symbol=symbol).select(*rest, "line", "ordinal", "symbol", "line_text", "snippet")
+    source = F.col(text)
+    none = F.array().cast("array<string>")
+    some = {n: only.get(n, F.lit(True)) & source.rlike(regexes[n]) for n in names}
+    df = bind(df, **{f"_on{k}": some[n] for k, n in enumerate(names)})
+    anywhere = F.lit(False)
+    for k in range(len(names)):
+        anywhere = anywhere | F.col(f"_on{k}")
+    df = df.where(anywhere)
+    arrays = {"_lines": text_lines(source)}
+    for k, n in enumerate(names):
+        arrays[f"_found{k}"] = F.when(F.col(f"_on{k}"), all_matches(source, regexes[n])).otherwise(none)
+        arrays[f"_gaps{k}"] = F.when(F.col(f"_on{k}"), F.split(source, regexes[n], -1)).otherwise(none)
+    df = bind(df.select(*rest, text, *(f"_on{k}" for k in range(len(names)))), **arrays).drop(text, *(f"_on{k}" for k in range(len(names))))
+    steps: dict[str, Column] = {"_heads": line_heads(F.col("_lines"))}
+    steps |= {f"_flag_{f}": F.transform("_lines", lambda s: s.rlike(rx)) for f, rx in flags.items()}  # noqa: B023
+    for k in range(len(names)):
+        gap = lambda i, k=k: F.get(F.col(f"_gaps{k}"), i)
+        steps[f"_chars{k}"] = F.transform(f"_found{k}", lambda h, i: F.length(gap(i)) + F.length(h))  # noqa: B023
+        steps[f"_ends{k}"] = F.transform(f"_found{k}", lambda h, i: line_ends(gap(i)) + line_ends(h))  # noqa: B023
+    df = bind(df, **steps).drop("_lines")
+    df = prefix_sums(df, **{f"_at{k}": f"_chars{k}" for k in range(len(names))}, **{f"_line{k}": f"_ends{k}" for k in range(len(names))})
+
+    def hit(k: int, name: str):
+        def of(h: Column, i: Column) -> Column:
+            gap = F.get(F.col(f"_gaps{k}"), i)
+            line = (F.get(F.col(f"_line{k}"), i) + line_ends(gap)).cast("int")
+            return F.struct(
+                F.lit(name).alias("which"), (line + 1).alias("line"), (F.get(F.col(f"_at{k}"), i) + F.length(gap)).alias("place"),
+                i.alias("ordinal"), h.alias("symbol"), F.get(F.col(f"_gaps{k}"), i + 1).alias("after"), snippet(F.col("_heads"), line + 1).alias("snippet"),
+                *(F.get(F.col(f"_flag_{f}"), line).alias(f) for f in flags))
+
+        return F.transform(f"_found{k}", of)
+
+    return df.select(*rest, F.inline(F.concat(*(hit(k, n) for k, n in enumerate(names)))))
 
 
 def norm_path(path: Column) -> Column:

@@ -26,8 +26,9 @@ _PER_STEP = 8
 
 
 def _seq(phase: int, index: Column | int, ordinal: Column | int = 0) -> Column:
+    """Strings lie at different offsets, and a string has fewer matches than characters."""
     ordinal = ordinal if isinstance(ordinal, Column) else F.lit(ordinal)
-    return emission(phase, index, F.coalesce("position", F.lit(0)), ordinal)
+    return emission(phase, index, F.coalesce("byte_offset", F.lit(0)) + ordinal)
 
 
 def first_pattern(df: DataFrame, text: str) -> DataFrame:
@@ -63,7 +64,7 @@ def scan_binary_strings(strings: DataFrame) -> DataFrame:
     version strings, cipher suites, a PEM header, or else the first general pattern."""
     s = F.col("string")
     fmt = {"binary_format": F.col("binary_format")}
-    base = strings.withColumn("snippet", F.substring("string", 1, 120))
+    base = strings.withColumn("snippet", F.col("string"))
     versions = F.filter(
         F.array(*[
             F.struct(
@@ -78,7 +79,7 @@ def scan_binary_strings(strings: DataFrame) -> DataFrame:
     libraries = base.where(s.rlike(hint)).select("*", F.inline(versions))
     parts = [finding(
         libraries, "STRING_ANALYSIS", "LIBRARY", _STRINGS, _seq(1, F.col("index")), F.col("score"),
-        F.format_string("version string of %s | score=%.2f", "library", "score"), F.substring("string", 1, 100),
+        F.format_string("version string of %s | score=%.2f", "library", "score"), F.col("string"),
         library_hint=F.col("library"), **fmt,
     )]
     suites = base.where(F.contains(F.upper("string"), F.lit("TLS_"))).select(
@@ -108,9 +109,10 @@ def scan_binary_strings(strings: DataFrame) -> DataFrame:
 
 def scan_symbols(symbols: DataFrame) -> DataFrame:
     """Findings for the distinct known symbols of each binary (path, symbol, dll,
-    binary_format)."""
+    binary_format), in the order of ``ordinal`` where the listing has it, else of a hash."""
+    order = F.min("ordinal") if "ordinal" in symbols.columns else F.pmod(F.xxhash64(F.min("symbol")), F.lit(2**40))
     distinct = symbols.groupBy("path", "symbol").agg(
-        F.min("dll").alias("dll"), F.min("binary_format").alias("binary_format")
+        F.min("dll").alias("dll"), F.min("binary_format").alias("binary_format"), order.alias("place")
     )
     hits = match_symbol(distinct, "symbol").where(F.col("library").isNotNull())
     hits = hits.withColumn("position", F.lit(0)).withColumn(
@@ -118,10 +120,8 @@ def scan_symbols(symbols: DataFrame) -> DataFrame:
         F.concat_ws(" | ", F.concat(F.lit("Symbol: "), "symbol"), F.concat(F.lit("Library: "), "library"),
                     F.when(F.col("dll") != "", F.concat(F.lit("DLL: "), "dll"))),
     )
-    # Symbols have no order of their own beyond their name; a hash gives each its place.
-    place = F.pmod(F.xxhash64("symbol"), F.lit(10**13))
     return finding(
-        hits, "SYMBOL_INSPECTION", F.col("category"), _SYMBOLS, place, F.col("confidence"),
+        hits, "SYMBOL_INSPECTION", F.col("category"), _SYMBOLS, F.col("place"), F.col("confidence"),
         F.format_string("symbol of %s for %s | score=%.2f", "library", "algorithm", "confidence"), F.col("symbol"),
         suspected_algorithm=F.col("algorithm"), library_hint=F.col("library"), symbol_name=F.col("symbol"),
         binary_format=F.col("binary_format"),
@@ -170,7 +170,7 @@ def library_summary(symbols: DataFrame, correlated: DataFrame) -> DataFrame:
     rows = counts.join(present, ["path", "library_hint"], "left_anti").withColumn(
         "snippet", F.format_string("%d cryptographic symbols of %s", "n", "library_hint")
     ).withColumn("position", F.lit(0))
-    place = F.lit(9 * 10**16) + F.pmod(F.xxhash64("library_hint"), F.lit(10**13))
+    place = emission(9, 0, F.pmod(F.xxhash64("library_hint"), F.lit(2**40)))
     return finding(
         rows, "SYMBOL_INSPECTION", "LIBRARY", _CORRELATOR, place, F.lit(SUMMARY_SCORE),
         F.lit("several symbols of one library | score=0.95"),

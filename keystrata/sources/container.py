@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keystrata.dims import patterns
 from keystrata.functions.binding import bind
-from keystrata.functions.text import marked_hits, pattern
+from keystrata.functions.text import lookup, pattern, text_hits
 from keystrata.operators.lookups import match_library, match_shared_lib
 from keystrata.schemas import CONTAINER_CONTEXT
 from keystrata.sources.repository import emission, finding, union_all
@@ -50,23 +50,22 @@ def _folder() -> Column:
     return F.regexp_extract("path", "^(.*)/[^/]*$", 1)
 
 
-def _seq(phase: int, index: Column | int = 0, line: Column | None = None, ordinal: Column | None = None) -> Column:
-    zero = F.lit(0)
-    return emission(phase, index, zero if line is None else line, zero if ordinal is None else ordinal)
+def _algorithms(most: int | None) -> Column:
+    """A library's leading algorithms, all unless limited; one null where there are none."""
+    listed = F.col("primary_algorithms") if most is None else F.slice("primary_algorithms", 1, most)
+    return F.posexplode_outer(listed).alias("place", "algorithm")
 
 
-def scan_shared_libs(files: DataFrame, context: Column) -> DataFrame:
-    """Crypto-named shared objects in the standard directories: one finding per leading
-    algorithm of a known library, one general finding for an unknown one."""
+def scan_shared_libs(files: DataFrame, context: Column, most: int | None = None) -> DataFrame:
+    """Crypto-named shared objects in the standard directories: one finding per algorithm of
+    a known library (the first ``most`` if given), one general finding for an unknown one."""
     low = F.lower("name")
     named = F.lit(False)
     for part in CRYPTO_FRAGMENTS:
         named = named | F.contains(low, F.lit(part))
     shared = F.contains(low, F.lit(".so")) | F.endswith(low, F.lit(".dylib"))
     objects = files.where(_folder().isin(LIBRARY_DIRS) & shared & named).select("path", "name")
-    rows = match_shared_lib(objects, "name").select(
-        "*", F.posexplode_outer(F.slice("primary_algorithms", 1, 3)).alias("place", "algorithm")
-    )
+    rows = match_shared_lib(objects, "name").select("*", _algorithms(most))
     known = F.col("library").isNotNull()
     rows = bind(
         rows,
@@ -74,7 +73,7 @@ def scan_shared_libs(files: DataFrame, context: Column) -> DataFrame:
         snippet=F.concat(F.when(known, "Shared library: ").otherwise("Unlisted shared library: "), F.col("name")),
     )
     return finding(
-        rows, "LIBRARY_DETECTION", "LIBRARY", _FILES, _seq(_LIBS, ordinal=F.coalesce("place", F.lit(0))),
+        rows, "LIBRARY_DETECTION", "LIBRARY", _FILES, emission(_LIBS, 0, F.coalesce("place", F.lit(0))),
         F.col("_score"), F.format_string("shared object %s | score=%.2f", "name", "_score"), F.col("name"),
         suspected_algorithm=F.col("algorithm"), library_hint=F.col("library"), container_context=context,
     )
@@ -89,33 +88,32 @@ def scan_tls_config(files: DataFrame, context: Column) -> DataFrame:
     texts = files.where(
         inside & extension.isin(CONFIG_EXTENSIONS) & F.contains(F.col("text"), F.lit("-----"))
     ).select("path", "text")
-    blocks = marked_hits(texts, pattern(patterns.CONFIG_PEM_BLOCK, False)).drop("snippet")
-    blocks = blocks.withColumn("snippet", F.substring("symbol", 1, 80))
-    parts = [finding(
-        blocks, "STRING_ANALYSIS", "CERTIFICATE", _FILES, _seq(_PEM, 0, F.col("line"), F.col("ordinal")), F.lit(0.95),
-        F.lit("PEM block | score=0.95"), F.col("symbol"), container_context=context,
-    )]
-    for r in patterns.pattern_rows():
-        if r["category"] not in ("KEY_MATERIAL", "CERTIFICATE"):
-            continue
-        hits = marked_hits(texts, pattern(r["regex"])).drop("snippet")
-        parts.append(finding(
-            hits, "REGEX", r["category"], _FILES, _seq(_KEYS, r["pattern_ordinal"], F.col("line"), F.col("ordinal")),
-            F.lit(r["base_confidence"]), F.lit(f"pattern {r['pattern']} | score={r['base_confidence']:.2f}"),
-            F.col("symbol"), suspected_algorithm=F.lit(r["algorithm"]).cast("string"), container_context=context,
-        ))
-    return union_all(parts)
-
-
-def _package_findings(packages: DataFrame, manager: str, sep: str, phase: int, context: Column) -> DataFrame:
-    """Findings for (path, snippet, package, version, seq) rows of known packages."""
-    known = match_library(packages, "package", "package").where(F.col("library").isNotNull())
+    rows = {str(r["pattern_ordinal"]): r for r in patterns.pattern_rows() if r["category"] in ("KEY_MATERIAL", "CERTIFICATE")}
+    hits = text_hits(texts, {"pem": pattern(patterns.CONFIG_PEM_BLOCK, False), **{k: pattern(r["regex"]) for k, r in rows.items()}})
+    pem = F.col("which") == "pem"
+    of = lambda field: lookup(F.col("which"), {k: r[field] for k, r in rows.items()})
+    hits = bind(
+        hits, score=F.when(pem, 0.95).otherwise(of("base_confidence")), pattern=of("pattern"), category=F.when(pem, "CERTIFICATE").otherwise(of("category")),
+        suspect=lookup(F.col("which"), {k: r["algorithm"] for k, r in rows.items() if r["algorithm"]}) if any(r["algorithm"] for r in rows.values()) else F.lit(None).cast("string"),
+        snippet=F.when(pem, F.col("symbol")).otherwise(F.col("snippet")))
+    return finding(
+        hits, F.when(pem, "STRING_ANALYSIS").otherwise("REGEX"), F.col("category"), _FILES,
+        F.when(pem, emission(_PEM, 0, F.col("place"))).otherwise(emission(_KEYS, F.when(pem, 0).otherwise(F.col("which").try_cast("int")), F.col("place"))),
+        F.col("score"), F.when(pem, "PEM block | score=0.95").otherwise(F.format_string("pattern %s | score=%.2f", "pattern", "score")),
+        F.col("symbol"), suspected_algorithm=F.col("suspect"), container_context=context,
+    )
+
+
+def _package_findings(packages: DataFrame, manager: str, sep: str, phase: int, context: Column, most: int | None = None) -> DataFrame:
+    """Findings for (path, snippet, package, version, seq) rows of known packages: one per
+    algorithm of the library, or of the first ``most``."""
+    known = match_library(packages, "package", "package").where(F.col("library").isNotNull()).select("*", _algorithms(most))
     known = bind(known, _score=F.round(F.least(F.col("base_confidence") + 0.05, F.lit(0.90)), 4))
     return finding(
-        known, "PACKAGE_INSPECTION", "LIBRARY", _PACKAGES, _seq(phase, line=F.col("seq")), F.col("_score"),
+        known, "PACKAGE_INSPECTION", "LIBRARY", _PACKAGES, emission(phase, F.coalesce("place", F.lit(0)), F.col("seq")), F.col("_score"),
         F.format_string(manager + " package %s %s | score=%.2f", "package", "version", "_score"),
         F.concat("package", F.lit(sep), "version"),
-        suspected_algorithm=F.get("primary_algorithms", F.lit(0)), library_hint=F.col("library"),
+        suspected_algorithm=F.col("algorithm"), library_hint=F.col("library"),
         raw_parameters=F.create_map(
             F.lit("package"), F.col("package"), F.lit("version"), F.col("version"), F.lit("manager"), F.lit(manager)
         ),
@@ -123,7 +121,7 @@ def _package_findings(packages: DataFrame, manager: str, sep: str, phase: int, c
     )
 
 
-def scan_dpkg(files: DataFrame, context: Column) -> DataFrame:
+def scan_dpkg(files: DataFrame, context: Column, most: int | None = None) -> DataFrame:
     """Known packages of the package status file; it is read once."""
     stanzas = files.where(F.col("path") == DPKG_STATUS).select("path", F.posexplode(F.split("text", "\n\n", -1)).alias("seq", "stanza"))
     field = lambda name: F.trim(F.regexp_extract("stanza", rf"(?md)^{name}:\s*(.+)$", 1))
@@ -132,10 +130,10 @@ def scan_dpkg(files: DataFrame, context: Column) -> DataFrame:
         "version", F.when(F.col("version") != "", F.col("version")).otherwise("unknown")
     )
     rows = rows.withColumn("snippet", F.concat(F.lit("Package: "), "package", F.lit("\nVersion: "), "version"))
-    return _package_findings(rows, "dpkg", "==", _DPKG, context)
+    return _package_findings(rows, "dpkg", "==", _DPKG, context, most)
 
 
-def scan_pip(files: DataFrame, context: Column) -> DataFrame:
+def scan_pip(files: DataFrame, context: Column, most: int | None = None) -> DataFrame:
     """Known packages of Python site directories; the version is read from METADATA, else
     PKG-INFO, of the package's directory."""
     sites = "|".join(s.replace(".", r"\.") for s in SITE_PACKAGES)
@@ -152,10 +150,10 @@ def scan_pip(files: DataFrame, context: Column) -> DataFrame:
     rows = rows.select(
         F.col("folder").alias("path"), F.lit(0).alias("seq"), "package", F.coalesce("version", F.lit("unknown")).alias("version")
     ).withColumn("snippet", F.concat(F.lit("Python package: "), "package", F.lit(" "), "version"))
-    return _package_findings(rows, "pip", "==", _PIP, context)
+    return _package_findings(rows, "pip", "==", _PIP, context, most)
 
 
-def scan_npm(files: DataFrame, context: Column) -> DataFrame:
+def scan_npm(files: DataFrame, context: Column, most: int | None = None) -> DataFrame:
     """Known packages directly below node_modules; unknown version where package.json is
     missing or no JSON."""
     roots = "|".join(NODE_MODULES)
@@ -170,7 +168,7 @@ def scan_npm(files: DataFrame, context: Column) -> DataFrame:
         F.concat("folder", F.lit("/package.json")).alias("path"), F.lit(0).alias("seq"), "package",
         F.coalesce("version", F.lit("unknown")).alias("version"),
     ).withColumn("snippet", F.concat(F.lit("npm package: "), "package", F.lit("@"), "version"))
-    return _package_findings(rows, "npm", "@", _NPM, context)
+    return _package_findings(rows, "npm", "@", _NPM, context, most)
 
 
 def scan_container(files: DataFrame, context: Column | None = None) -> DataFrame:

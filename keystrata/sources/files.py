@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.functions.binding import bind
-from keystrata.functions.text import glob_to_regex, lookup
+from keystrata.functions.text import glob_to_regex, lookup, prefix_sums
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_EXCLUDES = [
     "node_modules", ".git", "dist", "build", "vendor", "__pycache__", ".venv", "venv", "env", ".tox",
     "target", "*.min.js", "*.bundle.js",
 ]
-MAX_FILE_BYTES = 10 * 1024 * 1024
 
 LANGUAGE_OF_EXTENSION = {
     "py": "python", "pyw": "python", "pyx": "python",
@@ -65,24 +64,24 @@ def list_files(spark: SparkSession, root: str, exclude: list[str] | None = None)
 
 
 def scan_files(
-    spark: SparkSession, root: str, exclude: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES
+    spark: SparkSession, root: str, exclude: list[str] | None = None, max_bytes: int | None = None
 ) -> DataFrame:
-    """path, name, length, modificationTime, content of eligible files; the size limit is
-    pushed to the source, so larger files are never read."""
-    return list_files(spark, root, exclude).where(F.col("length") <= max_bytes).select(
-        "path", "name", "length", "modificationTime", "content"
-    )
+    """path, name, length, modificationTime, content of eligible files. There is no size limit
+    unless one is given; it is pushed to the source, so larger files are never read."""
+    found = list_files(spark, root, exclude)
+    found = found if max_bytes is None else found.where(F.col("length") <= max_bytes)
+    return found.select("path", "name", "length", "modificationTime", "content")
 
 
 def scan_counters(
-    spark: SparkSession, root: str, exclude: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES
+    spark: SparkSession, root: str, exclude: list[str] | None = None, max_bytes: int | None = None
 ) -> DataFrame:
     """One row: directories that hold files, files discovered, files over the limit."""
     folder = F.when(F.contains(F.col("path"), F.lit("/")), F.regexp_extract("path", "^(.*)/", 1)).otherwise("")
     return list_files(spark, root, exclude).agg(
         F.count_distinct(folder).alias("directories_visited"),
         F.count(F.lit(1)).alias("files_discovered"),
-        F.count_if(F.col("length") > max_bytes).alias("files_skipped_too_large"),
+        F.count_if(F.lit(False) if max_bytes is None else F.col("length") > max_bytes).alias("files_skipped_too_large"),
     )
 
 
@@ -137,15 +136,11 @@ def with_binary_format(files: DataFrame) -> DataFrame:
     ).drop("_head")
 
 
-_BLOCK = 256
-
-
-def printable_strings(files: DataFrame, min_length: int = 6, max_strings: int | None = None) -> DataFrame:
+def printable_strings(files: DataFrame, min_length: int = 6) -> DataFrame:
     """Runs of printable ASCII of at least ``min_length`` bytes: path, position, string,
     byte_offset (other columns but content stay).
 
-    One byte is one character in ISO-8859-1. Offsets are running sums of piece lengths,
-    taken over blocks so that a file with many strings costs little more than linear time.
+    One byte is one character in ISO-8859-1. Offsets are running sums of piece lengths.
     """
     run = f"[\\x20-\\x7e]{{{min_length},}}"
     keep = [c for c in files.columns if c != "content"]
@@ -155,16 +150,8 @@ def printable_strings(files: DataFrame, min_length: int = 6, max_strings: int |
         _strings=F.regexp_extract_all("_bytes", F.lit(run), F.lit(0)),
         _gaps=F.transform(F.split("_bytes", run, -1), F.length),
     )
-    # distance from the start of one string to the start of the next
-    df = bind(df, _steps=F.transform("_strings", lambda s, i: F.get(F.col("_gaps"), i) + F.when(
-        i > 0, F.length(F.get(F.col("_strings"), i - 1))).otherwise(0)))
-    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, b: a + b.cast("long"))
-    blocks = F.sequence(F.lit(0), F.floor(F.size("_steps") / _BLOCK).cast("int"))
-    df = bind(df, _sums=F.transform(blocks, lambda b: total(F.slice("_steps", b * _BLOCK + 1, F.lit(_BLOCK)))))
-    df = bind(df, _before=F.transform("_sums", lambda s, b: total(F.slice("_sums", F.lit(1), b))))
-    rows = df.select(*keep, F.inline(F.transform("_strings", lambda s, i: F.struct(
-        i.alias("position"), s.alias("string"),
-        (F.get(F.col("_before"), F.floor(i / _BLOCK).cast("int"))
-         + total(F.slice("_steps", F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK + 1))).alias("byte_offset"),
+    df = bind(df, _steps=F.transform("_strings", lambda s, i: F.get(F.col("_gaps"), i) + F.length(s)))
+    df = prefix_sums(df, _before="_steps")
+    return df.select(*keep, F.inline(F.transform("_strings", lambda s, i: F.struct(
+        i.alias("position"), s.alias("string"), (F.get(F.col("_before"), i) + F.get(F.col("_gaps"), i)).alias("byte_offset"),
     ))))
-    return rows if max_strings is None else rows.where(F.col("position") < max_strings)

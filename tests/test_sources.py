@@ -143,8 +143,9 @@ def test_container_and_binary(spark, tmp_path):
     src = files.with_text(files.scan_files(spark, str(root), exclude=[]))
     rows = container.scan_container(src, container.container_context("img")).collect()
     assert sorted((r.raw_symbol, r.discovery_method) for r in rows) == sorted(
-        [("libssl.so.1.1.1k", "LIBRARY_DETECTION")] * 3 + [("openssl==1", "PACKAGE_INSPECTION")]
+        [("libssl.so.1.1.1k", "LIBRARY_DETECTION")] * 9 + [("openssl==1", "PACKAGE_INSPECTION")] * 9
         + [("-----BEGIN CERTIFICATE-----", "STRING_ANALYSIS"), ("-----BEGIN CERTIFICATE-----", "REGEX")])
+    assert container.scan_shared_libs(src, container.container_context(), most=3).count() == 3
     assert all(r.container_context.image_reference == "img" for r in rows)
 
     blob = b"\x7fELF" + bytes(8) + b"OpenSSL 1.1.1k\x00RSA_sign\x00TLS_RSA_WITH_NULL_MD5\x00-----BEGIN PUBLIC KEY-----\x00AES-256-GCM cipher\x00"
@@ -170,3 +171,39 @@ def test_document_problems(spark):
     empty = bad.selectExpr("CAST(NULL AS STRING) AS bom_format", "CAST(NULL AS STRING) AS spec_version", "CAST(NULL AS INT) AS version",
                            "CAST(NULL AS STRING) AS serial_number", "true AS has_metadata", "false AS has_tools", "true AS has_components")
     assert {r.rule for r in quality.validate_header(empty).collect()} == {"bom_format_missing", "spec_version_missing", "version_missing", "tools_missing"}
+
+
+def _python(spark, text):
+    return spark.createDataFrame([("a.py", "python", text)], "path string, language string, text string")
+
+
+def _calls(spark, text):
+    return [(r.raw_symbol, r.key_size_hint, r.location.start_line) for r in repository.scan_repository(_python(spark, text)).where("discovery_method = 'AST'").orderBy("emit_seq").collect()]
+
+
+def test_long_and_deep_calls(spark):
+    assert _calls(spark, "RSA.generate(2048, '" + "x" * 1_000_000 + "')") == [("RSA.generate", 2048, 1)]
+    assert _calls(spark, "RSA.generate(key=f(" + "(" * 5000 + ")" * 5000 + "), bits=1)") == [("RSA.generate", None, 1)]
+    deep = "rsa.generate_private_key(public_exponent=a(b(c(d(e(f(g(h(i(j(1)))))))))), key_size=1024)"
+    assert _calls(spark, deep) == [("rsa.generate_private_key", 1024, 1)]
+    assert _calls(spark, "rsa.generate_private_key(x=')', y='a, b', key_size=4096)") == [("rsa.generate_private_key", 4096, 1)]
+    assert _calls(spark, "rsa.generate_private_key(key_size=4096") == [("rsa.generate_private_key", None, 1)]
+    assert _calls(spark, "a." * 20_000 + "x\nRSA.generate(1024)") == [("RSA.generate", 1024, 2)]
+    many = _calls(spark, "RSA.generate(\n 2048)\n" * 10_000)
+    assert len(many) == 10_000 and many[-1] == ("RSA.generate", 2048, 19_999)
+
+
+def test_strings_and_comments_hold_no_calls(spark):
+    text = '"""use hashlib.md5(x)\nimport hashlib\nnever"""\nimport ssl  # import hmac\nx = 1  # hashlib.md5(y)\ns = "hashlib.sha1(z)"\nhashlib.sha256(a)  # end\n'
+    assert _calls(spark, text) == [("hashlib.sha256", None, 7)]
+    found = repository.scan_imports(_python(spark, text)).collect()
+    assert [(r.raw_symbol, r.location.start_line) for r in found] == [("import ssl", 4)]
+
+
+def test_many_hits_in_a_line(spark):
+    text = "x\n" + "AES " * 200_000 + "\nMD5\n" + "import hashlib, " + ", ".join(["ssl"] * 300)
+    rows = repository.scan_repository(_python(spark, text)).select("emit_seq", "location.start_line", "discovery_method", F.length("location.snippet").alias("n"))
+    got = rows.agg(F.count("*"), F.count_distinct("emit_seq"), F.max("n")).first()
+    assert got[0] == got[1] > 200_300 and got[2] <= 203
+    lines = rows.where("discovery_method = 'REGEX'").groupBy("start_line").count().collect()
+    assert {r.start_line: r["count"] for r in lines}[2] == 200_000
