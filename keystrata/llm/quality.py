@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.words import PIECE, SPACED, _hashed, _long, buffers, mix
 
-MAX_TRAIN = 8000
+MAX_TRAIN = 6000
+_CELLS = 1 << 16  #: lines in one array of the training
 FEATURES = ("words", "mean_word", "odd", "upper", "digit", "terminal", "echo", "variety", "wide", "marks")
 NEIGHBOUR = (2, 3, 6, 7)
 BINS = 8
@@ -123,41 +124,9 @@ class Model:
     last: tuple[float, float] = (1.0, 0.0)
 
 
-def _bins(f: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Column of the weight that each feature of each line picks: own bins, then the
-    neighbours' (the last bin of each: there is none)."""
-    own = np.stack([np.searchsorted(edges[k], f[:, k], side="right") for k in range(len(FEATURES))], axis=1)
-    out = [own + np.arange(len(FEATURES)) * BINS]
-    none = np.full((1, len(NEIGHBOUR)), BINS)
-    base = len(FEATURES) * BINS
-    near = own[:, NEIGHBOUR]
-    for k, x in enumerate((np.concatenate([none, near[:-1]]), np.concatenate([near[1:], none]))):
-        out.append(x + base + (np.arange(len(NEIGHBOUR)) + k * len(NEIGHBOUR)) * (BINS + 1))
-    return np.concatenate(out, axis=1)
-
-
 WIDTH = len(FEATURES) * BINS + 2 * len(NEIGHBOUR) * (BINS + 1) + 1  # the bias comes last
 
 
-def _softplus(x):
-    return np.logaddexp(0.0, x)
-
-
-def _chain(s: np.ndarray, steps: np.ndarray):
-    """Log odds of good at each place of padded chains (n, t): forward and backward. A step
-    from good to good weighs steps[0], from bad to bad steps[1], any other 0."""
-    n, t = s.shape
-    forward, backward = np.zeros((n, t)), np.zeros((n, t))
-    forward[:, 0] = s[:, 0]
-    for k in range(1, t):
-        x = forward[:, k - 1]
-        forward[:, k] = s[:, k] + np.logaddexp(x + steps[0], 0.0) - np.logaddexp(x, steps[1])
-    for k in range(t - 2, -1, -1):
-        x = s[:, k + 1] + backward[:, k + 1]
-        backward[:, k] = np.logaddexp(x + steps[0], 0.0) - np.logaddexp(x, steps[1])
-    return forward, backward
-
-
 def _score_lines(s: list[float], steps) -> list[float]:
     """Marginal probabilities of good along one chain."""
     gg, bb = steps
@@ -191,59 +160,86 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
+def _edges(flat: np.ndarray) -> np.ndarray:
+    """Limits of the bins of each feature: quantiles, without repeats."""
+    out = np.full((len(FEATURES), BINS - 1), np.inf)
+    for k in range(len(FEATURES)):
+        limits = np.unique(np.quantile(flat[:, k], np.linspace(0, 1, BINS + 1)[1:-1]))
+        out[k, : len(limits)] = limits
+    return out
+
+
+@dataclass
+class _Part:
+    """Training documents of about the same number of lines, as padded rows."""
+
+    bins: np.ndarray
+    rows: np.ndarray
+    places: np.ndarray
+    live: np.ndarray
+    y: np.ndarray
+    weigh: np.ndarray
+
+
+def _parts(bins: list[np.ndarray], y: np.ndarray) -> list[_Part]:
+    size = np.array([len(x) for x in bins])
+    order, out, k = np.argsort(size, kind="stable"), [], 0
+    while k < len(order):
+        end = k + 1  # few cells, little padding
+        while end < len(order) and (end + 1 - k) * size[order[end]] <= _CELLS and size[order[end]] <= 1.3 * size[order[k]] + 2:
+            end += 1
+        own = order[k:end]
+        n = size[own]
+        out.append(_Part(
+            np.concatenate([bins[i] for i in own]).astype(np.int16), np.repeat(np.arange(len(own)), n), np.concatenate([np.arange(m) for m in n]),
+            np.arange(n.max())[None, :] < n[:, None], y[own], 1.0 / n))  # documents count alike, however many lines they have
+        k = end
+    return out
+
+
+def _gradient(part: _Part, weights: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Of the log likelihood, by weight and step: observed less expected counts."""
+    n, t = part.live.shape
+    s = np.zeros((n, t))
+    s[part.rows, part.places] = weights[part.bins].sum(axis=1) + weights[-1]
+    live, y = part.live, part.y[:, None]
+    forward, backward = np.zeros((n, t)), np.zeros((n, t))
+    forward[:, 0] = s[:, 0]
+    for k in range(1, t):
+        x = forward[:, k - 1]
+        forward[:, k] = s[:, k] + np.logaddexp(x + steps[0], 0.0) - np.logaddexp(x, steps[1])
+    for k in range(t - 2, -1, -1):
+        x = s[:, k + 1] + backward[:, k + 1]
+        backward[:, k] = np.where(live[:, k + 1], np.logaddexp(x + steps[0], 0.0) - np.logaddexp(x, steps[1]), 0.0)
+    p = 1 / (1 + np.exp(-np.clip(forward + backward, -50, 50)))
+    error = ((y - p) * part.weigh[:, None])[part.rows, part.places]
+    out = np.zeros(WIDTH + 2)
+    for c in range(part.bins.shape[1]):
+        out[:WIDTH] += np.bincount(part.bins[:, c], weights=error, minlength=WIDTH)
+    out[WIDTH - 1] += error.sum()
+    if t > 1:
+        nxt = live[:, 1:] * part.weigh[:, None]
+        joint = np.stack([forward[:, :-1] + steps[0] + s[:, 1:] + backward[:, 1:], forward[:, :-1], s[:, 1:] + backward[:, 1:], np.full((n, t - 1), steps[1])])
+        joint = np.exp(joint - joint.max(axis=0))
+        joint /= joint.sum(axis=0)
+        out[WIDTH] = ((y - joint[0]) * nxt).sum()
+        out[WIDTH + 1] = ((1 - y - joint[3]) * nxt).sum()
+    return out
+
+
 def fit_model(lines: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarray, rounds: int = 120) -> Model:
     """Trains on documents given as line features, line lengths and labels."""
     if not len(labels):
         return Model(0.5)
     if labels.min() == labels.max():
         return Model(float(labels.mean()))
-    flat = np.concatenate(lines)
-    edges = np.stack([np.unique(np.quantile(flat[:, k], np.linspace(0, 1, BINS + 1)[1:-1])).repeat(1).tolist() + [np.inf] * (BINS - 1 - len(np.unique(np.quantile(flat[:, k], np.linspace(0, 1, BINS + 1)[1:-1])))) for k in range(len(FEATURES))])
-    n, t = len(lines), max(len(x) for x in lines)
+    edges, y = _edges(np.concatenate(lines)), labels.astype(float)
     bins = [_bins(x, edges) for x in lines]
-    rows, places = np.repeat(np.arange(n), [len(x) for x in lines]), np.concatenate([np.arange(len(x)) for x in lines])
-    columns, size = np.concatenate(bins), np.array([len(x) for x in lines])
-    y, live = labels.astype(float), np.arange(t)[None, :] < size[:, None]
-    weights, steps = np.zeros(WIDTH), np.array([1.0, 1.0])
-    params = np.concatenate([weights, steps])
+    parts = _parts(bins, y)
+    params = np.concatenate([np.zeros(WIDTH), [1.0, 1.0]])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    order = np.argsort(-size)
-    rank = np.empty(n, int)
-    rank[order] = np.arange(n)
-    weigh = 1.0 / size  # documents count alike, however many lines they have
     for turn in range(1, rounds + 1):
-        w, steps = params[:WIDTH], params[WIDTH:]
-        s = np.zeros((n, t))
-        s[rows, places] = w[columns].sum(axis=1) + w[-1]
-        forward, backward = np.zeros((n, t)), np.zeros((n, t))
-        forward[:, 0] = s[:, 0]
-        counts = live.sum(axis=0)
-        for k in range(1, t):
-            a = order[: counts[k]]
-            x = forward[a, k - 1]
-            forward[a, k] = s[a, k] + np.logaddexp(x + steps[0], 0.0) - np.logaddexp(x, steps[1])
-        for k in range(t - 2, -1, -1):
-            a = order[: counts[k + 1]]
-            x = s[a, k + 1] + backward[a, k + 1]
-            backward[a, k] = np.logaddexp(x + steps[0], 0.0) - np.logaddexp(x, steps[1])
-        p = np.where(live, 1 / (1 + np.exp(-np.clip(forward + backward, -50, 50))), 0)
-        error = np.where(live, y[:, None] - p, 0) * weigh[:, None]
-        grad = np.zeros(WIDTH)
-        e = error[rows, places]
-        for c in range(columns.shape[1]):
-            grad += np.bincount(columns[:, c], weights=e, minlength=WIDTH)
-        grad[-1] += e.sum()
-        step_grad = np.zeros(2)
-        if t > 1:  # expected against observed steps within each class
-            nxt = live[:, 1:]
-            joint = np.stack([forward[:, :-1] + steps[0] + s[:, 1:] + backward[:, 1:], forward[:, :-1], s[:, 1:] + backward[:, 1:], np.full((n, t - 1), steps[1])])
-            top = joint.max(axis=0)
-            joint = np.exp(joint - top)
-            joint /= joint.sum(axis=0)
-            both = y[:, None] * nxt
-            step_grad[0] = ((both - joint[0] * nxt) * weigh[:, None]).sum()
-            step_grad[1] = (((1 - y)[:, None] * nxt - joint[3] * nxt) * weigh[:, None]).sum()
-        g = np.concatenate([grad, step_grad]) / n - 1e-3 * params
+        g = sum(_gradient(p, params[:WIDTH], params[WIDTH:]) for p in parts) / len(y) - 1e-3 * params
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         params = params + 0.1 * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-8)
         params[WIDTH:] = np.clip(params[WIDTH:], 0, 4)
@@ -277,7 +273,7 @@ def scores(column: pa.Array, model: Model) -> np.ndarray:
 
     def flush():
         bounds = np.cumsum([0, *(len(x) for x in parts)])
-        picked = _bins_many(np.concatenate(parts), bounds, model.edges)
+        picked = _bins(np.concatenate(parts), model.edges, bounds)
         s = model.weights[picked].sum(axis=1) + model.weights[-1]
         for k, row in enumerate(rows):
             p, length = _score_lines(s[bounds[k] : bounds[k + 1]].tolist(), model.steps), lengths[k]
@@ -299,8 +295,10 @@ def scores(column: pa.Array, model: Model) -> np.ndarray:
     return out
 
 
-def _bins_many(f: np.ndarray, bounds: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """As _bins, for the lines of many texts one after another."""
+def _bins(f: np.ndarray, edges: np.ndarray, bounds: np.ndarray | None = None) -> np.ndarray:
+    """The weights that the features of each line pick: own bins, then the neighbours' (the
+    last bin of each: there is none). bounds: where texts begin and end among the lines."""
+    bounds = np.array([0, len(f)]) if bounds is None else bounds
     own = np.stack([np.searchsorted(edges[k], f[:, k], side="right") for k in range(len(FEATURES))], axis=1)
     near, base = own[:, NEIGHBOUR], len(FEATURES) * BINS
     none = np.full((1, len(NEIGHBOUR)), BINS)
@@ -331,10 +329,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # Bounded by max_train, so it may be sent to every task.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label long, f binary, lengths binary")
-    got = sorted(rows.collect(), key=lambda r: (r["doc_id"], bytes(r["f"])))
-    lines = [np.frombuffer(r["f"], np.float32).reshape(-1, len(FEATURES)) for r in got]
-    lengths = [np.frombuffer(r["lengths"], np.int64) for r in got]
-    return fit_model(lines, lengths, np.array([r["label"] for r in got]))
+    got = rows.toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
+    lines = [np.frombuffer(x.as_py(), np.float32).reshape(-1, len(FEATURES)) for x in got["f"]]
+    lengths = [np.frombuffer(x.as_py(), np.int64) for x in got["lengths"]]
+    return fit_model(lines, lengths, got["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
