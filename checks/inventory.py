@@ -48,11 +48,16 @@ def _(spark, sf):
 @check("inventory_timeline", f"""{_BUILT},
 timing AS (SELECT asset_id, algorithm, primitive_type, quantum_vulnerable, quantum_threat_type, 8.0 AS x, CAST(NULL AS DOUBLE) AS y_given, 10.0 AS z, CAST(NULL AS BOOLEAN) AS hndl_sensitive FROM classified),
 {A.TIMED_FROM_TIMING.strip()}
-SELECT urgency, hndl_exposure, count(DISTINCT asset_id) AS n FROM timed GROUP BY 1, 2""")
+SELECT urgency, hndl_exposure, count(*) AS n FROM timed GROUP BY 1, 2""")
 def _(spark, sf):
     return analysed(spark, sf)["timeline"].groupBy("urgency", "hndl_exposure").agg(F.count(F.lit(1)).alias("n"))
 
 
+@check("inventory_rows", f"""{_BUILT} SELECT asset_id, algorithm, risk_score, risk_severity, count(*) AS n FROM scored GROUP BY ALL""")
+def _(spark, sf):
+    return analysed(spark, sf)["inventory"].groupBy("asset_id", "algorithm", "risk_score", "risk_severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 @check("one_per_id", f"{_BUILT} SELECT DISTINCT asset_id FROM built")
 def _(spark, sf):
     from keystrata.operators.merge import one_per_id

@@ -101,12 +101,12 @@ def _set(name: str) -> Column:
     return F.struct(F.lit(label).alias("name"), F.lit(category).alias("category"))
 
 
-def recommend(assets: DataFrame, explain: bool = True) -> DataFrame:
-    """Recommendation per asset. MACs and KDFs count as broken when their name holds a
+def recommend(assets: DataFrame, explain: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Recommendation per asset; the columns in ``keep`` pass through. MACs and KDFs count as broken when their name holds a
     broken hash anywhere. Needs quantum_threat_type."""
     dim = small(assets.sparkSession, policy.recommendation_rows())
     df = with_recommendation_rule(
-        assets.select("asset_id", "algorithm", "primitive_type", "key_length_bits", "curve", "quantum_threat_type")
+        assets.select("asset_id", "algorithm", "primitive_type", "key_length_bits", "curve", "quantum_threat_type", *keep)
     )
     df = bind(df, _set=_parameter_set(F.col("_rule")))
     df = df.join(dim, df["_rule"] == dim["rule"], "left")
@@ -121,7 +121,7 @@ def recommend(assets: DataFrame, explain: bool = True) -> DataFrame:
     base = [
         "asset_id", F.col("algorithm").alias("current_algorithm"), F.col("primitive_type").alias("current_primitive"),
         "recommendation_type", "recommended_algorithm", "pqc_standard", "hybrid_recommendation", "confidence",
-        "migration_complexity",
+        "migration_complexity", *keep,
     ]
     if not explain:
         return df.select(*base)

@@ -127,11 +127,15 @@ def type_rows(report: DataFrame) -> DataFrame:
 # --- views over several stages ----------------------------------------------
 
 
+INDEX_TIMELINE = ("urgency", "hndl_exposure", "inequality_triggered", "exposure_gap_years", "migration_deadline_years")
+INDEX_ADVICE = ("recommendation_type", "recommended_algorithm", "migration_complexity")
+
+
 def asset_index(assets: DataFrame, timeline: DataFrame, recs: DataFrame) -> DataFrame:
-    """Assets with their timeline and recommendation, one row per id (ids must be unique;
-    see ``one_per_id``)."""
-    t = timeline.select("asset_id", "urgency", "hndl_exposure", "inequality_triggered", "exposure_gap_years", "migration_deadline_years")
-    r = recs.select("asset_id", "recommendation_type", "recommended_algorithm", "migration_complexity")
+    """Assets with their timeline and recommendation from tables of their own; ids must be
+    unique there. The composed run has all of them in one row and joins nothing."""
+    t = timeline.select("asset_id", *INDEX_TIMELINE)
+    r = recs.select("asset_id", *INDEX_ADVICE)
     return assets.join(t, "asset_id", "left").join(r, "asset_id", "left")
 
 
@@ -157,5 +161,17 @@ def inventory_export(recs: DataFrame, risk: DataFrame, timeline: DataFrame) -> D
     )
 
 
+def inventory_columns() -> list[Column]:
+    """The columns of ``inventory_export`` from rows with structs risk, timeline and advice."""
+    return [
+        F.col("advice.asset_id"), F.col("advice.current_algorithm").alias("algorithm"), F.col("advice.current_primitive").alias("primitive_type"),
+        F.col("risk.risk_score"), F.col("risk.severity").alias("risk_severity"), F.col("risk.rationale").alias("risk_rationale"),
+        F.col("timeline.urgency"), F.col("timeline.hndl_exposure"), F.col("timeline.x_plus_y").alias("x_plus_y_years"),
+        F.col("timeline.z_quantum_arrival_years").alias("z_years"), F.col("timeline.exposure_gap_years"),
+        F.col("advice.recommendation_type"), F.col("advice.recommended_algorithm"), F.col("advice.pqc_standard"),
+        F.col("advice.hybrid_recommendation").alias("hybrid_scheme"), F.col("advice.migration_complexity"),
+    ]
+
+
 def asset_dossier(index: DataFrame, asset_id: str) -> DataFrame:
     return index.where(F.col("asset_id") == asset_id).limit(1)

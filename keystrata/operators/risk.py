@@ -107,14 +107,15 @@ def _scored(assets: DataFrame) -> DataFrame:
     return bind(df, risk_score=F.round(clamp(F.col("_total"), 0.0, 100.0)).cast("int"))
 
 
-def score_risk(assets: DataFrame, explain: bool = True) -> DataFrame:
+def score_risk(assets: DataFrame, explain: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """asset_id, risk_score, severity (and with ``explain`` factors, rationale, confidence).
 
     The score is the sum of the factors, clamped to 0-100. Discovery confidence is passed
-    on and never scales the score. Needs the classification columns.
+    on and never scales the score. Needs the classification columns; those in ``keep`` pass
+    through.
     """
     df = _scored(assets)
-    base = [F.col("asset_id"), F.col("risk_score"), severity(F.col("risk_score")).alias("severity")]
+    base = [F.col("asset_id"), F.col("risk_score"), severity(F.col("risk_score")).alias("severity"), *keep]
     if not explain:
         return df.select(*base)
     modifiers = _modifiers(F.col("_rule"))

@@ -20,6 +20,7 @@ class TimelineConfig:
 
     quantum_arrival_years: float = policy.QUANTUM_ARRIVAL_YEARS["BASELINE"]
     protected_lifetime_years: float | None = None
+    migration_time_years: float | None = None
     use_primitive_defaults: bool = True
 
 
@@ -89,16 +90,18 @@ def urgency(
 
 
 def assess_timeline(
-    assets: DataFrame, inputs: DataFrame | None = None, config: TimelineConfig = TimelineConfig(), explain: bool = True
+    assets: DataFrame, inputs: DataFrame | None = None, config: TimelineConfig = TimelineConfig(), explain: bool = True,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Timeline assessment per asset.
+    """Timeline assessment per asset; the columns in ``keep`` pass through.
 
     ``inputs`` (asset_id, X, Y, Z, hndl_sensitive, assessment_date) are optional and may
     cover only some assets; what they leave open comes from ``config``. Durations are
-    expected to be valid (see ``invalid_durations``). asset_id must be unique in both.
+    expected to be valid (see ``invalid_durations``). asset_id must be unique in the inputs;
+    assets that share an id share its inputs.
     """
     columns = ["asset_id", "algorithm", "primitive_type", "quantum_vulnerable", "quantum_threat_type"]
-    df = assets.select(*columns)
+    df = assets.select(*columns, *keep)
     if inputs is not None:
         given = inputs.select("asset_id", *INPUT_COLUMNS, "hndl_sensitive", "assessment_date")
         df = df.join(given, "asset_id", "left")
@@ -112,13 +115,14 @@ def assess_timeline(
         df,
         applicable=applicable(),
         x=F.coalesce("protected_lifetime_years", F.lit(config.protected_lifetime_years).cast("double")),
-        y=F.coalesce("migration_time_years", derived),
+        y=F.coalesce("migration_time_years", F.lit(config.migration_time_years).cast("double"), derived),
+        _y_set=F.lit(config.migration_time_years is not None),
         z=F.coalesce("quantum_arrival_years", F.lit(config.quantum_arrival_years).cast("double")),
     )
-    return _assess(df, explain)
+    return _assess(df, explain, keep)
 
 
-def _assess(df: DataFrame, explain: bool) -> DataFrame:
+def _assess(df: DataFrame, explain: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     on, x, y, z = F.col("applicable"), F.col("x"), F.col("y"), F.col("z")
     both = on & x.isNotNull() & y.isNotNull()
     df = bind(
@@ -140,7 +144,7 @@ def _assess(df: DataFrame, explain: bool) -> DataFrame:
     )
     passed = [c for c in ("scenario_x", "scenario_z") if c in df.columns]
     return df.select(
-        "asset_id", *passed,
+        "asset_id", *passed, *keep,
         F.when(on, x).alias("x_data_lifetime_years"),
         F.when(on, y).alias("y_migration_time_years"),
         F.when(on, z).alias("z_quantum_arrival_years"),
@@ -156,7 +160,8 @@ def _explanations() -> list[Column]:
     assumptions = F.when(~on, F.array(F.lit("the timeline does not apply to this kind of asset"))).otherwise(lines(
         F.when(F.col("quantum_arrival_years").isNull(), F.format_string("Z = %.1f years is the configured default", z)),
         F.when(F.col("migration_time_years").isNull() & y.isNotNull(),
-               F.format_string("Y = %.1f years is the default for %s", y, "primitive_type")),
+               F.when(F.col("_y_set"), F.format_string("Y = %.1f years is the configured default", y))
+               .otherwise(F.format_string("Y = %.1f years is the default for %s", y, "primitive_type"))),
         F.when(y.isNull(), F.lit("Y is not known")),
         F.when(F.col("protected_lifetime_years").isNull() & x.isNotNull(),
                F.format_string("X = %.1f years is the configured default", x)),
@@ -191,7 +196,7 @@ def scenario_grid(
         df = df.select("*", F.lit(None).cast("double").alias("migration_time_years"),
                        F.lit(None).cast("boolean").alias("hndl_sensitive"),
                        F.lit(None).cast("date").alias("assessment_date"))
-    df = bind(df, applicable=applicable(), y=F.coalesce("migration_time_years", migration_years(F.col("primitive_type"))))
+    df = bind(df, applicable=applicable(), y=F.coalesce("migration_time_years", migration_years(F.col("primitive_type"))), _y_set=F.lit(False))
     df = df.select("*", F.inline(grid)).select(
         "*", F.col("scenario_x").alias("x"), F.col("scenario_z").alias("z"),
         F.col("scenario_x").alias("protected_lifetime_years"), F.col("scenario_z").alias("quantum_arrival_years"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,27 @@ from keystrata.operators.normalize import normalize
 from keystrata.session import checkpointed
 
 
+def _checked(**durations: float | None) -> None:
+    for name, value in durations.items():
+        if value is not None and not (math.isfinite(value) and value >= 0):
+            raise ValueError(f"{name} must be a finite number of years, not below 0: {value}")
+
+
+def assessed(assets: DataFrame, inputs: DataFrame | None, config: timeline.TimelineConfig) -> DataFrame:
+    """Classified assets as the struct ``asset`` with ``risk``, ``timeline`` and ``advice``
+    beside it. All three depend on the asset's own row, so nothing is joined, and assets that
+    share an id stay apart."""
+    row = F.struct(*assets.columns).alias("asset")
+    df = assets.select(*assets.columns, row)
+    scored = risk.score_risk(df, keep=("asset",))
+    df = scored.select("asset.*", "asset", F.struct(*(c for c in scored.columns if c != "asset")).alias("risk"))
+    timed = timeline.assess_timeline(df, inputs, config, keep=("asset", "risk"))
+    df = timed.select("asset.*", "asset", "risk", F.struct(*(c for c in timed.columns if c not in ("asset", "risk"))).alias("timeline"))
+    advised = recommend.recommend(df, keep=("asset", "risk", "timeline"))
+    advice = F.struct(*(c for c in advised.columns if c not in ("asset", "risk", "timeline"))).alias("advice")
+    return advised.select("asset", "risk", "timeline", advice)
+
+
 def analyse(
     findings: DataFrame, x: float | None = None, y: float | None = None, z: float | None = None,
     inputs: DataFrame | None = None,
@@ -19,27 +42,26 @@ def analyse(
 
     Findings and assets feed several branches, so both are written once to the checkpoint
     folder; all else is lazy. X, Y and Z apply to every asset that has no inputs of its own;
-    a missing value is never taken for zero.
+    a missing value is never taken for zero. Inputs that are no valid duration are left out
+    and returned as ``invalid_durations``. Every asset is assessed, also where two share an id.
     """
+    _checked(x=x, y=y, z=z)
     normalized = checkpointed(normalize(findings))
     assets, evidence = merge.build_assets(normalized)
     assets = checkpointed(risk.with_risk(classify(assets)))
-    unique = merge.one_per_id(assets)
     config = timeline.TimelineConfig(
         quantum_arrival_years=timeline.TimelineConfig().quantum_arrival_years if z is None else z,
-        protected_lifetime_years=x,
+        protected_lifetime_years=x, migration_time_years=y,
     )
-    if y is not None and inputs is None:
-        inputs = unique.select(
-            "asset_id", F.lit(y).alias("migration_time_years"), F.lit(None).cast("double").alias("quantum_arrival_years"),
-            F.lit(None).cast("double").alias("protected_lifetime_years"), F.lit(None).cast("boolean").alias("hndl_sensitive"),
-            F.lit(None).cast("date").alias("assessment_date"),
-        )
-    scores = risk.score_risk(unique)
-    times = timeline.assess_timeline(unique, inputs, config)
-    recs = recommend.recommend(unique)
-    parts = components.to_components(unique)
-    return {
+    problems = None
+    if inputs is not None:
+        problems = timeline.invalid_durations(inputs)
+        valid = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf")) & (F.col(c) >= 0)
+        inputs = inputs.withColumns({c: F.when(valid(c), F.col(c)) for c in timeline.INPUT_COLUMNS})
+    every = assessed(assets, inputs, config)
+    scores, times, recs = every.select("risk.*"), every.select("timeline.*"), every.select("advice.*")
+    parts = components.to_components(assets)
+    out = {
         "findings": findings,
         "assets": assets,
         "evidence": evidence,
@@ -49,8 +71,8 @@ def analyse(
         "recommendations": recs,
         "components": parts,
         "component_evidence": components.component_evidence(evidence),
-        "index": reports.asset_index(unique, times, recs),
-        "inventory": reports.inventory_export(recs, scores, times),
+        "index": every.select("asset.*", *(f"timeline.{c}" for c in reports.INDEX_TIMELINE), *(f"advice.{c}" for c in reports.INDEX_ADVICE)),
+        "inventory": every.select(*reports.inventory_columns()),
         "normalization_stats": reports.normalization_stats(findings, assets),
         "asset_distributions": reports.asset_distributions(assets),
         "scan_stats": reports.scan_stats(findings),
@@ -61,6 +83,7 @@ def analyse(
         "recommendation_distributions": recommend.recommendation_distributions(recs),
         "component_summary": components.component_summary(parts),
     }
+    return out if problems is None else out | {"invalid_durations": problems}
 
 
 def run(

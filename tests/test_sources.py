@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keystrata.operators import components, merge, quality
 from keystrata.operators.normalize import normalize
+from keystrata.operators.timeline import TimelineConfig
 from keystrata.plans import inventory
 from keystrata.schemas import FINDINGS, STAGES
 from keystrata.sources import binary, container, files, repository, tables
@@ -94,6 +95,18 @@ def test_run_is_repeatable_and_consistent(spark, tree, tmp_path):
     assert quality.finding_problems(out["findings"]).count() == 0 and quality.risk_problems(out["risk"]).count() == 0
     assert inventory.scan_status(out["findings"].limit(1)).first().status == "PARTIAL"
 
+    twice = inventory.assessed(out["assets"].unionAll(out["assets"]), None, TimelineConfig())
+    assert twice.count() == 2 * total == 2 * out["index"].count() == 2 * out["inventory"].count()
+    for bad in ({"x": -1.0}, {"y": float("nan")}, {"z": float("inf")}):
+        with pytest.raises(ValueError):
+            inventory.analyse(out["findings"], **bad)
+    given = out["assets"].select("asset_id").limit(2).selectExpr(
+        "asset_id", "-1D AS migration_time_years", "3D AS quantum_arrival_years", "CAST(NULL AS DOUBLE) AS protected_lifetime_years",
+        "true AS hndl_sensitive", "CAST(NULL AS DATE) AS assessment_date")
+    mixed = inventory.analyse(out["findings"], y=4.0, inputs=given)
+    assert mixed["invalid_durations"].count() == 2 and mixed["timeline"].count() == total
+    assert {r.y_migration_time_years for r in mixed["timeline"].where("applicable").collect()} == {4.0}
+
     header = components.document_header(spark).selectExpr(
         "*", "true AS has_metadata", "true AS has_tools", "true AS has_components")
     problems = quality.validate_components(header, out["components"], "name")
