@@ -280,13 +280,16 @@ def shape_columns() -> dict[str, Column]:
 
 def first_fit_clusters(profiles: DataFrame) -> DataFrame:
     """Cluster of every profile: (path_key, profile_id, leader_seq, leader_id), the leader
-    being the first finding of the cluster."""
+    being the first finding of the cluster. A profile alone in its piece leads itself and
+    never leaves the JVM; only pieces of several profiles are decided in order."""
     rows = pieces(profiles).select(
         *_PIECE, "profile_id", F.col("first_key.seq").alias("seq"), F.col("first_key.id").alias("id"),
         *[c.alias(n) for n, c in shape_columns().items()],
     )
-    ordered = rows.repartition(*_PIECE).sortWithinPartitions(*_PIECE, *_ORDER)
-    return ordered.mapInPandas(_first_fit_sorted, _ASSIGNED)
+    dealt = rows.repartition(*_PIECE).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*_PIECE)))
+    alone = dealt.where("_n = 1").select("path_key", "profile_id", F.col("seq").alias("leader_seq"), F.col("id").alias("leader_id"))
+    ordered = dealt.where("_n > 1").drop("_n").sortWithinPartitions(*_PIECE, *_ORDER)
+    return ordered.mapInPandas(_first_fit_sorted, _ASSIGNED).unionByName(alone)
 
 
 def _level_libraries(profiles: DataFrame) -> DataFrame:
