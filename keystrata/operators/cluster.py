@@ -109,8 +109,12 @@ def with_profile(normalized: DataFrame) -> DataFrame:
     return bind(df, profile_id=F.md5(F.concat_ws("\u0001", *parts)))
 
 
+_OTHER = "OTHER"
+
+
 def method_bit(method: Column) -> Column:
-    bit = F.lit(0)
+    """The bit of a discovery method; names that are not listed share one."""
+    bit = F.when(method.isNotNull(), 1 << len(DISCOVERY_METHODS)).otherwise(0)
     for i, name in enumerate(DISCOVERY_METHODS):
         bit = F.when(method == name, 1 << i).otherwise(bit)
     return bit
@@ -118,7 +122,7 @@ def method_bit(method: Column) -> Column:
 
 def method_names(bits: Column) -> Column:
     """Sorted method names of a bit set."""
-    names = sorted((n, i) for i, n in enumerate(DISCOVERY_METHODS))
+    names = sorted((n, i) for i, n in enumerate([*DISCOVERY_METHODS, _OTHER]))
     return F.array_compact(F.array(*[F.when(bits.bitwiseAND(1 << i) != 0, n) for n, i in names]))
 
 

@@ -87,9 +87,8 @@ def facets(df: DataFrame, column: str, exclude: list[str] | None = None) -> Data
 
 
 def with_share(counts: DataFrame, total: DataFrame, part: str = "n") -> DataFrame:
-    """Adds each count's share of a one-row total (column ``total``)."""
-    whole = total.select("total").first()[0]  # one number
-    return counts.withColumn("share", share(F.col(part), F.lit(whole)))
+    """Adds each count's share of a one-row total (column ``total``), read as the query runs."""
+    return counts.withColumn("share", share(F.col(part), total.select("total").scalar()))
 
 
 def methods_per_target(findings: DataFrame, target: str) -> DataFrame:

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: dict[str, list[str]] = {}
+_OWN: dict[str, str] = {}
+
+
 def get_session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume; a cluster's own values win."""
     builder = SparkSession.builder.appName("keystrata")
@@ -39,8 +43,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="keystrata-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _OWN.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="keystrata-checkpoint-")
+        _OWN[spark.sparkContext.applicationId] = folder
     path = f"{folder.rstrip('/')}/keystrata-{uuid.uuid4()}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_checkpoints(spark: SparkSession) -> int:
+    """Deletes the tables that ``checkpointed`` wrote for this application so far, and says how
+    many. DataFrames that still read them fail afterwards, so results are written first."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)

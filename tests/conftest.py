@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from keystrata.session import get_session
+    from keystrata.session import drop_checkpoints, get_session
 
     session = get_session("local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
@@ -16,4 +16,5 @@ def spark():
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_checkpoints(session)
     session.stop()

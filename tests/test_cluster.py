@@ -142,3 +142,26 @@ def test_singleton_keeps_its_rationale_and_location_prefers_parsed_calls(spark):
     assert rows["a"].location.start_line == 6 and rows["a"].confidence_score == 0.925
     assert rows["c"].confidence_rationale == "why"
     assert LOCATION and CONTAINER_CONTEXT and F
+
+
+def test_unlisted_methods_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    from keystrata.operators.cluster import method_bit, method_names
+
+    df = spark.createDataFrame([("AST",), ("MANUAL",), (None,)], "m string")
+    got = df.agg(method_names(F.bit_or(method_bit(F.col("m")))).alias("v")).first().v
+    assert got == ["AST", "OTHER"]
+
+
+def test_checkpoints_can_be_dropped(spark):
+    import os
+
+    from keystrata import session
+
+    kept = session._WRITTEN.pop(spark.sparkContext.applicationId, [])
+    assert session.checkpointed(spark.range(3)).count() == 3
+    (path,) = session._WRITTEN[spark.sparkContext.applicationId]
+    assert os.path.isdir(path.removeprefix("file:")) and session.drop_checkpoints(spark) == 1
+    assert not os.path.exists(path.removeprefix("file:"))
+    session._WRITTEN[spark.sparkContext.applicationId] = kept
