@@ -83,18 +83,17 @@ def window_class(words: list[str]) -> tuple[int, int]:
 
 
 def anchors(templates: dict[str, str] = TEMPLATES) -> list[str]:
-    """Words such that under a quarter of each template's shingles have none of them: the
-    rarest over all templates first."""
+    """Words such that under a quarter of each template's shingles have none of them. Long
+    words come first, as they are the rarest in other texts."""
     words = {k: words_of(v) for k, v in templates.items()}
-    use = Counter(w for ws in words.values() for w in set(ws))
-    common = {"the", "of", "and", "or", "to", "in", "a", "this", "is", "for", "be", "with", "by", "all", "at", "as", "that", "it", "on", "under"}
+    common = set("a all and any are as at be by for from have in is it may not of on one or other such that the this to under with you your".split())
     chosen: set[str] = set()
     for ws in words.values():
         rest = [s.split() for s in shingles_of(ws)]
         total = len(rest)
         while (rest := [s for s in rest if not chosen & set(s)]) and len(rest) >= total / 4:
             hits = Counter(w for s in rest for w in set(s))
-            chosen.add(max(hits, key=lambda w: (w not in common, hits[w], -use[w], w)))
+            chosen.add(max(hits, key=lambda w: (w not in common, len(w) >= 7, hits[w], len(w), w)))
     return sorted(chosen)
 
 
