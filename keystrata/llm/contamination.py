@@ -26,6 +26,7 @@ from keystrata.llm.words import PLAIN, buffers, grams, lower, words
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 13
+MAX_BROADCAST = 300_000  #: windows; a few hundred bytes each
 
 
 def _item_windows(n: int):
@@ -142,7 +143,7 @@ def _row(n: int, hit: np.ndarray | None, items: set[str]) -> tuple:
     return n, n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), _verdict(n, n_hit)
 
 
-def window_set(benchmark: DataFrame, n: int = WINDOW, max_broadcast: int = 2_000_000) -> WindowSet | None:
+def window_set(benchmark: DataFrame, n: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> WindowSet | None:
     """The broadcastable set, or None if there are more than max_broadcast windows."""
     rows = item_windows(benchmark, n)
     if rows.count() > max_broadcast:
@@ -150,7 +151,7 @@ def window_set(benchmark: DataFrame, n: int = WINDOW, max_broadcast: int = 2_000
     return WindowSet(tuple(r) for r in rows.collect())
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_broadcast: int = 2_000_000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     known = window_set(benchmark, n, max_broadcast)
@@ -204,7 +205,7 @@ def _scan_joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(decide, f"doc_id long, {_RESULT}")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = WINDOW, max_broadcast: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs without its contaminated documents (or, with remove="spans", with the hit words
     of those documents taken out); all columns as they are."""
     known = window_set(benchmark, n, max_broadcast)

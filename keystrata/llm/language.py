@@ -11,7 +11,7 @@ logistic that turns margin and length into a score are fit.
 
 Training uses at most ``MAX_TRAIN`` documents a language, chosen by a hash of the id among
 those with a language that are not held out, and keeps at most ``MAX_GRAMS`` distinct n-grams
-a language, the most frequent. Prediction reads every symbol. Null texts and texts without
+a language and ``MAX_ALL`` in all, the most frequent of each. Prediction reads every symbol. Null texts and texts without
 letters are ``und`` with score 0; so is everything if no language was learned. Repeated rows
 are predicted one by one.
 """
@@ -33,6 +33,7 @@ from keystrata.llm.words import mix
 ORDER = 4
 MAX_TRAIN = 400
 MAX_GRAMS = 300_000
+MAX_ALL = 3_000_000
 _PIECE = 1 << 18
 _SPACE = 32
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -266,6 +267,7 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, max_grams: int = MAX_GRAMS)
     grams = sample.where(~aside).select("lang", "text").mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     most = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     counts: dict[str, Counter] = defaultdict(Counter)
+    max_grams = min(max_grams, MAX_ALL // max(1, known.select("lang").distinct().count()))
     for r in grams.withColumn("place", most).where(F.col("place") <= max_grams).collect():
         counts[r["lang"]][r["gram"]] = r["n"]
     model = build(dict(counts))
