@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.functions.binding import bind
@@ -152,6 +152,20 @@ def component_evidence(evidence: DataFrame) -> DataFrame:
     )
 
 
+def with_occurrences(components: DataFrame, evidence: DataFrame, size: int = 1000) -> DataFrame:
+    """Components with all occurrences of their asset in ``evidence`` instead of the primary
+    one, at most ``size`` in a row: an asset with more has further rows, told apart by
+    ``part``. ``evidence`` is the evidence of assets; components without any keep theirs."""
+    spot = lambda x: F.struct(
+        F.when(x["location"]["file_path"] != "", x["location"]["file_path"]).alias("location"), x["location"]["start_line"].alias("line"),
+        F.when(x["location"]["snippet"] != "", x["location"]["snippet"]).alias("symbol"))
+    number = F.row_number().over(Window.partitionBy("asset_id").orderBy("path_key", "emit_seq", "finding_id"))
+    parts = evidence.withColumn("part", F.floor((number - 1) / size)).groupBy("asset_id", "part").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("path_key", "emit_seq", "finding_id", "location"))), spot).alias("_all"))
+    out = components.join(parts.withColumnRenamed("asset_id", "bom_ref"), "bom_ref", "left")
+    return out.select(*(c for c in components.columns if c != "evidence"), F.coalesce("_all", "evidence").alias("evidence"), F.coalesce("part", F.lit(0)).alias("part"))
+
+
 def document_header(spark, tool_version: str = "1.0.0", timestamp=None, deterministic: bool = True) -> DataFrame:
     """The one header row of a component document: a fixed serial and no time when
     deterministic, else a random serial and the given or current UTC time."""

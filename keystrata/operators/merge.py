@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.functions import ids
@@ -149,10 +149,11 @@ def one_per_id(assets: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 
 def evidence_chunks(evidence: DataFrame, size: int = 1000) -> DataFrame:
-    """Evidence as nested lists: one row per asset and block of ``size`` consecutive
-    emission numbers, so that no list is longer than that whatever the asset holds."""
+    """Evidence as nested lists: one row per asset, path and block of ``size`` findings in
+    emission order, so that no list is longer than that whatever the asset holds."""
+    number = F.row_number().over(Window.partitionBy("asset_id", "path_key").orderBy("emit_seq", "finding_id"))
     return (
-        evidence.withColumn("chunk", F.floor(F.col("emit_seq") / size))
+        evidence.withColumn("chunk", F.floor((number - 1) / size))
         .groupBy("asset_id", "path_key", "chunk")
         .agg(F.array_sort(F.collect_list(F.struct(
             "emit_seq", "finding_id", "scanner_name", "discovery_method", "raw_symbol", "location",

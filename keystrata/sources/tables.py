@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrata.operators.components import NAMESPACE
+from keystrata.operators.components import FIXED_SERIAL, NAMESPACE
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
@@ -57,16 +57,27 @@ def component_xml(components: DataFrame) -> DataFrame:
     )
 
 
-def write_xml(components: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """XML part files, each a bom document with its share of the components."""
+def write_xml(components: DataFrame, path: str, mode: str = "overwrite", serial: str = FIXED_SERIAL) -> None:
+    """XML part files, each a bom document with the serial number and its share of the
+    components."""
     (
         component_xml(components).write.mode(mode).format("xml")
-        .option("rootTag", f'bom xmlns="{NAMESPACE}" version="1"')
+        .option("rootTag", f'bom xmlns="{NAMESPACE}" serialNumber="{serial}" version="1"')
         .option("rowTag", "component")
         .save(path)
     )
 
 
+def write_document(header: DataFrame, components: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A whole document in JSON: the header below ``header``, components below ``components``."""
+    head = header.select(
+        F.col("bom_format").alias("bomFormat"), F.col("spec_version").alias("specVersion"), F.col("serial_number").alias("serialNumber"), "version",
+        F.struct("timestamp", F.struct(F.array(F.struct(
+            F.col("tool_type").alias("type"), F.col("tool_name").alias("name"), F.col("tool_version").alias("version"))).alias("components")).alias("tools")).alias("metadata"))
+    write_json(head, f"{path}/header", mode)
+    write_json(component_json(components), f"{path}/components", mode)
+
+
 def component_json(components: DataFrame) -> DataFrame:
     """Components with the field names of the JSON format."""
     cp, ap = F.col("crypto_properties"), F.col("crypto_properties.algorithm_properties")

@@ -123,7 +123,18 @@ def test_run_is_repeatable_and_consistent(spark, tree, tmp_path):
     xml = spark.read.format("xml").option("rowTag", "component").load(str(tmp_path / "xml"))
     assert xml.count() == total and "_bom-ref" in xml.columns
     text = "".join(r.value for r in spark.read.text(str(tmp_path / "xml")).collect())
-    assert 'xmlns="http://cyclonedx.org/schema/bom/1.6"' in text
+    assert 'xmlns="http://cyclonedx.org/schema/bom/1.6"' in text and 'serialNumber="urn:uuid:' in text
+
+    every = components.with_occurrences(out["components"], out["evidence"], size=2)
+    lists = every.select("bom_ref", F.size("evidence").alias("n")).collect()
+    assert max(r.n for r in lists) == 2 and sum(r.n for r in lists) == out["evidence"].count()
+    assert {r.bom_ref for r in lists} == {r.bom_ref for r in out["components"].select("bom_ref").collect()}
+    chunks = merge.evidence_chunks(out["evidence"], 3).select(F.size("supporting_findings").alias("n")).collect()
+    assert max(r.n for r in chunks) == 3 and sum(r.n for r in chunks) == out["evidence"].count()
+    tables.write_document(components.document_header(spark), every, str(tmp_path / "document"))
+    head = spark.read.json(str(tmp_path / "document" / "header")).first()
+    assert head.bomFormat == "CycloneDX" and head.metadata.tools.components[0].name == "keystrata"
+    assert spark.read.json(str(tmp_path / "document" / "components")).count() == len(lists)
     tables.write_table(out["findings"], str(tmp_path / "findings"))
     assert tables.read_table(spark, str(tmp_path / "findings"), FINDINGS).count() == out["findings"].count()
     assert STAGES["assets"]
