@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.llm.batches import map_batches
 from keystrata.llm.words import PLAIN, buffers, grams, lower, words
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -55,7 +56,7 @@ def _item_windows(n: int):
 def item_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """(item, size, hash, window): every window of every item; item ids as text."""
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), "text")
-    return rows.mapInArrow(_item_windows(n), "item string, size int, hash long, window string").distinct()
+    return map_batches(rows, _item_windows(n), "item string, size int, hash long, window string").distinct()
 
 
 class WindowSet:
@@ -166,7 +167,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_broadcast:
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
-    return docs.mapInArrow(run, f"doc_id long, {_RESULT}")
+    return map_batches(docs, run, f"doc_id long, {_RESULT}")
 
 
 def _scan_joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -184,7 +185,7 @@ def _scan_joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
                     row, h, where = row[good], h[good], np.flatnonzero(good)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + part.first)).cast(pa.int64()), pa.array(where - part.offsets[row], pa.int64()), pa.array(np.full(len(h), size, np.int32)), pa.array(h.astype(np.int64))], names=["doc_id", "position", "size", "hash"])
 
-    found = docs.mapInArrow(emit, "doc_id long, position long, size int, hash long").join(windows, ["size", "hash"])
+    found = map_batches(docs, emit, "doc_id long, position long, size int, hash long").join(windows, ["size", "hash"])
     found = found.groupBy("doc_id", "position", "size", "window").agg(F.collect_set("item").alias("items"))
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("position", "size", "window", "items")).alias("found"))
 
@@ -202,7 +203,7 @@ def _scan_joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(decide, f"doc_id long, {_RESULT}")
+    return map_batches(docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "found"), decide, f"doc_id long, {_RESULT}")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -226,4 +227,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
                 new = [_without(x.encode(), bad[k]) if k in bad else x for k, x in enumerate(texts.to_pylist())]
                 yield batch.set_column(at, batch.schema.field(at), pa.array(new, texts.type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from keystrata.llm.batches import map_batches
+
 WINDOW = 3
 SURGE = 80
 
@@ -237,4 +239,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")

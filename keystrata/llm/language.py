@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keystrata.llm.batches import map_batches
 from keystrata.llm.quality import held_out
 from keystrata.llm.words import mix
 
@@ -264,7 +265,7 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, max_grams: int = MAX_GRAMS)
     # At most max_train ids a language, so they may be sent to every task.
     sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where("lang = of")
     aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) == 0
-    grams = sample.where(~aside).select("lang", "text").mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = map_batches(sample.where(~aside).select("lang", "text"), _count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     most = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     counts: dict[str, Counter] = defaultdict(Counter)
     max_grams = min(max_grams, MAX_ALL // max(1, known.select("lang").distinct().count()))
@@ -285,7 +286,7 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, max_grams: int = MAX_GRAMS)
                 pa.array(own, pa.int64()), pa.array(e[good, own] if good else [], pa.float64()), pa.array((order[good, 1] - order[good, 0]) if good and e.shape[1] > 1 else np.ones(len(good))),
                 pa.array(np.log1p(n[good]) if good else [], pa.float64()), pa.array(e[good].argmin(axis=1) == own if good else [], pa.bool_())], names=["own", "e", "margin", "n", "right"])
 
-    rows = sample.where(aside).select("lang", "text").mapInArrow(calibrate, "own long, e double, margin double, n double, right boolean").collect()
+    rows = map_batches(sample.where(aside).select("lang", "text"), calibrate, "own long, e double, margin double, n double, right boolean").collect()
     rows.sort()
     limits = np.full(len(model.langs), np.inf)
     for k in range(len(model.langs)):
@@ -315,5 +316,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, score, rejected = predict(batch.column(1).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    out = map_batches(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

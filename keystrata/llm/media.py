@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from keystrata.llm.batches import map_batches
 from keystrata.llm.words import buffers
 
 UNIT = 576
@@ -243,7 +244,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             media = [wav(padded(data[at[k] : at[k + 1]].tobytes())) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(["audio/wav"] * batch.num_rows), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "declared", "media"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary")
+    return map_batches(docs.select(id_col, text_col), run, "doc_id long, n_bytes long, declared string, media binary")
 
 
 def inspect(values: DataFrame) -> DataFrame:
@@ -260,7 +261,7 @@ def inspect(values: DataFrame) -> DataFrame:
             shape = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(kinds, pa.string()), pa.array(changed, pa.bool_()), pa.array(inside, shape)], names=["doc_id", "declared", "detected", "corrected", "embedded"])
 
-    return values.select("doc_id", "declared", "media").mapInArrow(run, "doc_id long, declared string, detected string, corrected boolean, embedded array<struct<type:string,start:long,length:long>>")
+    return map_batches(values.select("doc_id", "declared", "media"), run, "doc_id long, declared string, detected string, corrected boolean, embedded array<struct<type:string,start:long,length:long>>")
 
 
 def measured(values: DataFrame) -> DataFrame:
@@ -281,4 +282,4 @@ def measured(values: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "detected"])
 
-    return values.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, detected string")
+    return map_batches(values.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, detected string")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
+from keystrata.llm.batches import map_batches
 from keystrata.llm.graph import components
 from keystrata.llm.words import SPACED, grams, words
 from keystrata.session import checkpointed
@@ -164,7 +165,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, confirmed): members (doc_id, n_shingles, node) has each document's class,
     confirmed (a, b) links between classes that connect all linked ones."""
     docs = docs.select("doc_id", "text")
-    sketch = checkpointed(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, sig binary"))
+    sketch = checkpointed(map_batches(docs, _sketch, "doc_id long, n_shingles long, set_key binary, sig binary"))
     classes = sketch.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = checkpointed(classes.where("node is not null"))
     rows = classes.select("node", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
@@ -172,7 +173,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = checkpointed(_with_size(rows, LEVELS[0]).select("node", "n", "tree", "label"))
 
     needed = checkpointed(rows.select("node").distinct())
-    sets = docs.join(needed, docs["doc_id"] == needed["node"], "left_semi").mapInArrow(_sets, "node long, n long, members binary")
+    sets = map_batches(docs.join(needed, docs["doc_id"] == needed["node"], "left_semi"), _sets, "node long, n long, members binary")
     sets = checkpointed(sets.join(classes.select("node", "n"), ["node", "n"], "left_semi"))
 
     # First pass: each class and the centre that it shares most trees with.

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.llm.batches import map_batches
 from keystrata.llm.words import PIECE, SPACED, _hashed, _long, buffers, mix
 
 MAX_TRAIN = 6000
@@ -328,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # Bounded by max_train, so it may be sent to every task.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label long, f binary, lengths binary")
+    rows = map_batches(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), _features, "doc_id long, label long, f binary, lengths binary")
     got = rows.toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
     lines = [np.frombuffer(x.as_py(), np.float32).reshape(-1, len(FEATURES)) for x in got["f"]]
     lengths = [np.frombuffer(x.as_py(), np.int64) for x in got["lengths"]]
@@ -343,7 +344,7 @@ def score(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores(batch.column(1), shared.value), pa.float64())], names=["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    out = map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= least, 1).otherwise(0).alias("predicted"))
 
 
@@ -355,4 +356,4 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at), shared.value) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.llm.batches import map_batches
 from keystrata.llm.words import buffers
 from keystrata.session import checkpointed
 
@@ -85,7 +86,7 @@ def to_chunks(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataF
     equal = checkpointed(equal.where("n > 1").select(F.col("digest").alias("same"), "first"))
     joined = p.join(equal, p["digest"] == equal["same"], "left")
     revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
-    return joined.select("page_id", "url", "html", "digest", revisit.alias("revisit"), "first").mapInArrow(_write(chunk), "record string, chunk long, chunks long, data binary")
+    return map_batches(joined.select("page_id", "url", "html", "digest", revisit.alias("revisit"), "first"), _write(chunk), "record string, chunk long, chunks long, data binary")
 
 
 class _Parser:
@@ -152,12 +153,12 @@ _READ_DDL = "record string, page_id long, record_type string, target string, pay
 def read_records(chunks: DataFrame) -> DataFrame:
     """(record, page_id, record_type, target, payload_bytes, payload_digest, header_digest)
     of each record of an archive, computed from its bytes."""
-    single = chunks.where("chunks = 1").mapInArrow(_read, _READ_DDL)
+    single = map_batches(chunks.where("chunks = 1"), _read, _READ_DDL)
     # Copies of a record (repeated rows) share an id; a count per chunk lets each be read once.
     several = chunks.where("chunks > 1").groupBy("record", "chunk").agg(F.first("chunks").alias("chunks"), F.first("data").alias("data"), F.count("*").alias("copies"))
     several = checkpointed(several)
     copies = several.where("chunk = 0").select("record", "copies")
-    streamed = several.repartition("record").sortWithinPartitions("record", "chunk").select("record", "chunk", "chunks", "data").mapInArrow(_read, _READ_DDL)
+    streamed = map_batches(several.repartition("record").sortWithinPartitions("record", "chunk").select("record", "chunk", "chunks", "data"), _read, _READ_DDL)
     streamed = streamed.join(copies, "record").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "__copy")
     return single.unionByName(streamed)
 
