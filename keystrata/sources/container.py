@@ -6,7 +6,7 @@ where contents are read).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.dims import patterns
@@ -14,6 +14,7 @@ from keystrata.functions.binding import bind
 from keystrata.functions.text import lookup, pattern, text_hits
 from keystrata.operators.lookups import match_library, match_shared_lib
 from keystrata.schemas import CONTAINER_CONTEXT
+from keystrata.sources.files import scan_files, with_text
 from keystrata.sources.repository import emission, finding, union_all
 
 # --- fixed values -----------------------------------------------------------
@@ -40,6 +41,12 @@ _FILES, _PACKAGES = "ContainerScanner/FilesystemInspector", "ContainerScanner/Pa
 _LIBS, _DPKG, _PIP, _NPM, _PEM, _KEYS = 1, 2, 3, 4, 5, 6
 
 
+def filesystem(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
+    """Files of an extracted filesystem with their text. Nothing is left out unless asked for:
+    the exclusions for source trees would hide node_modules, where ``scan_npm`` looks."""
+    return with_text(scan_files(spark, root, exclude or []))
+
+
 def container_context(image: str | None = None, layer: str | None = None, root: str = "/") -> Column:
     return F.struct(
         F.lit(image).alias("image_reference"), F.lit(layer).alias("layer_id"), F.lit(root).alias("filesystem_path")

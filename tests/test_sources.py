@@ -231,3 +231,11 @@ def test_many_hits_in_a_line(spark):
     assert got[0] == got[1] > 200_300 and got[2] <= 203
     lines = rows.where("discovery_method = 'REGEX'").groupBy("start_line").count().collect()
     assert {r.start_line: r["count"] for r in lines}[2] == 200_000
+
+
+def test_packages_are_found_with_default_settings(spark, tmp_path):
+    folder = tmp_path / "fs" / "usr" / "lib" / "node_modules" / "jose"
+    folder.mkdir(parents=True)
+    (folder / "package.json").write_text('{"name": "jose", "version": "5.1"}')
+    rows = container.scan_container(container.filesystem(spark, str(tmp_path / "fs"))).collect()
+    assert rows and {r.raw_symbol for r in rows} == {"jose@5.1"}
