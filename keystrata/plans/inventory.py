@@ -11,6 +11,7 @@ from keystrata.operators import components, listing, merge, recommend, reports,
 from keystrata.operators.classify import classify
 from keystrata.operators.normalize import normalize
 from keystrata.session import checkpointed
+from keystrata.sources.files import read_problems
 
 
 def _checked(**durations: float | None) -> None:
@@ -90,12 +91,18 @@ def run(
     files: DataFrame, kind: str = "repository", x: float | None = None, y: float | None = None, z: float | None = None,
 ) -> dict[str, DataFrame]:
     """Scan files of one kind (repository or container; binaries go through
-    ``scan_binaries`` and ``analyse``) and analyse the findings."""
+    ``scan_binaries`` and ``analyse``) and analyse the findings. Where the files come with
+    their content, ``errors`` lists those that could not be read as text, and ``status`` is
+    PARTIAL if there are any."""
     from keystrata.sources.container import scan_container
     from keystrata.sources.repository import scan_repository
 
     findings = checkpointed({"repository": scan_repository, "container": scan_container}[kind](files))
-    return analyse(findings, x, y, z)
+    out = analyse(findings, x, y, z)
+    if "content" in files.columns:
+        errors = read_problems(files)
+        out |= {"errors": errors, "status": scan_status(errors)}
+    return out
 
 
 def scan_status(errors: DataFrame, failed: bool = False) -> DataFrame:

@@ -91,6 +91,14 @@ def with_text(files: DataFrame) -> DataFrame:
     return files.withColumn("text", F.regexp_replace(text, "\\r\\n?", "\n"))
 
 
+def read_problems(files: DataFrame) -> DataFrame:
+    """(path, error) for source files that cannot be read as they are: no content, or bytes
+    that are no UTF-8 (their text has replacement characters instead)."""
+    error = F.when(F.col("content").isNull(), "unreadable").when(~F.is_valid_utf8(F.col("content").cast("string")), "invalid UTF-8")
+    source = ~F.col("language").isin("binary", "unknown") if "language" in files.columns else F.lit(True)
+    return files.where(source).select("path", error.alias("error")).where(F.col("error").isNotNull())
+
+
 def _head(n: int) -> Column:
     return F.hex(F.substring(F.col("content"), F.lit(1), F.lit(n)))
 

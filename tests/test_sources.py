@@ -239,3 +239,11 @@ def test_packages_are_found_with_default_settings(spark, tmp_path):
     (folder / "package.json").write_text('{"name": "jose", "version": "5.1"}')
     rows = container.scan_container(container.filesystem(spark, str(tmp_path / "fs"))).collect()
     assert rows and {r.raw_symbol for r in rows} == {"jose@5.1"}
+
+
+def test_unreadable_text_makes_a_scan_partial(spark, tree):
+    found = files.with_language(files.with_text(files.scan_files(spark, tree)))
+    out = inventory.run(found.select("path", "language", "text", "content"))
+    assert [tuple(r) for r in out["errors"].collect()] == [("app/bad.py", "invalid UTF-8")]
+    assert out["status"].first().status == "PARTIAL"
+    assert inventory.scan_status(files.read_problems(found.where("path <> 'app/bad.py'"))).first().status == "COMPLETED"
