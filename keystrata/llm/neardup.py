@@ -9,6 +9,9 @@
   Then shallow regions that still hold several groups are taken apart: small ones pair by
   pair, larger ones by their centre and, some values deeper, again. Pairs that one group
   already holds, or whose sizes alone rule a link out, are never made.
+* Then every shallow region that was too large to pair and still holds several groups is cut
+  into chunks of bounded bytes, and each chunk meets each other one and itself in a task of
+  its own, so that no pair of such a region is left out. Two chunks of one group do not meet.
 * Candidates whose signatures agree too little for the threshold (3.5 standard errors below
   it) go; all others are confirmed on full shingle sets.
 * Components are closed over the confirmed links.
@@ -42,6 +45,8 @@ TREES, DEPTH = 24, 8
 LEVELS = (4, 6, DEPTH)
 #: Classes of a region that are still paired one by one.
 REGION = 48
+#: Bytes of signatures and sets in a chunk of a larger region.
+CHUNK = 4 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(11))
 _A, _B, _C = (_RNG.integers(1, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(3))
@@ -126,17 +131,15 @@ def _with_size(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def _pairs_between(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of different groups, from rows (node, n, comp, tree, label)."""
+    """Candidate pairs (a, b), a < b, of different groups, from rows (node, n, comp, tree, label).
+    Regions of over REGION classes only meet their centres; _crowded_links has the rest."""
     out, own = [], rows
     for depth in LEVELS:
-        last = depth == DEPTH
         keyed = own.withColumn("key", _region(depth))
         mixed = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         keyed = checkpointed(keyed.join(mixed.select("key", "size"), "key"))
         large = keyed.where(F.col("size") > REGION)
-        # Regions that are equal in a tree's whole stretch are dealt into runs by a hash.
-        run = F.floor(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.ceil(2 * F.col("size") / REGION) / (1 << 20))
-        small = keyed.withColumn("key", F.when(F.col("size") <= REGION, F.col("key")).otherwise(F.xxhash64("key", run))) if last else keyed.where(F.col("size") <= REGION)
+        small = keyed.where(F.col("size") <= REGION)
         groups = small.groupBy("key").agg(F.collect_list(F.struct("node", "n", "comp")).alias("all"))
         one = groups.select("all", F.explode("all").alias("x"))
         other = lambda y: (y.node > F.col("x.node")) & (y.comp != F.col("x.comp")) & (100 * F.least(y.n, F.col("x.n")) >= PERCENT * F.greatest(y.n, F.col("x.n")))
@@ -153,6 +156,71 @@ def _pairs_between(rows: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def _chunk_links(least: float):
+    """Links between the two sides of a table (side, node, n, comp, sig, members), or within
+    it if there is one side, as far as they connect different groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, node, n, comp = (table.column(c).to_numpy() for c in ("side", "node", "n", "comp"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(node), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+        low: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in low:
+                x = low[x]
+            return x
+
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = [], []
+        for at, i in enumerate(left):
+            other = right if len(right) else left[at + 1 :]
+            other = other[(comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= PERCENT * np.maximum(n[other], n[i]))]
+            if not len(other):
+                continue
+            for j in other[(sig[other] == sig[i]).mean(axis=1) >= least]:
+                x, y = root(comp[i]), root(comp[j])
+                if x == y:
+                    continue
+                c = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * c >= PERCENT * (n[i] + n[j] - c):
+                    low[max(x, y)] = min(x, y)
+                    a.append(min(node[i], node[j]))
+                    b.append(max(node[i], node[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _has_crowded(rows: DataFrame) -> bool:
+    return not rows.groupBy(_region(LEVELS[0])).count().where(f"count > {REGION}").isEmpty()
+
+
+def _crowded_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
+    """Links (a, b) between different groups of the shallow regions of over REGION classes, all
+    pairs compared; rows (node, n, comp, tree, label). None if no such region is left."""
+    keyed = rows.withColumn("key", _region(LEVELS[0]))
+    mixed = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(f"size > {REGION} and lo < hi")
+    keyed = checkpointed(keyed.join(mixed.select("key"), "key").select("key", "node", "comp", (8 * F.col("n") + 2 * TREES * DEPTH).alias("bytes")))
+    if keyed.isEmpty():
+        return None
+    # A group of many bytes has chunks of its own; small groups share theirs.
+    group = keyed.groupBy("key", "comp").agg(F.sum("bytes").alias("bytes")).withColumn("own", F.when(F.col("bytes") >= CHUNK // 2, F.col("comp")))
+    group = checkpointed(group)
+    rest = group.where("own is null").groupBy("key").agg(F.sum("bytes").alias("rest"))
+    group = group.join(rest, "key", "left").select("key", "comp", "own", F.ceil(F.when(F.col("own").isNull(), F.col("rest")).otherwise(F.col("bytes")) / CHUNK).alias("parts"))
+    part = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("comp")).otherwise(F.col("node")), F.lit("part")), F.col("parts"))
+    placed = keyed.select("key", "comp", "node").join(group, ["key", "comp"]).select("key", "node", "comp", "own", F.xxhash64("key", F.coalesce("own", F.lit(-1)), F.col("own").isNull(), part).alias("chunk"))
+    placed = checkpointed(placed)
+    x, y = (placed.select("key", F.col("own").alias(f"own_{s}"), F.col("chunk").alias(f"chunk_{s}")).distinct() for s in "xy")
+    meet = x.join(y, "key").where("chunk_x <= chunk_y and not coalesce(own_x = own_y, false)").select("chunk_x", "chunk_y", F.xxhash64("key", "chunk_x", "chunk_y").alias("task"))
+    sides = meet.select("task", F.lit(0).alias("side"), F.col("chunk_x").alias("chunk")).union(meet.where("chunk_x < chunk_y").select("task", F.lit(1), "chunk_y"))
+    # One copy of each set and signature is attached to the rows of the tasks that need it.
+    full = sets.join(classes.select("node", "sig"), "node").select("node", "n", "sig", "members")
+    dealt = sides.join(placed.select("chunk", "node", "comp"), "chunk").join(full, "node").select("task", "side", "node", "n", "comp", "sig", "members")
+    return checkpointed(dealt.groupBy("task").applyInArrow(_chunk_links(least), "a long, b long"))
+
+
 def _grouped(confirmed: DataFrame) -> DataFrame:
     """(node, comp): two steps of the smallest label over the links, enough to name stars."""
     both = checkpointed(confirmed.union(confirmed.select("b", "a")).toDF("node", "next"))
@@ -183,13 +251,20 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = checkpointed(_confirm(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), sets))
 
     # Second pass: what is left between groups.
+    plain = rows
     rows = rows.join(_grouped(star), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     a, b = (classes.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
     least = PERCENT / 100 - 3.5 * (PERCENT / 100 * (1 - PERCENT / 100) / (TREES * DEPTH)) ** 0.5
     likely = checkpointed(_pairs_between(rows).join(a, "a").join(b, "b").select("a", "b", _agreement("sa", "sb").alias("estimate")).where(F.col("estimate") >= least))
-    more = checkpointed(_confirm(likely, sets))
+    confirmed = star.union(checkpointed(_confirm(likely, sets)))
+
+    # Third pass: what is left in crowded regions.
+    if _has_crowded(plain):
+        rows = plain.join(components(confirmed).toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rest = _crowded_links(rows, classes, sets, least)
+        confirmed = confirmed if rest is None else confirmed.union(rest)
     members = sketch.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "node"), "set_key", "left").select("doc_id", "n_shingles", "node")
-    return members, star.union(more)
+    return members, confirmed
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

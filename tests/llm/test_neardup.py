@@ -61,6 +61,29 @@ def test_all_links_found(spark):
     assert got == brute(docs)
 
 
+def pages_of_one_template():
+    """Pages of which any two share 0.62, and pairs of them 0.77, of their shingles."""
+    rng = random.Random(5)
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    template, docs = [f"t{k}" for k in range(100)], []
+    for _ in range(120):
+        shared = own(9)
+        docs += [template + shared + own(16) for _ in range(2)]
+    rng.shuffle(docs)
+    return [(k, " ".join(w)) for k, w in enumerate(docs)]
+
+
+def test_links_of_crowded_regions(spark, monkeypatch):
+    monkeypatch.setattr(N, "REGION", 4)
+    docs = pages_of_one_template()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = brute(docs)
+    assert sum(not kept for _, _, kept in want.values()) == 120
+    for chunk in (N.CHUNK, 20_000):  # a region in one chunk, and in several
+        monkeypatch.setattr(N, "CHUNK", chunk)
+        assert {r["doc_id"]: tuple(r)[1:] for r in N.near_duplicates(df).collect()} == want
+
+
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "x y z"), (None, None)], "doc_id long, text string")
     got = sorted((tuple(r) for r in N.near_duplicates(df).collect()), key=str)
