@@ -7,8 +7,13 @@ Character references are decoded, white space inside a line becomes one space, e
 go. What remains is a sequence of lines with a text length, of which link text does not
 count. Lengths are summed over a sliding window of ``WINDOW`` lines; a surge to ``SURGE`` or
 more opens a text block, a dive to nothing closes it, and the lines between are the main
-text. Inside an ``article`` or ``main`` element any text at all is a surge, so that short
-articles stay whole. If no window surges, the block with the largest sum is taken.
+text. Inside an ``article`` or ``main`` element any text at all is a surge, which lasts until
+the element ends, so that short articles stay whole; lines around it need a surge of their
+own. If no window surges, the block with the largest sum is taken.
+
+A class, id or role name, or a form, drops a region only if it holds at most half of the
+page's text outside links (comments of readers apart), so that a name on the element around
+everything drops nothing; comments go unless the page has next to no other text.
 
 A tag left open ends with the element around it, and an opening ``article`` or ``main`` ends
 menus, headers and adverts left open before it. Null and empty pages have an empty text.
@@ -35,6 +40,7 @@ footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu
 select summary table tbody tfoot thead title tr ul""".split())
 _RAW = frozenset("script style textarea title noscript noframes noembed iframe xmp template svg math".split())
 _DROPPED = frozenset("nav aside footer form menu select button dialog fieldset head object audio video canvas map search label datalist".split())
+_WRAPPING = frozenset("form fieldset".split())  # dropped, but may be around the whole page
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Parts of class, id and role names that mark boilerplate.
 _WORDS = frozenset("""ad ads adv advert adverts advertisement advertisements adbox adsense banner banners breadcrumb breadcrumbs comment
@@ -49,20 +55,20 @@ _TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _SPACE = re.compile(r"\s+")
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """(boilerplate, reader comments) by an element's class, id and role."""
-    boiler = comment = False
+def _marks(attributes: str) -> tuple[bool, bool, bool]:
+    """(boilerplate, reader comments) by an element's class, id and role; whether it is not shown."""
+    boiler = comment = unseen = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            boiler = True
+            unseen = True
         elif name == "style":
-            boiler |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            unseen |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif name in ("class", "id", "role"):
             words = {w.lower() for w in _NAME.findall(value)}
             boiler |= bool(words & _WORDS)
             comment |= bool(words & _COMMENT)
-    return boiler or comment, comment
+    return boiler or comment or unseen, comment, unseen
 
 
 def _tag_end(page: str, at: int, quotes: dict[str, int]) -> int:
@@ -89,6 +95,30 @@ def _tag_end(page: str, at: int, quotes: dict[str, int]) -> int:
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(line, length of text outside links, inside article or main) in page order; dropped
     regions leave an empty line, which keeps blocks apart."""
+    out, named = _parse(page)
+    if not named:
+        return out
+    regions: list[tuple[int, bool, int, int]] = []
+    plain, all_ = _parse(page, weigh=regions)[1:]
+    spared = set()
+    for at, comment, own, whole in regions:
+        if comment:
+            much = all_ - whole < SURGE
+        else:
+            much = 2 * own > plain if plain >= SURGE or plain == all_ else 2 * whole > all_
+        if much:
+            spared.add(at)
+    return _parse(page, spared)[0] if spared else out
+
+
+def _parse(page: str, spared: set[int] | frozenset[int] = frozenset(), weigh: list | None = None) -> tuple:
+    """(lines, whether a name dropped a region). ``spared`` are places of tags whose names drop
+    nothing. With ``weigh`` no name does, and the result is (lines, text length outside readers'
+    comments, text length); regions (place, comments, the two lengths in it) go to the list."""
+    named = False
+    counts = [0, 0]
+    weighed: list[tuple[int, int, bool, int, int]] = []  # depth, place, comments, counts before
+    comments = 0
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = 0
@@ -118,6 +148,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             parts.append(piece)
             if link:
                 linked += len(piece.strip())
+            elif weigh is not None:
+                size = len(_SPACE.sub(" ", piece).strip())
+                counts[0] += 0 if comments else size
+                counts[1] += size
         if lt == n:
             break
         nxt = page[lt + 1 : lt + 2]
@@ -158,6 +192,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     if len(open_) < drop:
                         drop = 0
                         out.append(("", 0, False))
+                    while weighed and len(open_) < weighed[-1][0]:
+                        _, place, was, own, whole = weighed.pop()
+                        comments -= was
+                        weigh.append((place, was, counts[0] - own, counts[1] - whole))
                     if last == name:
                         break
             continue
@@ -178,7 +216,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name == "a":
             link += 1
             continue
-        boiler, comment = _marks(attributes) if attributes else (False, False)
+        boiler, comment, unseen = _marks(attributes) if attributes else (False, False, False)
         main = name in ("article", "main")
         if main and drop and not firm and not comment:
             drop = 0
@@ -191,10 +229,21 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not drop and (comment or name in _DROPPED or page_header or boiler and not main and name not in ("html", "body")):
             if name == "body":
                 continue
+            if not (name in _DROPPED and name not in _WRAPPING or page_header or unseen):
+                if weigh is not None:
+                    weighed.append((len(open_), lt, comment, *counts))
+                    comments += comment
+                    continue
+                if lt in spared:
+                    continue
+                named = True
             end_line()
             drop, firm = len(open_), comment
     end_line()
-    return out
+    while weighed:
+        _, place, was, own, whole = weighed.pop()
+        weigh.append((place, was, counts[0] - own, counts[1] - whole))
+    return (out, named) if weigh is None else (out, *counts)
 
 
 def _surges(lengths: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -218,11 +267,18 @@ def main_text(page: str | None) -> str:
     if not lines:
         return ""
     lengths = np.array([x[1] for x in lines], np.int64)
-    if any(x[2] and x[0] for x in lines):  # the page says where its article is
-        keep = np.array([x[2] for x in lines])
-    else:
-        keep = _surges(lengths, np.full(len(lines), SURGE))
-        if not keep.any() and lengths.any():
+    inside = np.array([x[2] for x in lines])
+    # Articles of nothing but links have no surge.
+    run = np.cumsum(np.diff(inside, prepend=False))
+    article = inside & (np.bincount(run, lengths)[run] > 0)
+    keep = article.copy()
+    for own in np.split(np.arange(len(lines)), np.flatnonzero(np.diff(run)) + 1):
+        if not inside[own[0]]:
+            keep[own] = _surges(lengths[own], np.full(len(own), SURGE))
+    if not keep.any():
+        if any(x[2] and x[0] for x in lines):
+            keep = inside
+        elif lengths.any():
             sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1 :][: len(lines)]
             least = np.full(len(lines), sums.max())
             keep = _surges(lengths, least)

@@ -24,6 +24,22 @@ def test_main_text(page, want):
     assert X.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    # teasers beside a story
+    (f"<div class=content><p>{LONG}</p><p>{LONG}</p></div><article><h3><a href=x>Next</a></h3></article>", f"{LONG}\n{LONG}"),
+    (f"<div class=content><p>{LONG}</p></div><article><h3><a href=x>Next</a></h3><p>teaser</p></article><p>short</p>", f"{LONG}\nNext\nteaser"),
+    # names and forms around everything
+    (f"<div class='page has-sidebar'><div class=sidebar>s</div><p>{LONG}</p></div>", LONG),
+    (f"<section id=header-wrap><div class=tags>t</div><div class='print-area'><p>{LONG}</p></div></section>", LONG),
+    (f"<form id=aspnet><input name=x><div class=login>l</div><p>{LONG}</p><p>{LONG}</p></form>", f"{LONG}\n{LONG}"),
+    # comments and hidden regions stay out even if they are long
+    (f"<p>{LONG}</p><div class=comments><p>{LONG}</p><p>{LONG}</p></div><div hidden><p>{LONG}</p><p>{LONG}</p></div>", LONG),
+    (f"<div class=comments-open><p>{LONG}</p><div id=comments><p>{LONG}</p><p>{LONG}</p></div></div>", LONG),
+])
+def test_text_outside_articles_and_in_named_wrappers(page, want):
+    assert X.main_text(page) == want
+
+
 def test_surge_and_dive():
     links = "".join(f"<li><a href=x>link {k}</a></li>" for k in range(9))
     assert X.main_text(f"<ul>{links}</ul><h2>Head</h2><p>{LONG}</p><p>{LONG}</p><ul>{links}</ul>") == f"Head\n{LONG}\n{LONG}"
