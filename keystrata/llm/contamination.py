@@ -7,7 +7,8 @@ of every training text is looked up, and a hit is verified word by word. Beyond
 ``max_broadcast`` windows the lookup is a join on the hash, with the same verification.
 
 Null and empty texts have no words, no hits and are never contaminated. Repeated rows are
-judged one by one. Only the id and text columns are read; others pass through untouched.
+judged one by one, also those without an id. Only the id and text columns are read; others
+pass through untouched. Items without an id count as one item; the digest has named ones only.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.batches import map_batches
 from keystrata.llm.words import PLAIN, buffers, grams, lower, words
+from keystrata.session import checkpointed
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 13
@@ -55,7 +57,7 @@ def _item_windows(n: int):
 
 def item_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """(item, size, hash, window): every window of every item; item ids as text."""
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), "text")
+    rows = benchmark.select(F.col("item_id").cast("string"), "text")
     return map_batches(rows, _item_windows(n), "item string, size int, hash long, window string").distinct()
 
 
@@ -141,7 +143,7 @@ _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contamin
 
 def _row(n: int, hit: np.ndarray | None, items: set[str]) -> tuple:
     n_hit = int(hit.sum()) if hit is not None else 0
-    return n, n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), _verdict(n, n_hit)
+    return n, n_hit, len(items), hashlib.sha256(",".join(sorted(x for x in items if x is not None)).encode()).hexdigest(), _verdict(n, n_hit)
 
 
 def window_set(benchmark: DataFrame, n: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> WindowSet | None:
@@ -170,8 +172,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_broadcast:
     return map_batches(docs, run, f"doc_id long, {_RESULT}")
 
 
-def _scan_joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """As scan, for benchmarks too large to broadcast."""
+def _with_found(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """docs and a last column of the windows whose hash occurs in a row's text, for benchmarks
+    too large to broadcast. Rows get a key of their own, written once."""
+    rows = checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())
 
     def emit(batches):
@@ -183,48 +187,56 @@ def _scan_joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
                     row = np.searchsorted(part.offsets[:-1], np.arange(len(h)), side="right") - 1
                     good = np.arange(len(h)) + size <= part.offsets[row + 1]
                     row, h, where = row[good], h[good], np.flatnonzero(good)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + part.first)).cast(pa.int64()), pa.array(where - part.offsets[row], pa.int64()), pa.array(np.full(len(h), size, np.int32)), pa.array(h.astype(np.int64))], names=["doc_id", "position", "size", "hash"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + part.first)).cast(pa.int64()), pa.array(where - part.offsets[row], pa.int64()), pa.array(np.full(len(h), size, np.int32)), pa.array(h.astype(np.int64))], names=["__row", "position", "size", "hash"])
+
+    found = map_batches(rows.select("__row", "text"), emit, "__row long, position long, size int, hash long").join(windows, ["size", "hash"])
+    found = found.groupBy("__row", "position", "size", "window").agg(F.collect_set(F.struct("item")).alias("items"))
+    per_row = found.groupBy("__row").agg(F.collect_list(F.struct("position", "size", "window", "items")).alias("__found"))
+    return rows.join(per_row, "__row", "left").select(*docs.columns, "__found")
 
-    found = map_batches(docs, emit, "doc_id long, position long, size int, hash long").join(windows, ["size", "hash"])
-    found = found.groupBy("doc_id", "position", "size", "window").agg(F.collect_set("item").alias("items"))
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("position", "size", "window", "items")).alias("found"))
+
+def _judged_found(texts: pa.Array, found: pa.Array) -> Iterator[tuple[int, np.ndarray, set[str]]]:
+    """(words, hit words, items) for each text of a column."""
+    for text, hits in zip(texts.to_pylist(), found.to_pylist()):
+        own = _WORD.findall(lower((text or "").encode()))
+        items: dict = defaultdict(set)
+        for x in hits or []:
+            items[x["size"], x["window"].encode()] |= {y["item"] for y in x["items"]}
+        yield len(own), *verified(own, [(x["position"], x["size"]) for x in hits or [] if x["position"] + x["size"] <= len(own)], items)
+
+
+def _scan_joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """As scan, for benchmarks too large to broadcast."""
 
     def decide(batches):
         for batch in batches:
-            rows = []
-            for text, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = _WORD.findall(lower((text or "").encode()))
-                items: dict = defaultdict(set)
-                for x in hits or []:
-                    items[x["size"], x["window"].encode()] |= set(x["items"])
-                hit, which = verified(own, [(x["position"], x["size"]) for x in hits or [] if x["position"] + x["size"] <= len(own)], items)
-                rows.append(_row(len(own), hit, which))
+            rows = [_row(*x) for x in _judged_found(batch.column(1), batch.column(2))]
             columns = list(zip(*rows)) if rows else [[]] * 5
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return map_batches(docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "found"), decide, f"doc_id long, {_RESULT}")
+    return map_batches(_with_found(docs, windows), decide, f"doc_id long, {_RESULT}")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs without its contaminated documents (or, with remove="spans", with the hit words
     of those documents taken out); all columns as they are."""
-    known = window_set(benchmark, n, max_broadcast)
-    if known is None:
-        if remove != "documents":
-            raise ValueError("spans are removed with a broadcast window set only; raise max_broadcast")
-        bad = scan(docs, benchmark, n, max_broadcast).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
-    shared, at = docs.sparkSession.sparkContext.broadcast(known), docs.columns.index("text")
+    known, at, width = window_set(benchmark, n, max_broadcast), docs.columns.index("text"), len(docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches):
         for batch in batches:
             texts = batch.column(at)
-            bad = {k: hit for k, c, hit, _ in judged(texts, shared.value) if hit is not None and _verdict(c, int(hit.sum()))}
+            if shared is not None:
+                found = ((k, c, hit) for k, c, hit, _ in judged(texts, shared.value))
+            else:
+                found = ((k, c, hit) for k, (c, hit, _) in enumerate(_judged_found(texts, batch.column(width))))
+                batch = batch.select(list(range(width)))
+            bad = {k: hit for k, c, hit in found if hit is not None and _verdict(c, int(hit.sum()))}
             if remove == "documents":
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
             else:
                 new = [_without(x.encode(), bad[k]) if k in bad else x for k, x in enumerate(texts.to_pylist())]
                 yield batch.set_column(at, batch.schema.field(at), pa.array(new, texts.type))
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs if known is not None else _with_found(docs, item_windows(benchmark, n)), run, docs.schema)

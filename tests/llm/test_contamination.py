@@ -79,6 +79,20 @@ def test_spans_removed(spark):
     assert got == {1: "before , after", 2: "clean é", 3: None}
 
 
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_null_ids(spark, most):
+    item, other = (" ".join(f"{x}{k}" for k in range(15)) for x in "tu")
+    rows = [(None, f"a {item} b"), (None, "clean"), (7, f"{other} {item}"), (7, "clean too"), (8, other)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(None, item), (3, other)], "item_id long, text string")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(None, 17, 15, 1, sha(""), True), (None, 1, 0, 0, sha(""), False), (7, 30, 30, 2, sha("3"), True), (7, 2, 0, 0, sha(""), False), (8, 15, 15, 1, sha("3"), True)]
+    assert sorted(map(tuple, C.scan(d, b, max_broadcast=most).collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, C.decontaminate(d, b, max_broadcast=most).collect()), key=str) == [(7, "clean too"), (None, "clean")]
+    spans = C.decontaminate(d, b, remove="spans", max_broadcast=most).collect()
+    assert sorted(map(tuple, spans), key=str) == sorted([(None, "a  b"), (None, "clean"), (7, ""), (7, "clean too"), (8, "")], key=str)
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
