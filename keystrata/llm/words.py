@@ -31,6 +31,7 @@ def _powers(base: int) -> np.ndarray:
 _POW, _INV = _powers(_BASE), _powers(_INVERSE)
 _RANDOM = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BYTES = _RANDOM[np.frombuffer(_LOWER, np.uint8)]
+_SECOND = np.random.Generator(np.random.PCG64(577)).integers(1, 1 << 63, 256, dtype=np.uint64)[np.frombuffer(_LOWER, np.uint8)] * _U(2) + _U(1)
 _MULT = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
 
 
@@ -81,8 +82,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
-def _hashed(b: np.ndarray, breaks: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words in at most PIECE bytes; breaks: where texts begin."""
+def _bounds(b: np.ndarray, breaks: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in some bytes; breaks: where texts begin."""
     gap = sep[b]
     inside = ~gap
     before, after = np.empty(len(b), bool), np.empty(len(b), bool)
@@ -91,10 +92,20 @@ def _hashed(b: np.ndarray, breaks: np.ndarray, sep: np.ndarray) -> tuple[np.ndar
     cut = breaks[(breaks > 0) & (breaks < len(b))]
     before[cut] = True
     after[cut - 1] = True
-    start, end = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
+    return np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
+
+
+def _values(b: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hashes of the words of at most PIECE bytes."""
     sums = np.zeros(len(b) + 1, _U)
-    np.cumsum(_BYTES[b] * _POW[: len(b)], out=sums[1:])
-    return start, mix((sums[end] - sums[start]) * _INV[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+    np.cumsum(table[b] * _POW[: len(b)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * _INV[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def _hashed(b: np.ndarray, breaks: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words in at most PIECE bytes; breaks: where texts begin."""
+    start, end = _bounds(b, breaks, sep)
+    return start, _values(b, start, end, _BYTES)
 
 
 def _long(b: np.ndarray, sep: np.ndarray) -> np.ndarray:
@@ -138,6 +149,58 @@ def words(column: pa.Array, sep: np.ndarray) -> Iterator[Words]:
         first = last
 
 
+@dataclass
+class Located(Words):
+    """Words with their places in the column's bytes and a second, independent hash."""
+
+    start: np.ndarray
+    end: np.ndarray
+    second: np.ndarray
+
+
+def _pieces(b: np.ndarray, sep: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """(from, to, one long word) of the pieces of a text over PIECE bytes."""
+    at = 0
+    while at < len(b):
+        stop, alone = min(at + PIECE, len(b)), False
+        if stop < len(b):
+            gaps = np.flatnonzero(sep[b[at:stop]])
+            if len(gaps):
+                stop = at + int(gaps[-1]) + 1
+            else:
+                alone = True
+                while stop < len(b) and not sep[b[stop]]:
+                    stop += 1
+        yield at, stop, alone
+        at = stop
+
+
+def located(column: pa.Array, sep: np.ndarray) -> Iterator[Located]:
+    """As words(), with places and a second hash: two words with both hashes equal are taken
+    for the same word (128 bits)."""
+    data, at = buffers(column)
+    n, first = len(at) - 1, 0
+    while first < n:
+        last = min(max(first + 1, int(np.searchsorted(at, at[first] + PIECE, side="right")) - 1), n)
+        b, breaks = data[at[first] : at[last]], at[first : last + 1] - at[first]
+        cuts = [(0, len(b), False)] if len(b) <= PIECE else _pieces(b, sep)
+        parts = []
+        for low, high, alone in cuts:
+            if alone:
+                digest = np.frombuffer(hashlib.blake2b(lower(b[low:high].tobytes()), digest_size=16).digest(), _U)
+                parts.append((np.array([low]), np.array([high]), digest[:1], digest[1:]))
+            elif high > low:
+                x = b[low:high]
+                start, end = _bounds(x, breaks[:-1] if len(b) <= PIECE else breaks[:0], sep)
+                parts.append((start + low, end + low, _values(x, start, end, _BYTES), _values(x, start, end, _SECOND)))
+        if parts:
+            start, end, one, two = (np.concatenate(x) for x in zip(*parts))
+        else:
+            start, end, one, two = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
+        yield Located(first, last, np.searchsorted(start, breaks), one, start + at[first], end + at[first], two)
+        first = last
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of n consecutive words (empty if there are fewer)."""
     m = len(hashes) - n + 1
