@@ -1,19 +1,22 @@
 """Language of whole texts by interpolated Kneser-Ney character models.
 
 Texts are lowered and every run of other characters than letters becomes one space. For each
-language an order-4 model with Kneser-Ney discounting is built from its training documents.
-The models of all languages share sorted arrays of n-gram hashes, one per order, with one
+language an order-4 model with Kneser-Ney discounting is built from its training documents:
+counts, continuation counts, contexts and discounts are of all n-grams of the sample. The
+models of ``BLOCK`` languages share sorted arrays of n-gram hashes, one per order, with one
 column of log probabilities a language, and arrays of context hashes with back-off weights;
-an n-gram unseen in every language backs off to the next lower order. The language with the
+an n-gram unseen in all of them backs off to the next lower order. Size is in proportion to
+the n-grams of the sample, however many languages there are. The language with the
 lowest cross-entropy per symbol wins. On documents set aside from training, a limit on the
 cross-entropy (above it a prediction counts as rejected and its score is halved) and the
 logistic that turns margin and length into a score are fit.
 
 Training uses at most ``MAX_TRAIN`` documents a language, chosen by a hash of the id among
-those with a language that are not held out, and keeps at most ``MAX_GRAMS`` distinct n-grams
-a language and ``MAX_ALL`` in all, the most frequent of each. Prediction reads every symbol. Null texts and texts without
-letters are ``und`` with score 0; so is everything if no language was learned. Repeated rows
-are predicted one by one.
+those with a language that are not held out, and all their n-grams. Every fifth of them is
+set aside, so a language with fewer than five has none there. Prediction reads every symbol.
+Null texts and texts without letters are ``und`` with score 0; so is everything if no language
+was learned. Of languages equally likely the first by name is predicted. Repeated rows are
+predicted one by one and count once for each row in training; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,11 +33,11 @@ from pyspark.sql import functions as F
 from keystrata.llm.batches import map_batches
 from keystrata.llm.quality import held_out
 from keystrata.llm.words import mix
+from keystrata.session import checkpointed
 
 ORDER = 4
 MAX_TRAIN = 400
-MAX_GRAMS = 300_000
-MAX_ALL = 3_000_000
+BLOCK = 8  #: languages whose models share a table
 _PIECE = 1 << 18
 _SPACE = 32
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -87,68 +90,84 @@ def _hash(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    langs: list[str]
+class Block:
+    """The models of a few languages (columns) over the n-grams that any of them knows."""
+
     grams: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  #: order: hashes, log probabilities
     contexts: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  #: order of the gram: hashes of its context, log weights
+
+
+@dataclass
+class Model:
+    langs: list[str]
+    blocks: list[Block] = field(default_factory=list)  #: BLOCK languages each, in the order of langs
     floor: float = 0.0  #: log probability of a symbol never seen
     limits: np.ndarray | None = None
     logistic: tuple[float, float, float] = (4.0, 0.5, 0.0)
 
 
-def _pack(table: dict[str, np.ndarray], n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    if not table:
-        return np.zeros(0, np.uint64), np.zeros((0, width), np.float32)
-    codes = np.frombuffer("".join(table).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
-    h = mix((codes * _K[:n]).sum(axis=1, dtype=np.uint64) + np.uint64(n))
-    order = np.argsort(h)
-    return h[order], np.stack(list(table.values())).astype(np.float32)[order]
-
-
-def build(counts: dict[str, Counter]) -> Model:
-    """A model from the counts of ORDER-grams of each language."""
-    langs = sorted(counts)
-    vocabulary = {c for g in counts.values() for gram in g for c in gram}
-    floor = -math.log(len(vocabulary) + 1)
-    # levels[lang][n]: counts of n-grams; below the highest order, of distinct symbols before them.
-    levels = {}
-    for lang in langs:
-        level = {ORDER: dict(counts[lang])}
-        for n in range(ORDER - 1, 0, -1):
-            lower: dict[str, int] = defaultdict(int)
-            for gram in level[n + 1]:
-                lower[gram[1:]] += 1
-            level[n] = dict(lower)
-        levels[lang] = level
-    known = {n: sorted(set().union(*(levels[lang][n] for lang in langs))) for n in range(1, ORDER + 1)}
-    model = Model(langs, floor=floor)
-    below: dict[str, np.ndarray] = {}
+def _codes(grams: pa.ChunkedArray, n: int) -> np.ndarray:
+    text = "".join(grams.to_pylist()).encode("utf-32-le", "surrogatepass")
+    return np.frombuffer(text, np.uint32).reshape(-1, n).astype(np.uint64)
+
+
+def _keys(codes: np.ndarray) -> np.ndarray:
+    """Hashes of rows of symbols, those of ``_hash``."""
+    n = codes.shape[1]
+    return mix((codes * _K[:n]).sum(axis=1, dtype=np.uint64) + np.uint64(n)) if n else np.zeros(len(codes), np.uint64)
+
+
+def build_block(levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, floor: float) -> Block:
+    """Interpolated Kneser-Ney from (language number, symbols, count) of all n-grams of each
+    order; below the highest order, counts are of the distinct symbols before an n-gram."""
+    out, below = Block(), (np.zeros(1, np.uint64), np.full((1, width), math.exp(floor)))
     for n in range(1, ORDER + 1):
-        total = {lang: Counter() for lang in langs}
-        kinds = {lang: Counter() for lang in langs}
-        discount = {}
-        for lang in langs:
-            ones = twos = 0
-            for gram, c in levels[lang][n].items():
-                total[lang][gram[:-1]] += c
-                kinds[lang][gram[:-1]] += 1
-                ones, twos = ones + (c == 1), twos + (c == 2)
-            discount[lang] = min(0.95, max(0.1, ones / (ones + 2 * twos) if ones else 0.5))
-        weights = {}
-        for context in set().union(*total.values()):
-            weights[context] = np.array([discount[x] * kinds[x][context] / total[x][context] if total[x][context] else 1.0 for x in langs])
-        now = {}
-        for gram in known[n]:
-            context = gram[:-1]
-            lower = below[gram[1:]] if n > 1 else np.full(len(langs), math.exp(floor))
-            own = np.array([max(levels[x][n].get(gram, 0) - discount[x], 0) / total[x][context] if total[x][context] else 0.0 for x in langs])
-            now[gram] = own + weights[context] * lower
-        model.grams[n] = _pack({g: np.log(p) for g, p in now.items()}, n, len(langs))
-        if n > 1:
-            model.contexts[n] = _pack({c: np.log(w) for c, w in weights.items()}, n - 1, len(langs))
-        else:
-            model.contexts[1] = (np.zeros(1, np.uint64), np.log(weights.get("", np.ones(len(langs))))[None, :].astype(np.float32))
-        below = now
+        lang, codes, count = levels[n]
+        context, at = np.unique(_keys(codes[:, :-1]), return_inverse=True)
+        cell = at * width + lang
+        total = np.bincount(cell, count, len(context) * width).reshape(-1, width)
+        kinds = np.bincount(cell, minlength=len(context) * width).reshape(-1, width)
+        ones, twos = (np.bincount(lang[count == c], minlength=width) for c in (1, 2))
+        discount = np.where(ones > 0, np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.1, 0.95), 0.5)
+        weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+        gram, first, which = np.unique(_keys(codes), return_index=True, return_inverse=True)
+        own = np.zeros((len(gram), width))
+        own[which, lang] = count
+        at = at[first]
+        own = np.maximum(own - discount, 0) / np.maximum(total[at], 1)
+        lower = below[1][np.searchsorted(below[0], _keys(codes[first, 1:]))]
+        now = own + weight[at] * lower
+        out.grams[n] = gram, np.log(now).astype(np.float32)
+        out.contexts[n] = context, np.log(weight).astype(np.float32)
+        below = gram, now
+    return out
+
+
+def levels_of(grams: DataFrame) -> dict[int, DataFrame]:
+    """(lang, gram, n) of each order from the counts of the highest: n counts the distinct
+    n-grams one symbol longer."""
+    out = {ORDER: grams}
+    for order in range(ORDER - 1, 0, -1):
+        shorter = out[order + 1].select("lang", F.expr(f"substring(gram, 2, {order})").alias("gram"))
+        out[order] = shorter.groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    return out
+
+
+def build(grams: DataFrame) -> Model:
+    """A model of all n-grams counted in (lang, gram, n). Levels are aggregated in Spark; the
+    driver gets them as arrays, those of BLOCK languages at a time."""
+    levels = {order: checkpointed(df) for order, df in levels_of(grams).items()}
+    langs = sorted(r[0] for r in levels[1].select("lang").distinct().collect())
+    floor = -math.log(levels[1].select("gram").distinct().count() + 1)
+    model = Model(langs, floor=floor)
+    for low in range(0, len(langs), BLOCK):
+        own = langs[low : low + BLOCK]
+        arrays = {}
+        for order, df in levels.items():
+            found = df.where(F.col("lang").isin(own)).toArrow()
+            lang = np.searchsorted(np.array(own, object), np.array(found["lang"].to_pylist(), object)) if found.num_rows else np.zeros(0, np.int64)
+            arrays[order] = lang, _codes(found["gram"], order), found["n"].to_numpy().astype(np.int64)
+        model.blocks.append(build_block(arrays, len(own), floor))
     return model
 
 
@@ -159,8 +178,12 @@ def _found(hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _log_probabilities(codes: np.ndarray, model: Model) -> np.ndarray:
     """Of each symbol from the ORDER-th on, in each language."""
+    return np.concatenate([_in_block(codes, block, model.floor) for block in model.blocks], axis=1)
+
+
+def _in_block(codes: np.ndarray, model: Block, floor: float) -> np.ndarray:
     m = len(codes) - ORDER + 1
-    out = np.zeros((m, len(model.langs)), np.float32)
+    out = np.zeros((m, model.grams[1][1].shape[1]), np.float32)
     open_ = np.arange(m)
     for n in range(ORDER, 0, -1):
         h = _hash(codes[ORDER - n :], n)[open_]
@@ -175,7 +198,7 @@ def _log_probabilities(codes: np.ndarray, model: Model) -> np.ndarray:
             at, hit = _found(hashes, _hash(codes[ORDER - n :], n - 1)[open_])
             out[open_[hit]] += values[at[hit]]
         else:
-            out[open_] += values[0] + model.floor
+            out[open_] += values[0] + floor
     return out
 
 
@@ -257,21 +280,17 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["lang", "gram", "n"])
 
 
-def fit(docs: DataFrame, max_train: int = MAX_TRAIN, max_grams: int = MAX_GRAMS) -> Model:
+def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Learns from docs (doc_id, text, lang) that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = known.select("doc_id", F.col("lang").alias("of"), place.alias("place")).where(F.col("place") <= max_train)
+    chosen = chosen.groupBy("doc_id", "of").agg(F.min("place").alias("place"))
     # At most max_train ids a language, so they may be sent to every task.
     sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where("lang = of")
-    aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) == 0
+    aside = F.col("place") % 5 == 0  # never the only document of a language
     grams = map_batches(sample.where(~aside).select("lang", "text"), _count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    most = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    counts: dict[str, Counter] = defaultdict(Counter)
-    max_grams = min(max_grams, MAX_ALL // max(1, known.select("lang").distinct().count()))
-    for r in grams.withColumn("place", most).where(F.col("place") <= max_grams).collect():
-        counts[r["lang"]][r["gram"]] = r["n"]
-    model = build(dict(counts))
+    model = build(grams)
     if not model.langs:
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)

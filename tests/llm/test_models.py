@@ -3,6 +3,7 @@
 import math
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -89,15 +90,68 @@ def test_long_texts_as_in_one_piece(spark, tables, monkeypatch):
     assert np.abs(sizes - again).max() <= 1 and np.allclose(whole, pieces, atol=0.01)
 
 
-def test_probabilities_sum_to_one():
-    from collections import Counter
+def counted(spark, texts):
+    """(lang, gram, n) of texts by language, padded as training texts are."""
+    rows = Counter((lang, padded[k : k + 4]) for lang, text in texts for padded in ["   " + text + " "] for k in range(len(padded) - 3))
+    return spark.createDataFrame([(*x, n) for x, n in rows.items()], "lang string, gram string, n long")
+
+
+class Plain:
+    """Interpolated Kneser-Ney of one language over dictionaries."""
+
+    def __init__(self, counts, symbols):
+        self.levels, self.symbols = {4: counts}, symbols
+        for n in (3, 2, 1):
+            self.levels[n] = Counter(g[1:] for g in self.levels[n + 1])
+        self.discount = {}
+        for n, level in self.levels.items():
+            ones, twos = (sum(c == k for c in level.values()) for k in (1, 2))
+            self.discount[n] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+
+    def p(self, context, symbol):
+        n = len(context) + 1
+        lower = self.p(context[1:], symbol) if context else 1 / self.symbols
+        follows = {g: c for g, c in self.levels[n].items() if g[:-1] == context}
+        if not follows:
+            return lower
+        total, d = sum(follows.values()), self.discount[n]
+        return max(follows.get(context + symbol, 0) - d, 0) / total + d * len(follows) / total * lower
+
+
+@pytest.mark.parametrize("block", [8, 2])
+def test_probabilities_against_dictionaries(spark, monkeypatch, block):
+    monkeypatch.setattr(L, "BLOCK", block)
+    texts = [("x", "abracadabra bra cad abra"), ("y", "z zz"), ("z", "ça déjà vu cad"), ("x", "a cab"), ("\U0001f600", "\U00010400b ab")]
+    grams = counted(spark, texts)
+    model = L.build(grams)
+    symbols = sorted({" "} | {c for _, t in texts for c in t})
+    assert model.floor == pytest.approx(-math.log(len(symbols) + 1)) and len(model.blocks) == -(-4 // block)
+    plain = [Plain({r["gram"]: r["n"] for r in grams.where(grams.lang == x).collect()}, len(symbols) + 1) for x in model.langs]
+    contexts = {r["gram"][:3] for r in grams.collect()} | {"zzz", "q q", "bra", "  q"}
+    for context in contexts:
+        codes = [np.array([ord(c) for c in context + s], np.uint64) for s in [*symbols, "q"]]
+        got = np.exp([L._log_probabilities(c, model)[0] for c in codes])
+        assert got == pytest.approx(np.array([[m.p(context, s) for m in plain] for s in [*symbols, "q"]]), rel=1e-5)
+        assert got.sum(axis=0) == pytest.approx(np.ones(4), abs=1e-5)
+
+
+def test_training_keeps_every_gram(spark):
+    docs = spark.createDataFrame([(k, f"text number {chr(97 + k % 26)}{chr(98 + k % 24)} of many", "en" if k % 3 else "de", 5) for k in range(300)], "doc_id long, text string, lang string, n long")
+    model = L.fit(docs)
+    used = {r["doc_id"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    codes = {x for r in docs.collect() if r["doc_id"] in used for t in ["   " + "".join(c if c.isalpha() else " " for c in r["text"].lower()) + " "] for x in (t[k : k + 4] for k in range(len(t) - 3))}
+    assert 0.75 * len(codes) <= len(model.blocks[0].grams[4][0]) <= len(codes)  # a fifth of the rows is set aside
+
 
-    text = "   abracadabra bra cad abra "
-    model = L.build({"x": Counter(text[k : k + 4] for k in range(len(text) - 3)), "y": Counter({"   z": 1, "  zz": 2})})
-    symbols = sorted(set(text) | {"z"})
-    for context in ("abr", "zzz", "  a", "cab"):
-        p = [np.exp(L._log_probabilities(np.array([ord(c) for c in context + s], np.uint64), model))[0] for s in [*symbols, "q"]]
-        assert np.sum(p, axis=0) == pytest.approx([1, 1], abs=1e-3)
+def test_few_repeated_and_tied_rows(spark):
+    rows = [(k, "une phrase courte", "fr") for k in (2, 3, 3, 7)] + [(k, "ein kurzer satz", "de") for k in (2, 9)] + [(4, "ein kurzer satz", "aa"), (None, "x", "zz"), (8, None, "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    assert model.langs == ["aa", "de", "fr"]  # none is lost, however few its documents
+    odd = spark.createDataFrame([(1, "une phrase", 0.5, "q"), (1, "une phrase", 0.5, "q"), (None, "ein satz", 1.0, "r")], "doc_id long, text string, score double, lang_pred string")
+    got = sorted(L.identify(odd, model).collect(), key=str)
+    assert [r["lang_pred"] for r in got if r["doc_id"] == 1] == ["fr", "fr"] and len(got) == 3
+    assert L.predict(["qqq"], L.build(counted(spark, [("b", "same"), ("a", "same")])))[0] == ["a"]
 
 
 def test_language_without_training(spark):
