@@ -66,11 +66,31 @@ def test_as_few_as_best_fit(size, lengths):
 ])
 def test_ids_of_the_tokenizer(tokenizer, text, monkeypatch):
     want = tokenizer.encode(text, add_special_tokens=False).ids
-    for part, cached in ((packing.PART, packing.CACHED), (7, 3)):
+    for part in (packing.PART, 7):
         monkeypatch.setattr(packing, "PART", part)
-        monkeypatch.setattr(packing, "CACHED", cached)
         encoder = packing.Encoder(packing.vocabulary())
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+        assert encoder.ranked is not None and np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+
+
+def test_other_vocabularies_go_through_their_file():
+    encoder = packing.Encoder(packing.vocabulary("word_bpe_49k.json"))
+    want = Tokenizer.from_file(packing.vocabulary("word_bpe_49k.json")).encode("Some words, and more.", add_special_tokens=False).ids
+    assert encoder.ranked is None and np.frombuffer(encoder.encode("Some words, and more."), "<u4").tolist() == want
+
+
+def test_both_libraries_on_random_strings(tokenizer):
+    rng, encoder = np.random.default_rng(8), packing.Encoder(packing.vocabulary())
+    signs = [*"aeiou thTHE 's're 12 \n\t.,!?-", *(chr(int(c)) for c in rng.integers(0xA0, 0x3100, 200)), "\U0001f600", "\u200d", "\u3000", "<|endoftext|>"]
+    texts = ["".join(signs[int(k)] for k in rng.integers(0, len(signs), 40)) for _ in range(3000)]
+    for text, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == e.ids, text
+
+
+@pytest.mark.parametrize("text", [" " * 3_000_000 + "x", "\n" * 3_000_000, "x" * 1_000_000])
+def test_long_runs(text):
+    encode = packing.Encoder(packing.vocabulary()).encode
+    half = len(encode(text[: len(text) // 2]))
+    assert 0 < half < len(encode(text))
 
 
 @pytest.mark.parametrize("n, size, want", [(1, 4, [(0, 1)]), (4, 4, [(0, 4)]), (5, 4, [(0, 1), (1, 4)]), (8, 4, [(0, 4), (4, 4)]), (11, 4, [(0, 3), (3, 4), (7, 4)])])
