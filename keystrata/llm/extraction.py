@@ -16,7 +16,8 @@ page's text outside links (comments of readers apart), so that a name on the ele
 everything drops nothing; comments go unless the page has next to no other text.
 
 A tag left open ends with the element around it, and an opening ``article`` or ``main`` ends
-menus, headers and adverts left open before it. Null and empty pages have an empty text.
+menus, headers and adverts left open before it; ``br`` ends a line like any block. Work is
+linear in the page, also where tags are never closed or never opened. Null and empty pages have an empty text.
 Repeated rows are extracted one by one; no page and no line is capped.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +125,8 @@ def _parse(page: str, spared: set[int] | frozenset[int] = frozenset(), weigh: li
     parts: list[str] = []
     linked = 0
     open_: list[str] = []  # elements around the place, as far as they matter
+    held: Counter[str] = Counter()  # how often each of them is open
+    endless: set[str] = set()  # raw elements that nothing ends from here on
     drop = 0  # depth of the element whose content is dropped
     firm = False  # whether an article cannot end it
     link = inside = 0
@@ -184,9 +188,10 @@ def _parse(page: str, spared: set[int] | frozenset[int] = frozenset(), weigh: li
                 end_line()
             if name == "a":
                 link = max(link - 1, 0)
-            if name in open_:
+            if held[name]:
                 while open_:
                     last = open_.pop()
+                    held[last] -= 1
                     if last in ("article", "main"):
                         inside -= 1
                     if len(open_) < drop:
@@ -201,7 +206,9 @@ def _parse(page: str, spared: set[int] | frozenset[int] = frozenset(), weigh: li
             continue
         if name in _RAW:
             if name != "title":
-                stop = re.compile(rf"</{name}\b", re.I).search(page, at) if not attributes.rstrip().endswith("/") else None
+                stop = re.compile(rf"</{name}\b", re.I).search(page, at) if name not in endless and not attributes.rstrip().endswith("/") else None
+                if not stop and not attributes.rstrip().endswith("/"):
+                    endless.add(name)
                 if stop:
                     close = page.find(">", stop.start())
                     at = n if close < 0 else close + 1
@@ -224,6 +231,7 @@ def _parse(page: str, spared: set[int] | frozenset[int] = frozenset(), weigh: li
         if name in ("p", "li", "tr", "td", "th", "dd", "dt", "option", "b", "i", "em", "strong", "span", "font", "u", "small", "big", "center", "code") and not boiler:
             continue  # often left open, and never matters below
         open_.append(name)
+        held[name] += 1
         inside += main
         page_header = name == "header" and not inside
         if not drop and (comment or name in _DROPPED or page_header or boiler and not main and name not in ("html", "body")):

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 
 import pytest
 
@@ -83,3 +84,15 @@ def test_damage_is_seen(spark):
     with pytest.raises(Exception, match="out of place|cut short"):
         W.read_records(chunks.where("chunk <> 2")).collect()
     assert W.round_trip(df.limit(0)).count() == 0
+
+
+def seconds(call, argument):
+    start = time.process_time()
+    call(argument)
+    return time.process_time() - start
+
+
+@pytest.mark.parametrize("unit", ["<svg>", "<template><div>", "</section></div>", "<div>", "<div></p></div>", "<script x", "<a href='", "<!--", "<div class=ad>x", "</"])
+def test_hostile_pages_take_linear_time(unit):
+    small, large = (min(seconds(X.main_text, unit * n) for _ in range(2)) for n in (50_000, 100_000))
+    assert large < 2.5 * small + 0.2
