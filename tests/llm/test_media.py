@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -65,3 +66,19 @@ def test_round_trip(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert media.measured(media.store(df)).count() == 0
+
+
+def test_many_headers_take_linear_time():
+    search = media.automaton()
+    took = []
+    for n in (50_000, 100_000):
+        start = time.process_time()
+        media.sniff(b"PK\x03\x04" + b"xPK\x03\x04" * n, search)
+        took.append(time.process_time() - start)
+    assert took[1] < 2.5 * took[0] + 0.2
+
+
+def test_null_media(spark):
+    values = spark.createDataFrame([(1, 5, None), (None, None, media.wav(b"\xff" * 576))], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in media.measured(values).collect()}
+    assert got[1]["payload_bytes"] is None and got[1]["feature"] is None and got[None]["payload_bytes"] == 576
