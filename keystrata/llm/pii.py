@@ -177,20 +177,48 @@ def report(docs: DataFrame) -> DataFrame:
         count("iban"), count("ssn"), F.array_max(F.transform("__pii", lambda x: x["score"])).alias("max_score"))
 
 
+def _merged(df: DataFrame, spans: str) -> DataFrame:
+    """Replaces a column of spans by (prev, start, end, kind) in order, those that overlap as
+    one; prev is where the one before ends. A span opens a new one where no earlier span
+    reaches; the reach is a running maximum, taken in blocks."""
+    in_order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    df = bind(df, **{spans: in_order}, __ends=F.transform(in_order, lambda x: x["end"]))
+    n = F.size("__ends")
+    df = bind(df, __most=F.transform(F.sequence(F.lit(0), F.floor(n / _BLOCK).cast("int")), lambda b: F.coalesce(F.array_max(F.slice("__ends", b * _BLOCK + 1, F.lit(_BLOCK))), F.lit(0))))
+    df = bind(df, __most=F.transform("__most", lambda x, b: F.coalesce(F.array_max(F.slice("__most", F.lit(1), b)), F.lit(0))))
+    block = lambda i: F.floor(i / _BLOCK).cast("int")
+    reach = lambda i: F.greatest(F.get(F.col("__most"), block(i)), F.coalesce(F.array_max(F.slice("__ends", block(i) * _BLOCK + 1, i % _BLOCK)), F.lit(0)))
+    heads = F.filter(F.transform(spans, lambda x, i: F.struct(reach(i).alias("prev"), x["start"].alias("start"), x["kind"].alias("kind"))), lambda x: x["start"] >= x["prev"])
+    df = bind(df, **{spans: heads}, __last=F.array_max("__ends"))
+    whole = F.transform(spans, lambda x, i: F.struct(x["prev"].alias("prev"), x["start"].alias("start"), F.coalesce(F.get(F.col(spans), i + 1)["prev"], F.col("__last")).alias("end"), x["kind"].alias("kind")))
+    return bind(df, **{spans: whole}).drop("__ends", "__most", "__last")
+
+
+def _cut(parts: Column, size: int) -> Column:
+    """(text, base, spans) of ever fewer spans each: a part of a text that begins at base."""
+    def split(x: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(x["spans"]) - 1) / size).cast("int"))
+        own = lambda b: F.slice(x["spans"], b * size + 1, F.lit(size))
+        low = lambda b: F.element_at(own(b), 1)["prev"]
+        return F.transform(blocks, lambda b: F.struct(
+            F.substring(x["text"], (low(b) - x["base"]).cast("int") + 1, (F.element_at(own(b), -1)["end"] - low(b)).cast("int")).alias("text"), low(b).alias("base"), own(b).alias("spans")))
+    return F.flatten(F.transform(parts, split))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets (spans that overlap become one,
-    named after the first) and n_chars following the text; texts without spans as they are."""
-    df = with_spans(docs, to="__pii")
-    step = lambda a, x: F.when((F.size(a) > 0) & (x["start"] < F.element_at(a, -1)["end"]), F.concat(
-        F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"), F.element_at(a, -1)["kind"].alias("kind"))))).otherwise(F.concat(a, F.array(x)))
-    in_order = F.array_sort(F.transform("__pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    df = bind(df, __pii=F.aggregate(in_order, F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>"), step))
-    spans, text = F.col("__pii"), F.col("text")
-    gap = F.transform(spans, lambda x, i: F.concat(
-        F.substring(text, F.when(i == 0, F.lit(0)).otherwise(spans[i - 1]["end"]).cast("int") + 1, (x["start"] - F.when(i == 0, F.lit(0)).otherwise(spans[i - 1]["end"])).cast("int")),
-        F.lit("["), F.upper(x["kind"]), F.lit("]")))
-    whole = F.concat(F.array_join(gap, ""), F.substring(text, F.element_at(spans, -1)["end"].cast("int") + 1, F.length(text)))
-    new = F.when(F.size(spans) > 0, whole).otherwise(text)
+    named after the first) and n_chars following the text; texts without spans as they are.
+    Texts are cut in two steps to parts of a block of spans each, so the work grows little
+    faster than the text."""
+    df = _merged(with_spans(docs, to="__pii"), "__pii")
+    some, text = F.size("__pii") > 0, F.col("text")
+    none = F.array().cast("array<struct<text:string,base:bigint,spans:array<struct<prev:bigint,start:bigint,end:bigint,kind:string>>>>")
+    df = bind(df, __parts=F.when(some, F.array(F.struct(text, F.lit(0).cast("long").alias("base"), F.col("__pii").alias("spans")))).otherwise(none))
+    for size in (_BLOCK * _BLOCK, _BLOCK):
+        df = bind(df, __parts=_cut(F.col("__parts"), size))
+    gap = lambda y, x: F.concat(F.substring(y["text"], (x["prev"] - y["base"]).cast("int") + 1, (x["start"] - x["prev"]).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+    df = bind(df, __parts=F.transform("__parts", lambda y: F.array_join(F.transform(y["spans"], lambda x: gap(y, x)), "")))
+    new = F.when(some, F.concat(F.array_join("__parts", ""), F.substring(text, F.element_at("__pii", -1)["end"].cast("int") + 1, F.length(text)))).otherwise(text)
     df = bind(df, text=new)
-    out = {"n_chars": F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    out = {"n_chars": F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
     return df.withColumns(out).select(docs.columns)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -88,3 +89,36 @@ def test_redact(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert pii.report(df).count() == 0 and pii.redact(df).count() == 0
+
+
+def plain_redact(text, spans):
+    out, last = [], 0
+    merged = []
+    for start, end, kind in sorted((s, e, k) for k, s, e in spans):
+        if merged and start < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end, kind])
+    for start, end, kind in merged:
+        out += [text[last:start], f"[{kind.upper()}]"]
+        last = end
+    return "".join([*out, text[last:]])
+
+
+def test_many_spans(spark):
+    unit = "é a.b@c.de, 10.0.0.1 +49 30 1234 5678 4111 1111 1111 1111x@y.org; "
+    texts = [unit * n for n in (1, 10, 22, 300)] + ["", "none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)] for r in pii.report(docs).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == [plain_redact(t, found[k]) for k, t in enumerate(texts)]
+
+
+def test_redaction_time_grows_with_the_text(spark):
+    took = []
+    for n in (4_000, 8_000):
+        docs = spark.createDataFrame([(1, "mail a.b@c.de and 10.0.0.1 " * n)], "doc_id long, text string")
+        start = time.time()
+        assert docs and pii.redact(docs).selectExpr("length(text) as n").first()["n"] < 27 * n
+        took.append(time.time() - start)
+    assert took[1] < 3 * took[0] + 1
