@@ -276,6 +276,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component (the one with the smallest id)."""
-    gone = checkpointed(near_duplicates(docs).where("not kept").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """docs with one row of each component: that with the smallest id, null ids last; of equal
+    ids any one. Rows without words all stay. Rows get a key of their own, written once, so
+    repeated and missing ids make no difference."""
+    key = next(k for k in ("__row", "__row_key", "__row_key_of_own") if k not in docs.columns)
+    rows = checkpointed(docs.withColumn(key, F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id")
+    found = checkpointed(found.join(rows.select(key, "doc_id"), key))
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", key))[key].alias("best"))
+    gone = found.join(best, "component_id").where(F.col(key) != F.col("best")).select(key)
+    return rows.join(checkpointed(gone), key, "left_anti").select(docs.columns)

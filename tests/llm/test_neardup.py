@@ -92,6 +92,16 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted(tuple(r) for r in kept.collect()) == [(1, "a b", "x"), (3, None, "z")]
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = "one text that all of these rows have"
+    rows = [(1, text, "a"), (1, text, "a"), (None, text, "b"), (None, text, "c"), (2, text, "d"), (None, "lone words", "e"), (None, "LONE words", "e"), (7, "", "f"), (7, "", "f"), (None, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row string").repartition(3)
+    kept = sorted((tuple(r) for r in N.deduplicate(docs).collect()), key=str)
+    assert [r for r in kept if r[1] == text] == [(1, text, "a")]
+    assert sum((r[1] or "").lower() == "lone words" for r in kept) == 1
+    assert kept.count((7, "", "f")) == 2 and (None, None, "g") in kept and len(kept) == 5
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
