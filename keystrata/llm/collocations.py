@@ -47,6 +47,7 @@ from keystrata.session import checkpointed
 LEAST = 100
 LONGEST = 5
 TOP = 2000
+PART = 2 << 20  #: bytes of text whose words are laid out at once
 BITS = 27  #: two to this power bits at most in a bitmap of frequent keys
 _U = np.uint64
 _BREAK = np.array([chr(b) in ".,;:!?\n\x0b\x0c\r" for b in range(256)])
@@ -90,6 +91,17 @@ def places(texts: pa.Array, langs: pa.Array) -> Places:
     return Places(*(np.concatenate(x) for x in zip(*parts)))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about ``PART`` bytes of text, so that memory hangs on neither
+    the number of rows nor, but for a single row's own, on the length of texts."""
+    _, at = buffers(batch.column(0))
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + PART, side="right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _neighbours(row: np.ndarray, position: np.ndarray) -> np.ndarray:
     """Where the next row of a sorted relation is the next position of the same document."""
     return np.flatnonzero((row[1:] == row[:-1]) & (position[1:] == position[:-1] + 1))
@@ -124,7 +136,7 @@ def _counted(keys: np.ndarray) -> pa.RecordBatch:
 
 def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield _counted(places(batch.column(0), batch.column(1)).key)
+        yield _counted(np.concatenate([np.zeros(0, _U), *(places(part.column(0), part.column(1)).key for part in _parts(batch))]))
 
 
 def _lists(row: np.ndarray, rows: int, position: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
@@ -143,10 +155,10 @@ def _relation(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _first_relation(frequent):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = places(batch.column(0), batch.column(1))
+        for part in (part for batch in batches for part in _parts(batch)):
+            p = places(part.column(0), part.column(1))
             good = frequent.value.holds(p.key)
-            yield _lists(p.row[good], batch.num_rows, p.position[good], p.key[good])
+            yield _lists(p.row[good], part.num_rows, p.position[good], p.key[good])
 
     return run
 
@@ -173,8 +185,8 @@ def _named(frequent):
     """Frequent groups by their text with their counts; of size 0: all words of a language."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, langs = batch.column(0), batch.column(1)
+        for part in (part for batch in batches for part in _parts(batch)):
+            texts, langs = part.column(0), part.column(1)
             p, (data, _) = places(texts, langs), buffers(texts)
             out = {"lang": [], "size": [], "phrase": [], "n": []}
             for lang, words in _by_lang(langs, p.row):
