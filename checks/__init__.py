@@ -1 +1,5 @@
 """Queries over the test tables, each with the SQL that must give the same rows."""
+
+from checks import assets, findings, inventory, ranges, sources
+
+MODULES = (sources, ranges, findings, assets, inventory)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _WRITTEN: dict[str, list[str]] = {}
-_OWN: dict[str, str] = {}
 
 
 def get_session(master: str | None = None, **conf: str) -> SparkSession:
@@ -29,23 +28,26 @@ def get_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder ``spark.checkpoint.dir``. A local session without that
+    setting, as in tests, gets a temporary folder, which the setting then names."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="keystrata-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the cluster's shared checkpoint folder and go on from
     there, so that later stages neither recompute it nor depend on live executors. A table
     rather than an RDD checkpoint lets each later stage read only the columns it needs and
     gives the planner sizes to go by.
-
-    The folder is read from ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a temporary folder of its own.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = _OWN.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="keystrata-checkpoint-")
-        _OWN[spark.sparkContext.applicationId] = folder
-    path = f"{folder.rstrip('/')}/keystrata-{uuid.uuid4()}"
+    path = f"{checkpoint_folder(spark)}/keystrata-{uuid.uuid4()}"
     df.write.parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)

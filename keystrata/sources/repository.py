@@ -36,8 +36,10 @@ _IMPORTS, _CALLS, _CIPHERS, _PATTERNS = 1, 2, 3, 4
 
 
 def analyzable(files: DataFrame) -> DataFrame:
-    """path, analyzer and text of the files an analyzer exists for; blank files are left out."""
-    return files.select("path", lookup(F.col("language"), ANALYZERS).alias("analyzer"), "text").where(
+    """path, analyzer and text (and known, if there) of the files an analyzer exists for; blank
+    files are left out."""
+    more = [c for c in ("known",) if c in files.columns]
+    return files.select("path", lookup(F.col("language"), ANALYZERS).alias("analyzer"), "text", *more).where(
         F.col("analyzer").isNotNull() & F.col("text").rlike(r"\S")
     )
 
@@ -129,8 +131,9 @@ _IMPORT_KINDS = ("python_import", "require", "import", "bare", "java_import", "i
 def source_hits(src: DataFrame, kinds: tuple[str, ...] = tuple(_KINDS)) -> DataFrame:
     """All matches of the kinds, from one pass over (path, analyzer, text), with the flags
     hash_comment and slash_comment of their lines, and known: whether a JavaScript text
-    names a crypto module."""
-    df = src.select("path", "analyzer", F.col("text").rlike("crypto|jsonwebtoken").alias("known"), "text")
+    names a crypto module (or what the column of that name says, where there is one)."""
+    known = F.col("known") if "known" in src.columns else F.col("text").rlike("crypto|jsonwebtoken").alias("known")
+    df = src.select("path", "analyzer", known, "text")
     only = {k: F.col("analyzer") == _KINDS[k][0] for k in kinds}
     return text_hits(df, {k: _KINDS[k][1] for k in kinds}, only, {"hash_comment": r"^\s*#", "slash_comment": r"^\s*(//|\*|/\*)"})
 
@@ -297,11 +300,14 @@ def import_corroboration(calls: DataFrame, imports: DataFrame) -> DataFrame:
     return joined.withColumn("has_import", F.coalesce("_seen", F.lit(False))).drop("_lib", "_seen")
 
 
-def scan_api_calls(files: DataFrame, qualified_only: bool = False, hits: DataFrame | None = None) -> DataFrame:
-    """Findings from calls of registered functions in Python, JavaScript and C/C++."""
+def scan_api_calls(
+    files: DataFrame, qualified_only: bool = False, hits: DataFrame | None = None, imports: DataFrame | None = None,
+) -> DataFrame:
+    """Findings from calls of registered functions in Python, JavaScript and C/C++. ``imports``
+    (path, module): modules that count as imported, if not those of the hits."""
     src = analyzable(files)
     hits = source_hits(src, (*_IMPORT_KINDS, "js_call", "cpp_call")) if hits is None else hits
-    calls = import_corroboration(python_calls(src, qualified_only), _imported_libraries(files, hits))
+    calls = import_corroboration(python_calls(src, qualified_only), _imported_libraries(files, hits) if imports is None else imports)
     has_args = F.coalesce(F.col("key_size").cast("string"), "mode_value", "curve_value", "algorithm_value").isNotNull()
     calls = bind(calls, _score=detection_confidence("ast_api_call", F.col("api_confidence"), F.col("has_import"), has_args, True))
     params = F.map_filter(
@@ -453,7 +459,7 @@ def pattern_hits(files: DataFrame) -> DataFrame:
 def scan_patterns(files: DataFrame) -> DataFrame:
     """Findings from all text patterns. A match on a comment line takes the comment score
     and is dropped below the language's floor."""
-    hits = pattern_hits(analyzable(files))
+    hits = pattern_hits(analyzable(files).drop("known"))
     comment = F.when(F.col("analyzer") == "python", F.col("hash_comment")).otherwise(F.col("slash_comment"))
     hits = bind(hits, _comment=comment)
     hits = bind(hits, _score=F.when(F.col("_comment"), F.col("comment_confidence")).otherwise(F.col("base_confidence")))

@@ -5,12 +5,12 @@ import os
 import pytest
 
 from __spark_entry__ import entry
-from checks import assets, findings, inventory, sources
+from checks import MODULES
 from checks.compare import DATA, compare, connect
 
 SF = f"{DATA}/sf0.001"
-QUERIES = {k: v for m in (sources, findings, assets, inventory) for k, v in m.QUERIES.items()}
-SQL = {k: v for m in (sources, findings, assets, inventory) for k, v in m.SQL.items()}
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
 
 
