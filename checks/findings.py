@@ -360,6 +360,23 @@ def _(spark, sf):
     return found.profiled.join(found.clusters, ["path_key", "profile_id"]).select("finding_id", "leader_id")
 
 
+def boundless(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings, some of them without a line and some from binaries, in every path."""
+    found = normalized(spark, sf)
+    line = F.when(F.col("emit_seq") % 11 != 0, F.col("location.start_line"))
+    return found.withColumns({"location": F.col("location").withField("start_line", line), "binary_format": F.when(F.col("emit_seq") % 13 == 0, "ELF")})
+
+
+_FREE = FIT.replace("'line': start_line}", "'line': CASE WHEN emit_seq % 11 <> 0 AND emit_seq % 13 <> 0 THEN start_line END}").replace(
+    "abs(e.line - t.i.line) <= 2", "(e.line IS NULL OR t.i.line IS NULL OR abs(e.line - t.i.line) <= 2)")
+
+
+@check("first_fit_boundless", f"WITH RECURSIVE {NORM}, {_FREE} SELECT finding_id, leader_id FROM placed")
+def _(spark, sf):
+    found = cluster.assign_clusters(boundless(spark, sf))
+    return found.profiled.join(found.clusters, ["path_key", "profile_id"]).select("finding_id", "leader_id")
+
+
 _NS = ids.ASSET_NAMESPACE.hex
 ASSETS = f"""
 clustered AS (SELECT file_path, leader_id, count(*) AS finding_count,

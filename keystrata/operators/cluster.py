@@ -9,11 +9,13 @@ definition, so the work is cut into pieces that cannot influence each other:
    occurrences) stands for all of them, however many there are. This is an ordinary
    aggregation with map-side combine: a path or a value that holds a large part of all
    rows shrinks before anything is shuffled.
-2. Profiles are split by path, by algorithm family and by line island. Families may only
-   be split where the path has no finding without a family, and lines only where it has
-   no finding free of line proximity (binary, container or file-level).
+2. Profiles are split by path, by algorithm family and by line island. In paths with
+   findings that have no family or are free of line proximity (binary, container or
+   file-level) the split is by components of the conflict graph over the path's distinct
+   kinds, and only the components that hold such a finding stay whole.
 3. The pieces stream through Python in sorted order, many to a task; only the clusters
-   of the piece at hand are held. A piece is one file's profiles at most, so its size is
+   of the piece at hand are held, indexed by what they accept, so a piece takes time in
+   proportion to its profiles. A piece is one file's profiles at most, so its size is
    bounded by the lines of a file and not by the number of findings.
 """
 
@@ -21,8 +23,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -191,57 +196,136 @@ def line_islands(df: DataFrame, keys: list[str], line: str = "line", gap: int =
     return df.withColumn("island", F.coalesce(run, F.col("_entry"))).drop("_bucket", "_break", "_entry")
 
 
+_KIND = ["family", "key", "mode", "curve"]
+_COMPONENTS = "path_key string, family string, key int, mode string, curve string, component string, boundless boolean"
+
+
+def _components(_: tuple, kinds: pd.DataFrame) -> pd.DataFrame:
+    """Connected components of one path's kinds, two of which are linked unless a field that
+    both have differs. A finding never joins a cluster of another component."""
+    n = len(kinds)
+    codes = np.stack([pd.factorize(kinds[c].where(kinds[c] != "", None), use_na_sentinel=True)[0] for c in _KIND])
+    label, todo = np.full(n, -1), list(range(n - 1, -1, -1))
+    while todo:
+        i = todo.pop()
+        if label[i] < 0:
+            label[i] = i
+        own = codes[:, i : i + 1]
+        near = np.flatnonzero(((codes == own) | (codes < 0) | (own < 0)).all(axis=0) & (label < 0))
+        label[near] = label[i]
+        todo.extend(near.tolist())
+    kinds["component"] = [f"#{x}" for x in label]
+    kinds["boundless"] = kinds.groupby("component")["boundless"].transform("max")
+    return kinds
+
+
 def pieces(profiles: DataFrame) -> DataFrame:
-    """Adds the piece a profile is clustered in: (path_key, piece_family, island)."""
-    family = F.upper(F.coalesce("algorithm_family", F.lit("")))
-    boundless, familyless = F.col("wide") | F.col("line").isNull(), family == ""
+    """Adds the piece a profile is clustered in: (path_key, piece_family, island).
+
+    In most paths that is the family and the line island. A finding without a family links
+    families, one without a line (or free of it) links lines; in paths that hold such
+    findings the pieces are the components of the distinct kinds (family, key, mode, curve)
+    that conflict in no field, and only components with a boundless finding are one island."""
+    shape = shape_columns()
+    boundless, familyless = F.col("wide") | F.col("line").isNull(), shape["family"] == ""
+    key = {c: F.coalesce(shape[c].cast("string"), F.lit("")) for c in _KIND}
+    kinds = profiles.groupBy("path_key", *(shape[c].alias(c) for c in _KIND)).agg(F.max(boundless).alias("boundless"), F.max(familyless).alias("_familyless"))
     # Only the paths that hold such a finding are joined in.
-    special = profiles.where(boundless | familyless).groupBy("path_key").agg(
-        F.max(boundless).alias("_boundless"), F.max(familyless).alias("_familyless")
-    )
-    df = profiles.join(special, "path_key", "left")
-    is_set = lambda c: F.coalesce(F.col(c), F.lit(False))
-    df = df.withColumn("piece_family", F.when(is_set("_familyless"), F.lit("")).otherwise(family))
-    # Where proximity is waived somewhere in the path, all its lines count as one run.
-    df = df.withColumn("_run_line", F.when(~is_set("_boundless"), F.col("line")).otherwise(F.lit(0)))
-    return line_islands(df, ["path_key", "piece_family"], "_run_line").drop("_boundless", "_familyless", "_run_line")
+    special = kinds.where("boundless or _familyless").select("path_key").distinct()
+    kinds = kinds.drop("_familyless").join(special, "path_key", "left_semi").groupBy("path_key").applyInPandas(_components, _COMPONENTS)
+    kinds = kinds.select("path_key", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in _KIND), "component", "boundless")
+    df = profiles.withColumns({f"_{c}": key[c] for c in _KIND}).join(kinds, ["path_key", *(f"_{c}" for c in _KIND)], "left")
+    df = df.withColumn("piece_family", F.coalesce("component", "_family"))
+    # Where proximity is waived somewhere in a component, all its lines count as one run.
+    df = df.withColumn("_run_line", F.when(~F.coalesce("boundless", F.lit(False)), F.col("line")).otherwise(F.lit(0)))
+    return line_islands(df, ["path_key", "piece_family"], "_run_line").drop("component", "boundless", "_run_line", *(f"_{c}" for c in _KIND))
 
 
 # --- first fit --------------------------------------------------------------
 
 class FirstFit:
-    """Clusters of one piece, fed in emission order."""
+    """Clusters of one piece, fed in emission order.
+
+    A member's kind is its shape without the number of its line. What a cluster accepts
+    depends on the set of its members' kinds (its signature) and, for a newcomer with a
+    line, on the span of its members' lines. Clusters are kept by signature, so a newcomer
+    is held against signatures, and against single clusters only near its line."""
 
     def __init__(self) -> None:
         self.leaders: list[tuple] = []  # order key of the profile that opened the cluster
-        self.members: list[list[tuple]] = []  # distinct member shapes
-        self.by_line: dict[int, set[int]] = {}
-        self.boundless: list[int] = []  # clusters reachable from any line
-
-    def _candidates(self, shape: tuple):
-        line = shape[6]
-        if shape[5] or line is None:
-            return range(len(self.leaders))
-        near = set(self.boundless)
-        for n in range(line - LINE_GAP, line + LINE_GAP + 1):
-            near |= self.by_line.get(n, set())
-        return sorted(near)
+        self.signature: list[int] = []
+        self.span: list[tuple[int, int] | None] = []
+        self.by_line: dict[int, list[int]] = {}
+        self.sets: list[frozenset] = []
+        self.numbers: dict[frozenset, int] = {}
+        self.clusters: list[list[int]] = []  # of each signature, a heap; clusters that moved on stay until met
+        self.free: list[bool] = []  # whether no member of the signature is bound to lines
+        self.accepting: dict[tuple, list] = {}  # kind: signatures looked at, those that accept, those of them that are free
+        self.pairs: dict[tuple, bool] = {}
+
+    def _fits(self, signature: int, kind: tuple) -> bool:
+        pairs = self.pairs
+        for member in self.sets[signature]:
+            fit = pairs.get((member, kind))
+            if fit is None:
+                fit = pairs[member, kind] = shapes_compatible(member, kind)
+            if not fit:
+                return False
+        return True
+
+    def _signatures(self, kind: tuple, free: bool) -> list[int]:
+        known = self.accepting.setdefault(kind, [0, [], []])
+        for s in range(known[0], len(self.sets)):
+            if self._fits(s, kind):
+                known[1].append(s)
+                if self.free[s]:
+                    known[2].append(s)
+        known[0] = len(self.sets)
+        return known[2 if free else 1]
+
+    def _first(self, signature: int) -> int | None:
+        heap = self.clusters[signature]
+        while heap and self.signature[heap[0]] != signature:
+            heappop(heap)
+        return heap[0] if heap else None
+
+    def _join(self, c: int, kind: tuple, line: int | None) -> None:
+        old = self.signature[c]
+        kinds = self.sets[old] | {kind} if old >= 0 else frozenset([kind])
+        if old < 0 or len(kinds) > len(self.sets[old]):
+            number = self.numbers.get(kinds)
+            if number is None:
+                number = self.numbers[kinds] = len(self.sets)
+                self.sets.append(kinds)
+                self.clusters.append([])
+                self.free.append(all(k[6] is None for k in kinds))
+            self.signature[c] = number
+            heappush(self.clusters[number], c)
+        if line is not None:
+            low, high = self.span[c] or (line, line)
+            near = self.by_line.setdefault(line, [])
+            if c not in near:
+                near.append(c)
+            self.span[c] = min(low, line), max(high, line)
 
     def place(self, order_key: tuple, shape: tuple) -> tuple:
-        for c in self._candidates(shape):
-            if all(shapes_compatible(m, shape) for m in self.members[c]):
-                break
+        line = None if shape[5] else shape[6]
+        kind = shape[:6] + (None if line is None else 0,) + shape[7:]
+        tops = [x for x in (self._first(s) for s in self._signatures(kind, line is not None)) if x is not None]
+        if line is not None:
+            for n in range(line - LINE_GAP, line + LINE_GAP + 1):
+                for c in self.by_line.get(n, ()):
+                    low, high = self.span[c]
+                    if high - line <= LINE_GAP and line - low <= LINE_GAP and self._fits(self.signature[c], kind):
+                        tops.append(c)
+        if tops:
+            c = min(tops)
         else:
             c = len(self.leaders)
             self.leaders.append(order_key)
-            self.members.append([])
-        if shape not in self.members[c]:
-            self.members[c].append(shape)
-            if shape[5] or shape[6] is None:
-                if c not in self.boundless:
-                    self.boundless.append(c)
-            else:
-                self.by_line.setdefault(shape[6], set()).add(c)
+            self.signature.append(-1)
+            self.span.append(None)
+        self._join(c, kind, line)
         return self.leaders[c]
 
 
@@ -250,23 +334,24 @@ _ORDER = ["seq", "id"]
 _ASSIGNED = "path_key string, profile_id string, leader_seq long, leader_id string"
 
 
-def _first_fit_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs first fit over rows sorted by piece and order; a piece may span batches."""
-    current, fit = None, FirstFit()
+def _first_fit_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs first fit over rows sorted by piece and order; a piece may span batches. A profile
+    alone in its piece leads itself."""
+    current, fit = None, None
     for batch in batches:
-        batch = batch.astype(object).where(batch.notna(), None)
-        out = []
-        for row in batch.itertuples(index=False):
-            piece = (row.path_key, row.piece_family, row.island)
-            if piece != current:
-                current, fit = piece, FirstFit()
-            shape = (
-                row.family, row.alg, None if row.key is None else int(row.key), row.mode, row.curve,
-                bool(row.wide), None if row.line is None else int(row.line), bool(row.is_library),
-            )
-            leader = fit.place((row.seq, row.id), shape)
-            out.append((row.path_key, row.profile_id, leader[0], leader[1]))
-        yield pd.DataFrame(out, columns=["path_key", "profile_id", "leader_seq", "leader_id"])
+        columns = [c.to_pylist() for c in batch.columns]
+        paths, profiles, seqs, ids_ = columns[0], *columns[3:6]
+        piece = list(zip(*columns[:3]))
+        shapes, last = zip(*columns[6:]) if batch.num_rows else (), batch.num_rows - 1
+        seq_out, id_out = list(seqs), list(ids_)
+        for k, shape in enumerate(shapes):
+            if piece[k] != current:
+                current, fit = piece[k], None
+                if k < last and piece[k + 1] != current:
+                    continue
+                fit = FirstFit()
+            seq_out[k], id_out[k] = fit.place((seqs[k], ids_[k]), shape)
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(profiles, pa.string()), pa.array(seq_out, pa.int64()), pa.array(id_out, pa.string())], names=["path_key", "profile_id", "leader_seq", "leader_id"])
 
 
 def shape_columns() -> dict[str, Column]:
@@ -284,16 +369,12 @@ def shape_columns() -> dict[str, Column]:
 
 def first_fit_clusters(profiles: DataFrame) -> DataFrame:
     """Cluster of every profile: (path_key, profile_id, leader_seq, leader_id), the leader
-    being the first finding of the cluster. A profile alone in its piece leads itself and
-    never leaves the JVM; only pieces of several profiles are decided in order."""
+    being the first finding of the cluster."""
     rows = pieces(profiles).select(
         *_PIECE, "profile_id", F.col("first_key.seq").alias("seq"), F.col("first_key.id").alias("id"),
         *[c.alias(n) for n, c in shape_columns().items()],
     )
-    dealt = rows.repartition(*_PIECE).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*_PIECE)))
-    alone = dealt.where("_n = 1").select("path_key", "profile_id", F.col("seq").alias("leader_seq"), F.col("id").alias("leader_id"))
-    ordered = dealt.where("_n > 1").drop("_n").sortWithinPartitions(*_PIECE, *_ORDER)
-    return ordered.mapInPandas(_first_fit_sorted, _ASSIGNED).unionByName(alone)
+    return rows.repartition(*_PIECE).sortWithinPartitions(*_PIECE, *_ORDER).mapInArrow(_first_fit_sorted, _ASSIGNED)
 
 
 def _level_libraries(profiles: DataFrame) -> DataFrame:

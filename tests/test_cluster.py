@@ -1,6 +1,7 @@
 """Clustering against a plain sequential first fit, on random findings."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,6 +98,42 @@ def test_matches_sequential_first_fit(spark):
         assert clustered(spark, rows) == first_fit(rows), kinds
 
 
+def test_first_fit_against_a_scan_of_all_clusters():
+    r = random.Random(11)
+    for _ in range(300):
+        fit, clusters = cluster.FirstFit(), []
+        for i in range(r.randint(1, 120)):
+            wide, line = r.random() < 0.15, r.choice([None, r.randint(1, 12), r.randint(1, 12)])
+            fam = r.choice(["AES", "AES", "SHA", ""])
+            shape = (fam, r.choice([fam or "N/A", fam + "-128", "UNKNOWN ALGORITHM", "OTHER"]), r.choice([None, 128, 256]), r.choice(["", "GCM", "CBC"]), r.choice(["", "c"]),
+                     wide, None if wide else line, r.random() < 0.3)
+            leader = next((c for c in clusters if all(cluster.shapes_compatible(m, shape) for m in c[1])), None)
+            if leader is None:
+                clusters.append(leader := (i, []))
+            leader[1].append(shape)
+            assert fit.place(i, shape) == leader[0]
+
+
+def test_hot_path_of_boundless_findings_takes_linear_time():
+    took = []
+    for n in (10_000, 20_000):
+        r, fit, start = random.Random(1), cluster.FirstFit(), time.process_time()
+        for i in range(n):
+            wide, line = i % 3 == 0, None if i % 3 < 2 else 3 * i
+            fit.place(i, ("AES", "AES", r.choice([None, 128, 192, 256]), r.choice(["", "GCM", "CBC", "CTR"]), "", wide, line, i % 7 == 0))
+        took.append(time.process_time() - start)
+    assert took[1] < 3 * took[0] + 0.1
+
+
+def test_components_of_a_hot_path(spark):
+    rows = random_findings(8, 400, "wide level")
+    for i, row in enumerate(rows):  # kinds that conflict: the path falls into several pieces
+        row.update(path_key="hot", key_length_bits=[128, 256, 512][i % 3], mode="GCM", curve="c1")
+    profiles = cluster.fold_profiles(cluster.with_profile(frame(spark, rows)))
+    assert cluster.pieces(profiles).select("piece_family").distinct().count() >= 12
+    assert clustered(spark, rows) == first_fit(rows)
+
+
 def test_partitioning_does_not_matter(spark):
     rows = random_findings(99, 200, "lines wide unknown")
     assert clustered(spark, rows, 1) == clustered(spark, rows, 7)
