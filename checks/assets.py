@@ -235,6 +235,18 @@ def _(spark, sf):
     return timeline.scenario_index(asset_facts(spark, sf), XS, ZS)
 
 
+_SCENARIOS = f"""(SELECT unnest({[float(x) for x in XS]}) AS x) xs, (SELECT unnest({[float(z) for z in ZS]}) AS z) zs"""
+
+
+@check("scenario_ranks", A.with_ctes(*_C, f"""
+timing AS (SELECT asset_id, algorithm, primitive_type, quantum_vulnerable, quantum_threat_type, xs.x, y_years AS y_given, zs.z, hndl_sensitive FROM classified, {_SCENARIOS})""",
+    A.TIMED_FROM_TIMING, select="""
+SELECT CAST(x AS DOUBLE) AS scenario_x, CAST(z AS DOUBLE) AS scenario_z, urgency, hndl_exposure, count(*) AS n FROM timed GROUP BY ALL"""))
+def _(spark, sf):
+    ranks = timeline.scenario_ranks(classified(spark, sf), timeline_inputs(asset_facts(spark, sf)))
+    return timeline.scenario_counts(ranks, XS, ZS)
+
+
 # --- recommendations --------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.dims import policy
@@ -223,6 +223,64 @@ def scenario_index(assets: DataFrame, xs: list[float], zs: list[float]) -> DataF
     )
 
 
+_CLASS = ["applicable", "quantum_vulnerable", "quantum_threat_type", "hndl_sensitive"]
+RANKS = 4096  #: migration times of a row of the rank table
+
+
+def scenario_ranks(assets: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
+    """The table from which ``scenario_counts`` answers any list of scenarios: for each class
+    of assets that X and Z treat alike, its migration times in order, ``RANKS`` in a row,
+    and how many assets have each and all up to it. Its size hangs on the number of distinct
+    migration times. Inputs (asset_id, migration_time_years, hndl_sensitive) are optional."""
+    df = assets.select("asset_id", "algorithm", "primitive_type", "quantum_vulnerable", "quantum_threat_type")
+    if inputs is not None:
+        df = df.join(inputs.select("asset_id", "migration_time_years", "hndl_sensitive"), "asset_id", "left")
+    else:
+        df = df.select("*", F.lit(None).cast("double").alias("migration_time_years"), F.lit(None).cast("boolean").alias("hndl_sensitive"))
+    y = F.coalesce("migration_time_years", migration_years(F.col("primitive_type")).cast("double")).alias("y")
+    counts = df.select(applicable().alias("applicable"), *_CLASS[1:], y).groupBy(*_CLASS, "y").agg(F.count("*").alias("n"))
+    # Times are dealt to rows by whole years, of which there are few, and then by rank.
+    year = F.floor("y").alias("year")
+    place = F.row_number().over(Window.partitionBy(*_CLASS, "year").orderBy("y"))
+    rows = counts.select("*", year).withColumn("part", F.floor((place - 1) / RANKS))
+    held = rows.groupBy(*_CLASS, "year", "part").agg(F.array_sort(F.collect_list(F.struct("y", "n"))).alias("held"))
+    upto = lambda held: F.aggregate(
+        held, F.array(F.lit(0).cast("long")), lambda a, h: F.concat(a, F.array(F.element_at(a, -1) + h["n"])))
+    return bind(held, ys=F.transform("held", lambda h: h["y"]), upto=upto(F.col("held"))).drop("held", "year", "part")
+
+
+def scenario_counts(ranks: DataFrame, xs: list[float], zs: list[float]) -> DataFrame:
+    """(scenario_x, scenario_z, urgency, hndl_exposure, n): assets by outcome under every given
+    X and Z. Urgency changes at three migration times of a class; how many assets lie below
+    each is read off the rank table, so no scenario ever meets an asset, and what is shuffled
+    are counts by outcome."""
+    grid = F.array(*[F.struct(F.lit(float(x)).alias("scenario_x"), F.lit(float(z)).alias("scenario_z")) for x in xs for z in zs])
+    df = ranks.select("*", F.inline(grid))
+    x, z, ys = F.col("scenario_x"), F.col("scenario_z"), F.col("ys")
+
+    def below(test) -> Column:
+        """How many of a row's times pass a test that holds up to some time only."""
+        first, last, n = F.get(ys, F.lit(0)), F.element_at(ys, -1), F.size(ys)
+        return F.when(test(last), n).when(~test(first), 0).otherwise(F.size(F.filter(ys, test)))
+
+    df = bind(
+        df, _calm=below(lambda y: ~(x + y > z)), _pressing=below(lambda y: F.greatest(F.lit(0.0), x + y - z) <= policy.IMMEDIATE_GAP_YEARS),
+        _far=below(lambda y: ~(z - y <= policy.PLANNED_BUFFER_YEARS)),
+        hndl_exposure=F.when(~F.col("applicable"), "NONE").otherwise(exposure(F.col("quantum_vulnerable"), F.col("quantum_threat_type"), F.col("hndl_sensitive"), x, z)))
+    end, calm, tier = F.size(ys), F.col("_calm"), F.col("hndl_exposure")
+    between = lambda a, b: F.get(F.col("upto"), F.greatest(a, b)) - F.get(F.col("upto"), a)
+    soon = F.when(tier == "CRITICAL", end).otherwise(F.greatest(F.col("_pressing"), calm))
+    near = F.when(tier.isin("HIGH", "CRITICAL"), 0).otherwise(F.least(F.col("_far"), calm))
+    on, vulnerable = F.col("applicable"), F.col("quantum_vulnerable")
+    outcome = lambda name, n: F.struct(F.lit(name).alias("urgency"), n.cast("long").alias("n"))
+    rest = F.when(~vulnerable, F.array(outcome("NOT_REQUIRED", between(F.lit(0), calm)))).when(vulnerable, F.array(
+        outcome("MONITOR", between(F.lit(0), near)), outcome("PLANNED", between(near, calm)))).otherwise(F.array(outcome("UNKNOWN", between(F.lit(0), calm))))
+    outcomes = F.when(~on, F.array(outcome("NOT_REQUIRED", between(F.lit(0), end)))).otherwise(
+        F.concat(F.array(outcome("IMMEDIATE", between(calm, soon)), outcome("URGENT", between(soon, end))), rest))
+    df = df.select("scenario_x", "scenario_z", "hndl_exposure", F.inline(outcomes)).where("n > 0")
+    return df.groupBy("scenario_x", "scenario_z", "urgency", "hndl_exposure").agg(F.sum("n").alias("n"))
+
+
 def timeline_report(timeline: DataFrame) -> DataFrame:
     """Counts and zero-filled distributions in one row."""
     return timeline.agg(

@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.dims import patterns, small
+from keystrata.dims import patterns
+from keystrata.dims import symbols as symbols_dim
 from keystrata.functions.binding import bind
-from keystrata.functions.text import pattern
+from keystrata.functions.text import lookup, pattern
 from keystrata.operators.lookups import match_symbol
-from keystrata.sources.repository import emission, finding, union_all
+from keystrata.session import checkpointed
+from keystrata.sources.repository import emission, finding
 
 _STRINGS, _SYMBOLS, _CORRELATOR = "BinaryScanner/StringAnalyzer", "BinaryScanner/SymbolInspector", "BinaryScanner/Correlator"
 
@@ -59,52 +61,53 @@ def first_pattern(df: DataFrame, text: str) -> DataFrame:
     return bind(df, symbol=symbol).drop("_maybe", *names, *[f"_s{n}" for n in range(0, len(rows), _PER_STEP)])
 
 
+_HIT = "index int, ordinal int, category string, score double, rationale string, symbol string, algorithm string, library string, text string"
+
+
+def _hits(*hits: Column) -> Column:
+    return F.concat(*hits).cast(f"array<struct<{_HIT.replace(' ', ':').replace(',:', ',')}>>")
+
+
+def _hit(index: Column | int, ordinal: Column | int, category: Column | str, score: Column | float, rationale: Column | str, symbol: Column,
+         algorithm: Column | None = None, library: Column | None = None, text: Column | None = None) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    none = F.lit(None).cast("string")
+    cells = dict(index=lit(index).cast("int"), ordinal=lit(ordinal).cast("int"), category=lit(category), score=lit(score).cast("double"), rationale=lit(rationale), symbol=symbol,
+                 algorithm=none if algorithm is None else algorithm, library=none if library is None else library, text=F.col("string") if text is None else text)
+    return F.struct(*(c.alias(n) for n, c in cells.items()))
+
+
 def scan_binary_strings(strings: DataFrame) -> DataFrame:
     """Findings per string (path, position, string, byte_offset, binary_format): library
-    version strings, cipher suites, a PEM header, or else the first general pattern."""
+    version strings, cipher suites, a PEM header, or else the first general pattern. All hits
+    of a string are one array, so the strings are read once."""
     s = F.col("string")
-    fmt = {"binary_format": F.col("binary_format")}
-    base = strings.withColumn("snippet", F.col("string"))
-    versions = F.filter(
-        F.array(*[
-            F.struct(
-                F.lit(i).alias("index"), F.lit(lib).alias("library"), F.lit(conf).alias("score"),
-                s.rlike(pattern(rx)).alias("hit"),
-            )
-            for i, (rx, lib, conf) in enumerate(patterns.LIBRARY_VERSION_STRINGS)
-        ]),
-        lambda v: v["hit"],
-    )
-    hint = pattern("ssl|tls|sodium|nss|nettle|bouncycastle")
-    libraries = base.where(s.rlike(hint)).select("*", F.inline(versions))
-    parts = [finding(
-        libraries, "STRING_ANALYSIS", "LIBRARY", _STRINGS, _seq(1, F.col("index")), F.col("score"),
-        F.format_string("version string of %s | score=%.2f", "library", "score"), F.col("string"),
-        library_hint=F.col("library"), **fmt,
-    )]
-    suites = base.where(F.contains(F.upper("string"), F.lit("TLS_"))).select(
-        "*", F.posexplode(F.regexp_extract_all("string", F.lit(pattern(patterns.BINARY_CIPHER_SUITE)), F.lit(0))).alias("ordinal", "symbol")
-    )
-    parts.append(finding(
-        suites, "STRING_ANALYSIS", "PROTOCOL", _STRINGS, _seq(1, 20, F.col("ordinal")), F.lit(0.72),
-        F.lit("cipher suite string | score=0.72"), F.col("symbol"), suspected_algorithm=F.lit("TLS"), **fmt,
-    ))
+    empty = F.array().cast(f"array<struct<{_HIT.replace(' ', ':').replace(',:', ',')}>>")
+    versions = F.filter(F.array(*[
+        F.struct(F.lit(i).alias("index"), F.lit(lib).alias("library"), F.lit(conf).alias("score"), s.rlike(pattern(rx)).alias("hit"))
+        for i, (rx, lib, conf) in enumerate(patterns.LIBRARY_VERSION_STRINGS)]), lambda v: v["hit"])
+    libraries = F.transform(versions, lambda v: _hit(
+        v["index"], 0, "LIBRARY", v["score"], F.format_string("version string of %s | score=%.2f", v["library"], v["score"]), s, library=v["library"]))
+    suites = F.transform(F.regexp_extract_all("string", F.lit(pattern(patterns.BINARY_CIPHER_SUITE)), F.lit(0)), lambda x, i: _hit(
+        20, i, "PROTOCOL", 0.72, "cipher suite string | score=0.72", x, algorithm=F.lit("TLS")))
     header = F.regexp_extract("string", pattern(patterns.BINARY_PEM_HEADER, False), 0)
-    pem = bind(base.where(F.contains(s, F.lit("-----BEGIN"))), symbol=header).where(F.col("symbol") != "")
-    parts.append(finding(
-        pem.withColumn("snippet", F.col("symbol")), "STRING_ANALYSIS", "KEY_MATERIAL", _STRINGS, _seq(1, 21),
-        F.lit(0.90), F.lit("PEM header in a binary | score=0.90"), F.col("symbol"), **fmt,
-    ))
-    plain = first_pattern(base.where(~s.rlike(pattern(patterns.BINARY_PEM_HEADER, False))), "string")
-    dim = small(strings.sparkSession, [{k: v for k, v in r.items() if k != "regex"} for r in patterns.pattern_rows()])
-    plain = plain.where(F.col("pattern_ordinal").isNotNull()).join(dim, "pattern_ordinal")
-    plain = bind(plain, _score=F.least(F.col("base_confidence") * STRING_FACTOR, F.lit(STRING_CAP)))
-    parts.append(finding(
-        plain, "STRING_ANALYSIS", F.col("category"), _STRINGS, _seq(1, 22), F.col("_score"),
-        F.format_string("pattern %s in a binary string | score=%.2f", "pattern", "_score"), F.col("symbol"),
-        suspected_algorithm=F.col("algorithm"), **fmt,
-    ))
-    return union_all(parts)
+    df = bind(
+        strings, _pem=F.when(F.contains(s, F.lit("-----BEGIN")), header).otherwise(""),
+        _libraries=F.when(s.rlike(pattern("ssl|tls|sodium|nss|nettle|bouncycastle")), _hits(libraries)).otherwise(empty),
+        _suites=F.when(F.contains(F.upper("string"), F.lit("TLS_")), _hits(suites)).otherwise(empty))
+    df = first_pattern(df, "string")
+    rows = {r["pattern_ordinal"]: r for r in patterns.pattern_rows()}
+    of = lambda field: lookup(F.col("pattern_ordinal"), {k: r[field] for k, r in rows.items() if r[field] is not None})
+    df = bind(df, _score=F.least(of("base_confidence") * STRING_FACTOR, F.lit(STRING_CAP)), _name=of("pattern"), _category=of("category"), _algorithm=of("algorithm"))
+    pem = _hit(21, 0, "KEY_MATERIAL", 0.90, "PEM header in a binary | score=0.90", F.col("_pem"), text=F.col("_pem"))
+    plain = _hit(22, 0, F.col("_category"), F.col("_score"), F.format_string("pattern %s in a binary string | score=%.2f", "_name", "_score"), F.col("symbol"), algorithm=F.col("_algorithm"))
+    df = bind(df, _all=F.concat(
+        "_libraries", "_suites", F.when(F.col("_pem") != "", _hits(F.array(pem))).otherwise(empty),
+        F.when((F.col("_pem") == "") & F.col("pattern_ordinal").isNotNull(), _hits(F.array(plain))).otherwise(empty)))
+    hits = df.select("path", "byte_offset", "binary_format", F.inline("_all")).withColumnRenamed("text", "snippet")
+    return finding(
+        hits, "STRING_ANALYSIS", F.col("category"), _STRINGS, _seq(1, F.col("index"), F.col("ordinal")), F.col("score"), F.col("rationale"), F.col("symbol"),
+        suspected_algorithm=F.col("algorithm"), library_hint=F.col("library"), binary_format=F.col("binary_format"))
 
 
 def scan_symbols(symbols: DataFrame) -> DataFrame:
@@ -128,25 +131,40 @@ def scan_symbols(symbols: DataFrame) -> DataFrame:
     )
 
 
+def _registered() -> list[str]:
+    """All algorithms that a symbol can stand for, in a fixed order."""
+    return sorted({r["algorithm"] for r in (*symbols_dim.symbol_rows(), *symbols_dim.prefix_rows()) if r["algorithm"]})
+
+
+def algorithm_bits(symbols: DataFrame) -> DataFrame:
+    """(_path, _bits): the registered algorithms that each binary's symbols stand for, as bit
+    sets over the registry, 63 algorithms a number. One aggregation with map-side combine."""
+    place = lookup(F.col("suspected_algorithm"), {a: i for i, a in enumerate(_registered())})
+    sets = range(-(-len(_registered()) // 63))
+    words = [F.bit_or(F.when(F.floor(place / 63) == k, F.pow(F.lit(2), place % 63).cast("long")).otherwise(0)).alias(f"_{k}") for k in sets]
+    return symbols.groupBy(F.col("location.file_path").alias("_path")).agg(*words).select("_path", F.array(*(f"_{k}" for k in sets)).alias("_bits"))
+
+
 def correlate(strings: DataFrame, symbols: DataFrame) -> DataFrame:
     """Symbol findings plus the string findings they do not make redundant.
 
     A string finding that repeats a symbol of its binary goes. Sure library and key
     findings stay. A string whose algorithm the symbols confirm gains confidence; an
-    unconfirmed one stays only above the floor.
+    unconfirmed one stays only above the floor. The symbols are written once; strings are
+    judged against one row of bit sets for each binary.
     """
-    path = F.col("location.file_path").alias("_path")
-    by_symbol = symbols.select(path, "raw_symbol").distinct()
-    by_algorithm = symbols.where(F.col("suspected_algorithm").isNotNull()).select(
-        path, "suspected_algorithm", F.lit(True).alias("_confirmed")
-    ).distinct()
-    rest = strings.withColumn("_path", F.col("location.file_path")).join(by_symbol, ["_path", "raw_symbol"], "left_anti")
-    rest = rest.join(by_algorithm, ["_path", "suspected_algorithm"], "left")
+    symbols = checkpointed(symbols)
+    path = F.col("location.file_path")
+    rest = strings.withColumn("_path", path).join(symbols.select(path.alias("_path"), "raw_symbol"), ["_path", "raw_symbol"], "left_anti")
+    rest = rest.join(algorithm_bits(symbols), "_path", "left")
+    place = lookup(F.col("suspected_algorithm"), {a: i for i, a in enumerate(_registered())})
+    word = F.get(F.col("_bits"), F.floor(place / 63).cast("int"))
+    held = F.coalesce(word.bitwiseAND(F.pow(F.lit(2), place % 63).cast("long")) != 0, F.lit(False))
     score = F.col("confidence_score")
     always = ((F.col("artifact_category") == "LIBRARY") & (score >= LIBRARY_FLOOR)) | F.col("artifact_category").isin(
         "KEY_MATERIAL", "CERTIFICATE"
     )
-    confirmed = ~always & F.coalesce("_confirmed", F.lit(False))
+    confirmed = ~always & held
     kept = rest.where(always | confirmed | (score >= KEEP_FLOOR))
     kept = kept.withColumn(
         "confidence_rationale",
@@ -180,6 +198,6 @@ def library_summary(symbols: DataFrame, correlated: DataFrame) -> DataFrame:
 
 def scan_binaries(strings: DataFrame, symbols: DataFrame) -> DataFrame:
     """All findings of binaries from their strings and symbols."""
-    by_symbol = scan_symbols(symbols)
-    correlated = correlate(scan_binary_strings(strings), by_symbol)
+    by_symbol = checkpointed(scan_symbols(symbols))
+    correlated = checkpointed(correlate(scan_binary_strings(strings), by_symbol))
     return correlated.unionByName(library_summary(by_symbol, correlated))
