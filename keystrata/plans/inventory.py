@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.operators import components, listing, merge, recommend, reports, risk, timeline
 from keystrata.operators.classify import classify
 from keystrata.operators.normalize import normalize
 from keystrata.session import checkpointed
+from keystrata.sources import mixed
 from keystrata.sources.files import read_problems
 
 
@@ -88,16 +89,20 @@ def analyse(
 
 
 def run(
-    files: DataFrame, kind: str = "repository", x: float | None = None, y: float | None = None, z: float | None = None,
+    files: DataFrame, kind: str | None = None, x: float | None = None, y: float | None = None, z: float | None = None,
+    roots: tuple[str, ...] = ("",), symbols: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Scan files of one kind (repository or container; binaries go through
-    ``scan_binaries`` and ``analyse``) and analyse the findings. Where the files come with
-    their content, ``errors`` lists those that could not be read as text, and ``status`` is
-    PARTIAL if there are any."""
+    """Scan files and analyse the findings. Files that come with their content are routed row
+    by row to the scanners for source, binaries and container filesystems (see
+    ``sources.mixed``); ``kind`` (repository or container) has all of them read as that, as
+    have files that come as text only. Where there is content, ``errors`` lists the files that
+    could not be read as text, and ``status`` is PARTIAL if there are any."""
     from keystrata.sources.container import scan_container
     from keystrata.sources.repository import scan_repository
 
-    findings = checkpointed({"repository": scan_repository, "container": scan_container}[kind](files))
+    if kind is None and "content" in files.columns:
+        return _of_scan(mixed.scan_files_mixed(files, roots, symbols), x, y, z)
+    findings = checkpointed({"repository": scan_repository, "container": scan_container}[kind or "repository"](files))
     out = analyse(findings, x, y, z)
     if "content" in files.columns:
         errors = read_problems(files)
@@ -105,6 +110,19 @@ def run(
     return out
 
 
+def run_tree(
+    spark: SparkSession, root: str, x: float | None = None, y: float | None = None, z: float | None = None,
+    roots: tuple[str, ...] = ("",), symbols: DataFrame | None = None, exclude: list[str] | None = None, large: int = mixed.LARGE,
+) -> dict[str, DataFrame]:
+    """As ``run`` for everything below a folder, files of any size."""
+    return _of_scan(mixed.scan_tree(spark, root, roots, symbols, exclude, large), x, y, z)
+
+
+def _of_scan(scan: mixed.Scan, x: float | None, y: float | None, z: float | None) -> dict[str, DataFrame]:
+    out = analyse(checkpointed(scan.findings), x, y, z)
+    return out | {"errors": scan.errors, "status": scan_status(scan.errors), "counters": scan.counters}
+
+
 def scan_status(errors: DataFrame, failed: bool = False) -> DataFrame:
     """COMPLETED, PARTIAL (some file could not be read) or FAILED."""
     return errors.agg(F.count(F.lit(1)).alias("error_count")).select(

@@ -144,22 +144,28 @@ def with_binary_format(files: DataFrame) -> DataFrame:
     ).drop("_head")
 
 
-def printable_strings(files: DataFrame, min_length: int = 6) -> DataFrame:
-    """Runs of printable ASCII of at least ``min_length`` bytes: path, position, string,
-    byte_offset (other columns but content stay).
+def with_strings(files: DataFrame, where: Column, min_length: int = 6) -> DataFrame:
+    """Adds strings: the runs of printable ASCII of at least ``min_length`` bytes, as structs
+    (position, string, byte_offset), of the files for which ``where`` holds, none for others.
 
     One byte is one character in ISO-8859-1. Offsets are running sums of piece lengths.
     """
     run = f"[\\x20-\\x7e]{{{min_length},}}"
-    keep = [c for c in files.columns if c != "content"]
-    df = bind(files, _bytes=F.decode("content", "ISO-8859-1"))
+    df = bind(files, _bytes=F.when(where, F.decode("content", "ISO-8859-1")).otherwise(""))
     df = bind(
         df,
-        _strings=F.regexp_extract_all("_bytes", F.lit(run), F.lit(0)),
+        _strings=F.coalesce(F.regexp_extract_all("_bytes", F.lit(run), F.lit(0)), F.array().cast("array<string>")),
         _gaps=F.transform(F.split("_bytes", run, -1), F.length),
-    )
+    ).drop("_bytes")
     df = bind(df, _steps=F.transform("_strings", lambda s, i: F.get(F.col("_gaps"), i) + F.length(s)))
     df = prefix_sums(df, _before="_steps")
-    return df.select(*keep, F.inline(F.transform("_strings", lambda s, i: F.struct(
-        i.alias("position"), s.alias("string"), (F.get(F.col("_before"), i) + F.get(F.col("_gaps"), i)).alias("byte_offset"),
-    ))))
+    found = F.transform("_strings", lambda s, i: F.struct(
+        i.alias("position"), s.alias("string"), (F.get(F.col("_before"), i) + F.get(F.col("_gaps"), i)).alias("byte_offset")))
+    return df.withColumn("strings", found).drop("_strings", "_gaps", "_steps", "_before")
+
+
+def printable_strings(files: DataFrame, min_length: int = 6) -> DataFrame:
+    """Runs of printable ASCII of at least ``min_length`` bytes: path, position, string,
+    byte_offset (other columns but content stay)."""
+    keep = [c for c in files.columns if c != "content"]
+    return with_strings(files, F.lit(True), min_length).select(*keep, F.inline("strings"))

@@ -26,7 +26,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keystrata.functions import ids
 from keystrata.session import checkpointed
 from keystrata.sources import repository
 from keystrata.sources.files import DEFAULT_EXCLUDES, _relative, excluded
@@ -49,9 +48,10 @@ def _ranges_of(spark: SparkSession, size: int | None):
         spark.conf.set(_RANGE, before)
 
 
-def _lines(spark: SparkSession, root: str, exclude: list[str] | None) -> DataFrame:
-    """path, range (where it begins) and bytes of every line, in file order within a range."""
-    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(root)
+def _lines(spark: SparkSession, root: str, exclude: list[str] | None, over: int = -1) -> DataFrame:
+    """path, range (where it begins) and bytes of every line, in file order within a range.
+    Files of up to ``over`` bytes are never opened."""
+    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(root).where(F.col("_metadata.file_size") > over)
     uri = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     path = _relative(uri, root)
     df = raw.select(path.alias("path"), F.col("_metadata.file_block_start").alias("range"), F.col("value").cast("binary").alias("value"))
@@ -97,11 +97,12 @@ def _before(totals: DataFrame, *columns: str) -> DataFrame:
     return totals.select("path", "range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in columns))
 
 
-def read_lines(spark: SparkSession, root: str, exclude: list[str] | None = None, range_bytes: int | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, root: str, exclude: list[str] | None = None, range_bytes: int | None = None, over: int = -1) -> DataFrame:
     """(path, line, byte_offset, value): every line of every file, its number from 1, where it
-    begins, and its bytes without the line end. Read once and written to the shared folder."""
+    begins, and its bytes without the line end. Read once and written to the shared folder.
+    Files of up to ``over`` bytes are left out."""
     with _ranges_of(spark, range_bytes):
-        found = checkpointed(_lines(spark, root, exclude).mapInArrow(_numbered, "path string, range long, value binary, at long, n long"))
+        found = checkpointed(_lines(spark, root, exclude, over).mapInArrow(_numbered, "path string, range long, value binary, at long, n long"))
     totals = found.groupBy("path", "range").agg(F.max(F.col("at") + F.octet_length("value") + 1).alias("bytes"), F.count("*").alias("lines"))
     return found.join(_before(totals, "bytes", "lines"), ["path", "range"]).select(
         "path", (F.col("n") + F.col("lines_before") + 1).alias("line"), (F.col("at") + F.col("bytes_before")).alias("byte_offset"), "value")
@@ -167,12 +168,15 @@ def _strings(least: int):
     return run
 
 
-def scan_ranges(spark: SparkSession, root: str, min_length: int = 6, exclude: list[str] | None = None, range_bytes: int | None = None) -> DataFrame:
-    """What one read of all files finds, written to the shared folder: a row for each printable
-    string of each range, and one (without string) that sums the range up."""
+def scan_ranges(
+    spark: SparkSession, root: str, min_length: int = 6, exclude: list[str] | None = None, range_bytes: int | None = None, over: int = -1,
+) -> DataFrame:
+    """What one read of all files (of over ``over`` bytes) finds, written to the shared folder:
+    a row for each printable string of each range, and one (without string) that sums the
+    range up."""
     schema = "path string, range long, at long, n long, line long, string string, bytes long, head binary"
     with _ranges_of(spark, range_bytes):
-        return checkpointed(_lines(spark, root, exclude).mapInArrow(_strings(min_length), schema))
+        return checkpointed(_lines(spark, root, exclude, over).mapInArrow(_strings(min_length), schema))
 
 
 def range_files(found: DataFrame) -> DataFrame:
@@ -237,5 +241,4 @@ def _moved(found: DataFrame, places: DataFrame) -> DataFrame:
     rows = found.withColumn("_path", F.col("location.file_path")).join(places.withColumnRenamed("path", "_path"), "_path").where(place < F.col("own_place"))
     location = F.col("location").withField("file_path", F.col("file")).withField("start_line", (F.col("location.start_line") + F.col("base_line")).cast("int"))
     rows = rows.withColumns({"location": location, "emit_seq": F.col("emit_seq") + F.col("base_place")})
-    name = F.concat_ws("|", "location.file_path", "scanner_name", "discovery_method", "raw_symbol", F.col("emit_seq").cast("string"))
-    return rows.withColumn("finding_id", ids.uuid_v5(ids.FINDING_NAMESPACE, name)).select(*names)
+    return repository.identified(rows).select(*names)

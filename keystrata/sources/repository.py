@@ -71,8 +71,13 @@ def finding(
         score.alias("confidence_score"), rationale.alias("confidence_rationale"),
         *[v.alias(k) for k, v in more.items()],
     )
+    return conform(identified(out), FINDINGS)
+
+
+def identified(findings: DataFrame) -> DataFrame:
+    """Adds (or renews) the ids, which hang on path, scanner, method, symbol and place."""
     name = F.concat_ws("|", "location.file_path", "scanner_name", "discovery_method", "raw_symbol", F.col("emit_seq").cast("string"))
-    return conform(out.withColumn("finding_id", ids.uuid_v5(ids.FINDING_NAMESPACE, name)), FINDINGS)
+    return findings.withColumn("finding_id", ids.uuid_v5(ids.FINDING_NAMESPACE, name))
 
 
 def _scanner_of() -> Column:
