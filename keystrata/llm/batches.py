@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-BYTES = 16 << 20
+BYTES = 4 << 20
 
 
 def bounded(spark: SparkSession) -> None:

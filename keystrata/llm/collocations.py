@@ -47,6 +47,7 @@ from keystrata.session import checkpointed
 LEAST = 100
 LONGEST = 5
 TOP = 2000
+TOGETHER = 3_000_000  #: occurrences that a task counts before it hands counts on
 PART = 2 << 20  #: bytes of text whose words are laid out at once
 BITS = 27  #: two to this power bits at most in a bitmap of frequent keys
 _U = np.uint64
@@ -129,14 +130,26 @@ class Frequent:
         return (self.words[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63))) & _U(1) == 1
 
 
-def _counted(keys: np.ndarray) -> pa.RecordBatch:
-    key, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+def _counted(found: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Keys with their counts, ``TOGETHER`` occurrences at a time."""
+    held, size = [], 0
+
+    def counts():
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    for keys in found:
+        held.append(keys)
+        size += len(keys)
+        if size >= TOGETHER:
+            yield counts()
+            held, size = [], 0
+    if held:
+        yield counts()
 
 
 def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield _counted(np.concatenate([np.zeros(0, _U), *(places(part.column(0), part.column(1)).key for part in _parts(batch))]))
+    yield from _counted(places(part.column(0), part.column(1)).key for batch in batches for part in _parts(batch))
 
 
 def _lists(row: np.ndarray, rows: int, position: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
@@ -164,9 +177,12 @@ def _first_relation(frequent):
 
 
 def _extended_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row, position, key = _relation(batch)
-        yield _counted(extended(key, _neighbours(row, position)))
+    def keys():
+        for batch in batches:
+            row, position, key = _relation(batch)
+            yield extended(key, _neighbours(row, position))
+
+    yield from _counted(keys())
 
 
 def _next_relation(frequent):
