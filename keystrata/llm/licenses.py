@@ -7,12 +7,18 @@ window that holds the required share of a template agrees with it in one of ``BA
 with probability of at least ``band_guarantee()``. Retrieved pairs are verified by exact
 containment of the template's five-word shingles (all its words where it has fewer).
 
+Templates (see ``license_texts``) of different licenses that share half of their shingles
+compete: of such a template at least half of the shingles that only it has must be there as
+well (the version, "Lesser", a third clause), and where it has none, none of those that only
+its rivals have. SPDX lines are read as they are.
+
 A text is only cut up if it holds an anchor word. Anchors are chosen from the templates such
 that fewer than a quarter of any template's shingles lack one; a window with three quarters
 of a template's shingles thus always holds one, so nothing is lost.
 
-Null and empty texts have no license. Repeated rows of an id share what is found in any of
-them. Other columns are not read.
+What is found depends on the text alone, so rows are told apart by a digest of their text:
+null and repeated ids change nothing, and equal texts have equal results. Null and empty
+texts have no license. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,38 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.functions.binding import bind
+from keystrata.llm.license_texts import TEMPLATES
 
-# Wordings by which texts state their license.
-TEMPLATES = {
-    "All-rights-reserved": "All rights reserved.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
-with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
-agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY
-KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "BSD-notice": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
-conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
-disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
-in the documentation and/or other materials provided with the distribution.""",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
-as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
-    "ISC-notice": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
-provided that the above copyright notice and this permission notice appear in all copies.""",
-    "MIT": "Released under the MIT License.",
-    "MIT-notice": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
-modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
-to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
-substantial portions of the Software.""",
-    "MPL-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
-distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*+"
 SHINGLE = 5
 SHARE = 0.75
@@ -72,24 +48,26 @@ def shingles_of(words: list[str]) -> list[str]:
 
 
 def window_class(words: list[str]) -> tuple[int, int]:
-    """(window, shingle) sizes: twice the words, rounded up to a few sizes for long templates."""
+    """(window, shingle) sizes: twice the words, rounded up to a few sizes for longer templates."""
     size = 2 * len(words)
-    if size > 32:
-        ladder = 32
+    if size > 16:
+        ladder = 16
         while ladder < size:
-            ladder = ladder * 5 // 4 + ladder * 5 // 4 % 2
+            ladder = ladder * 3 // 2 if ladder & ladder - 1 == 0 else ladder * 4 // 3
         size = ladder
     return size, min(SHINGLE, len(words))
 
 
-def anchors(templates: dict[str, str] = TEMPLATES) -> list[str]:
+Templates = list[tuple[str, str]]
+
+
+def anchors(templates: Templates = TEMPLATES) -> list[str]:
     """Words such that under a quarter of each template's shingles have none of them. Long
     words come first, as they are the rarest in other texts."""
-    words = {k: words_of(v) for k, v in templates.items()}
     common = set("a all and any are as at be by for from have in is it may not of on one or other such that the this to under with you your".split())
     chosen: set[str] = set()
-    for ws in words.values():
-        rest = [s.split() for s in shingles_of(ws)]
+    for _, text in templates:
+        rest = [s.split() for s in shingles_of(words_of(text))]
         total = len(rest)
         while (rest := [s for s in rest if not chosen & set(s)]) and len(rest) >= total / 4:
             hits = Counter(w for s in rest for w in set(s))
@@ -97,10 +75,10 @@ def anchors(templates: dict[str, str] = TEMPLATES) -> list[str]:
     return sorted(chosen)
 
 
-def band_guarantee(templates: dict[str, str] = TEMPLATES) -> float:
+def band_guarantee(templates: Templates = TEMPLATES) -> float:
     """Least probability that a window with the required share of a template shares a band."""
     least = 1.0
-    for text in templates.values():
+    for _, text in templates:
         words = words_of(text)
         size, q = window_class(words)
         t, w = len(shingles_of(words)), size - q + 1
@@ -109,6 +87,19 @@ def band_guarantee(templates: dict[str, str] = TEMPLATES) -> float:
     return least
 
 
+def marks(templates: Templates = TEMPLATES) -> list[tuple[list[str], list[str]]]:
+    """For each template the shingles that its rivals lack, and those that only its rivals
+    have; both empty without rivals."""
+    sets = [(license_, shingles_of(words_of(text))) for license_, text in templates]
+    out = []
+    for license_, own in sets:
+        mine = set(own)
+        rivals = [set(s) for other, s in sets if other != license_ and 2 * len(mine & set(s)) >= min(len(mine), len(s))]
+        theirs = set().union(*rivals)
+        out.append(([s for s in own if rivals and s not in theirs], sorted(theirs - mine)))
+    return out
+
+
 def _shingles(words: Column, q: Column | int) -> Column:
     """Distinct shingles of an array of at least q words."""
     starts = F.sequence(F.lit(1), F.size(words) - q + 1)
@@ -120,52 +111,71 @@ def _bands(hashes: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda band: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, band))))
 
 
-def _template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+def _template_table(spark: SparkSession, templates: Templates) -> DataFrame:
     rows = []
-    for name, text in templates.items():
+    for number, ((license_, text), (own, others)) in enumerate(zip(templates, marks(templates))):
         words = words_of(text)
-        rows.append((name, *window_class(words), shingles_of(words)))
-    df = spark.createDataFrame(rows, "license string, window int, q int, shingles array<string>")
+        rows.append((number, license_, *window_class(words), shingles_of(words), own, others))
+    df = spark.createDataFrame(rows, "number int, license string, window int, q int, shingles array<string>, own array<string>, others array<string>")
     return bind(df, bands=_bands(F.transform("shingles", lambda s: F.xxhash64(s))))
 
 
-def _windows(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """(doc_id, window, q, start, words) of every window that holds an anchor."""
+def _key() -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("text_key")
+
+
+def _windows(docs: DataFrame, templates: Templates) -> DataFrame:
+    """(text_key, window, q, start, words) of every window that holds an anchor, those of one
+    size class of a text at a time."""
     known = anchors(templates)
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     gate = text.rlike(rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, known))})(?![a-z0-9])")
-    df = bind(docs.select("doc_id", "text").where(gate), w=F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).drop("text")
-    classes = sorted({window_class(words_of(t)) for t in templates.values()})
-    cut = []
-    for size, q in classes:
-        half = size // 2
-        last = F.greatest(F.ceil((F.size("w") - half) / half), F.lit(1)).cast("int")
-        windows = F.transform(F.sequence(F.lit(0), last - 1), lambda k: F.struct(F.lit(size).alias("window"), F.lit(q).alias("q"), (k * half).alias("start"), F.slice("w", k * half + 1, size).alias("words")))  # noqa: B023
-        cut.append(F.filter(windows, lambda x: F.arrays_overlap(x["words"], F.array(*map(F.lit, known))) & (F.size(x["words"]) >= q)))  # noqa: B023
-    df = bind(df, cut=F.concat(*cut)).select("doc_id", F.explode("cut").alias("x"))
-    return df.select("doc_id", "x.window", "x.q", "x.start", "x.words")
-
-
-def find(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(doc_id, license, containment, start): each template found in a document's text, with
-    its best window (the first of the best)."""
-    spark = docs.sparkSession
-    t = _template_table(spark, templates)
+    df = bind(docs.select(_key(), "text").where(gate), w=F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).drop("text")
+    sizes = F.array(*(F.struct(F.lit(size).alias("window"), F.lit(q).alias("q")) for size, q in sorted({window_class(words_of(t)) for _, t in templates})))
+    df = df.select("text_key", "w", F.inline(sizes)).withColumn("half", F.expr("window div 2").cast("int"))
+    last = F.greatest(F.ceil((F.size("w") - F.col("half")) / F.col("half")), F.lit(1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last - 1), lambda k: F.struct((k * F.col("half")).alias("start"), F.slice("w", k * F.col("half") + 1, F.col("window")).alias("words")))
+    cut = F.filter(cut, lambda x: F.arrays_overlap(x["words"], F.array(*map(F.lit, known))) & (F.size(x["words"]) >= F.col("q")))
+    return df.select("text_key", "window", "q", F.inline(cut))
+
+
+def _found(docs: DataFrame, templates: Templates) -> DataFrame:
+    """(text_key, license, containment, start): each license found in a text, with the best
+    window of its best template (the first of the best)."""
+    t = _template_table(docs.sparkSession, templates)
     windows = bind(_windows(docs, templates), shingles=_shingles(F.col("words"), F.col("q"))).drop("words")
     windows = bind(windows, bands=_bands(F.transform("shingles", lambda s: F.xxhash64(s))))
     # The templates are a fixed list, so their bands and shingles are sent to every task.
-    keys = t.select("license", F.col("window").alias("t_window"), F.col("q").alias("t_q"), F.col("shingles").alias("t_shingles"), F.posexplode("bands").alias("t_band", "t_value"))
-    found = windows.select("doc_id", "window", "q", "start", "shingles", F.posexplode("bands").alias("band", "value")).join(
+    keys = t.select("number", "license", F.col("window").alias("t_window"), F.col("q").alias("t_q"), F.posexplode("bands").alias("t_band", "t_value"))
+    found = windows.select("text_key", "window", "q", "start", "shingles", F.posexplode("bands").alias("band", "value")).join(
         F.broadcast(keys), (F.col("window") == F.col("t_window")) & (F.col("q") == F.col("t_q")) & (F.col("band") == F.col("t_band")) & (F.col("value") == F.col("t_value")))
-    share = F.size(F.array_intersect("t_shingles", "shingles")) / F.size("t_shingles")
-    found = found.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= SHARE)
-    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min_by("start", F.struct(-F.col("containment"), "start")).alias("start"))
-
-
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(doc_id, n_licenses, licenses, containment) for every row of docs: names found, sorted
-    and comma-joined, and the best containment (0 if none)."""
-    per = find(docs, templates).groupBy("doc_id").agg(
-        F.count("*").alias("n_licenses"), F.array_join(F.array_sort(F.collect_list("license")), ",").alias("licenses"), F.max("containment").alias("containment"))
-    out = docs.select("doc_id").join(per, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("n_licenses", F.lit(0)).alias("n_licenses"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
+    found = found.join(F.broadcast(t.select("number", F.col("shingles").alias("t_shingles"), "own", "others")), "number")
+    common = lambda c: F.size(F.array_intersect(F.col(c), F.col("shingles")))
+    told = F.when(F.size("own") > 0, 2 * common("own") >= F.size("own")).otherwise(common("others") == 0)
+    found = found.select("text_key", "license", "start", (common("t_shingles") / F.size("t_shingles")).alias("containment"), told.alias("told"))
+    found = found.where((F.col("containment") >= SHARE) & F.col("told"))
+    return found.groupBy("text_key", "license").agg(F.max("containment").alias("containment"), F.min_by("start", F.struct(-F.col("containment"), "start")).alias("start"))
+
+
+def find(docs: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
+    """(doc_id, license, containment, start) for every row of docs: each license told by a
+    template, its best containment and the first word of the window that has it."""
+    return docs.select("doc_id", _key()).join(_found(docs, templates), "text_key").drop("text_key")
+
+
+def spdx(text: Column) -> Column:
+    """Identifiers in a text's SPDX lines, sorted, each once."""
+    lines = F.regexp_extract_all(text, F.lit(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+()-]+)*+)"), F.lit(1))
+    names = F.flatten(F.transform(lines, lambda x: F.split(F.regexp_replace(x, r"[()]", ""), r"[ \t]+(?:AND|OR|WITH)[ \t]+")))
+    return F.array_sort(F.array_distinct(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x != "")))
+
+
+def scan(docs: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
+    """(doc_id, n_licenses, licenses, containment) for every row of docs: names told by
+    templates or SPDX lines, sorted and comma-joined, and the best containment (1 for an SPDX
+    line, 0 if there is nothing)."""
+    per = _found(docs, templates).groupBy("text_key").agg(F.collect_set("license").alias("found"), F.max("containment").alias("best"))
+    out = docs.select("doc_id", _key(), spdx(F.col("text")).alias("named")).join(per, "text_key", "left")
+    names = F.array_sort(F.array_union("named", F.coalesce("found", F.array().cast("array<string>"))))
+    out = out.select("doc_id", names.alias("names"), F.when(F.size("named") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("containment"))
+    return out.select("doc_id", F.size("names").cast("long").alias("n_licenses"), F.array_join("names", ",").alias("licenses"), "containment")
