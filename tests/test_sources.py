@@ -247,3 +247,27 @@ def test_unreadable_text_makes_a_scan_partial(spark, tree):
     assert [tuple(r) for r in out["errors"].collect()] == [("app/bad.py", "invalid UTF-8")]
     assert out["status"].first().status == "PARTIAL"
     assert inventory.scan_status(files.read_problems(found.where("path <> 'app/bad.py'"))).first().status == "COMPLETED"
+
+
+HOSTILE = {"java": "\n", "cpp": "  \n", "javascript": "const { a\n", "c": "#include <\n", "typescript": "import { b\n"}
+
+
+def test_import_scans_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (50_000, 100_000):
+        df = spark.createDataFrame([(k, k, unit * n + "import java.security.Key;\n") for k, unit in HOSTILE.items()], "path string, language string, text string")
+        start = time.time()
+        assert repository.matched_imports(df).count() >= 1
+        took.append(time.time() - start)
+    assert took[1] < 2.5 * took[0] + 2
+
+
+def test_imports_behind_blank_lines(spark):
+    java = "package x;\n\n \t\n\nimport java.security.Key;\nimport javax.crypto.Cipher;\n\nimport  javax.crypto.Mac ;\n"
+    js = "const {\n  a,\n  b\n} = require('crypto')\nimport { c } from 'crypto'\nconst { d: { e } } = f\n"
+    df = spark.createDataFrame([("A.java", "java", java), ("b.js", "javascript", js)], "path string, language string, text string")
+    got = sorted((r["path"], r["line"], r["module"]) for r in repository.matched_imports(df).collect())
+    # As ever, a statement's line is that of the first blank line before it.
+    assert got == [("A.java", 2, "java.security.Key"), ("A.java", 6, "javax.crypto.Cipher"), ("A.java", 7, "javax.crypto.Mac"), ("b.js", 1, "crypto"), ("b.js", 5, "crypto")]
