@@ -147,11 +147,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies) for every row of docs."""
+    """(doc_id, size, source_size, target, taken, copies, shards) for every row of docs; shards
+    lists where the tree puts the document: shard, position in it and words of each copy."""
     m = mix(docs.select("doc_id", "text", "source"), **options)
-    per = m.placed.groupBy("row").agg(F.sum("words").alias("taken"), F.count("*").alias("copies"))
+    # A document is taken at most ``limit`` times, so the list is short.
+    place = F.array_sort(F.collect_list(F.struct("shard", "position", "words")))
+    listed = F.array_join(F.transform(place, lambda x: F.concat_ws(":", x["shard"].cast("string"), x["position"].cast("string"), x["words"].cast("string"))), ",")
+    per = m.placed.groupBy("row").agg(F.sum("words").alias("taken"), F.count("*").alias("copies"), listed.alias("shards"))
     out = m.sized.join(per, "row", "left").join(m.targets, "key")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("shards", F.lit("")).alias("shards"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from keystrata.llm import mixing as M
@@ -72,6 +73,27 @@ def test_shards_split_every_quota(spark):
     assert len(by) == 50 and max(by.values()) - min(by.values()) <= 6
 
 
+def test_quotas_follow_the_hypergeometric_law():
+    quotas, shards = np.array([60, 30, 10]), 8
+    drawn = np.array([[n[0] for _, _, n in M._split(quotas, 0, shards, seed, 10)] for seed in range(4000)])
+    total, size = quotas.sum(), [sum(n) for _, _, n in M._split(quotas, 0, shards, 0, 10)]
+    for shard in range(shards):
+        k, share = size[shard], quotas[0] / total
+        spread = k * share * (1 - share) * (total - k) / (total - 1)
+        assert abs(drawn[:, shard].mean() - k * share) < 4 * (spread / len(drawn)) ** 0.5
+        assert abs(drawn[:, shard].var() / spread - 1) < 0.12
+    assert (drawn.sum(axis=1) == quotas[0]).all()
+
+
+def test_shards_are_part_of_the_result(spark, docs):
+    df = spark.createDataFrame([d[:3] for d in docs], "doc_id long, text string, source string").repartition(4)
+    options = {"block_words": 300, "shard_blocks": 4}
+    listed = sorted((r["doc_id"], x) for r in M.taken(df, **options).collect() for x in r["shards"].split(",") if x)
+    rows = M.mixed(df, **options).collect()
+    assert listed == sorted((r["doc_id"], f"{r['shard']}:{r['position']}:{r['words']}") for r in rows)
+    assert len({r["shard"] for r in rows}) > 10
+
+
 def test_mixed_rows(spark, docs):
     df = spark.createDataFrame([(k, t, s, len(t or "")) for k, t, s, *_ in docs], "doc_id long, text string, source string, n_chars long")
     out = M.mixed(df, block_words=300, shard_blocks=4)
