@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from keystrata.dims import policy
 from keystrata.functions.scoring import confidence_level
 from keystrata.functions.text import lookup
+from keystrata.operators.merge import evidence_chunks
+from keystrata.session import checkpointed
 
 # --- filters ----------------------------------------------------------------
 
@@ -213,6 +215,40 @@ def asset_view(assets: DataFrame) -> DataFrame:
     return assets.select(*have, F.round("confidence_score", 4).alias("confidence_score"))
 
 
+def asset_detail(assets: DataFrame, evidence: DataFrame, size: int = 1000) -> DataFrame:
+    """The full form of an asset: its listing form with the ids, places and records of its
+    findings in emission order, at most ``size`` in a row. An asset with more has further
+    rows, told apart by ``part``; one without any has a row with empty lists. Assets that
+    share an id share its findings."""
+    parts = evidence_chunks(evidence, size).select("asset_id", F.col("chunk").alias("part"), "supporting_findings")
+    rationale = ["confidence_rationale"] if "confidence_rationale" in assets.columns else []
+    view = asset_view(assets).columns
+    held = assets.select(F.struct(*(F.col(c) if c != "confidence_score" else F.round(c, 4).alias(c) for c in view), *rationale).alias("asset"), "asset_id").join(parts, "asset_id", "left")
+    found = F.coalesce("supporting_findings", F.array().cast(parts.schema["supporting_findings"].dataType))
+    return held.select(
+        "asset.*", F.coalesce("part", F.lit(0)).alias("part"), F.transform(found, lambda x: x["finding_id"]).alias("supporting_finding_ids"),
+        F.transform(found, lambda x: x["location"]).alias("locations"), F.transform(found, lambda x: x.dropFields("emit_seq")).alias("supporting_findings"))
+
+
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """df with rank, its place from 1 on in an order (which should be total), written once as
+    range-sorted files. Ranks come from row numbers within each range and the sizes of the
+    ranges before it, so no task ever sorts or counts everything."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = checkpointed(rows.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")))
+    sizes = rows.groupBy("_range").count()
+    before = F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))  # a row a range
+    before = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(before, "_range").withColumn("rank", F.col("_before") + F.col("_place") + 1).drop("_range", "_place", "_before")
+
+
+def page_at(placed: DataFrame, page: int, size: int) -> DataFrame:
+    """Rows of a page (from 1 on) of a table with ranks; of a stored one, only the files whose
+    ranks reach into the page are read."""
+    first = (max(page, 1) - 1) * size
+    return placed.where((F.col("rank") > first) & (F.col("rank") <= first + size)).orderBy("rank")
+
+
 def risk_detail(risk: DataFrame) -> DataFrame:
     return risk.select("asset_id", F.col("risk_score").alias("score"), "severity", "rationale")
 
