@@ -3,14 +3,18 @@ with their evidence, routes of mixed trees."""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import asset_sql as A
 from checks import assets, findings, sources
 from checks.derived import asset_facts, for_duckdb, for_spark, timeline_inputs, with_location
-from keystrata.operators import listing, merge, timeline
+from keystrata.operators import listing, merge, textindex, timeline
 from keystrata.operators.classify import classify
+from keystrata.session import checkpoint_folder
 from keystrata.sources import binary, container, mixed
 
 QUERIES, SQL = {}, {}
@@ -104,6 +108,18 @@ def _(spark, sf):
     return timed.select("asset_id", F.size("rationale").alias("lines"), F.element_at("rationale", -1).alias("last"))
 
 
+def _indexed(spark: SparkSession, sf: str, *needles: str) -> DataFrame:
+    facts, fields, folder = asset_facts(spark, sf), ["algorithm", "implementation_library"], f"{checkpoint_folder(spark)}/index-{uuid.uuid4()}"
+    textindex.build(facts, folder, "asset_id", fields, "file_path")
+    found = [textindex.find(spark, folder, n, "asset_id", fields, "file_path").select("asset_id") for n in needles]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+@check("indexed_search", assets.SQL["search_assets"])
+def _(spark, sf):
+    return _indexed(spark, sf, " RSA OpenSSL ", "SRC3/mod7.")
+
+
 # --- mixed trees ------------------------------------------------------------
 
 # Every document as a file of one of seven kinds.

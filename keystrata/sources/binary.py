@@ -61,11 +61,7 @@ def first_pattern(df: DataFrame, text: str) -> DataFrame:
     return bind(df, symbol=symbol).drop("_maybe", *names, *[f"_s{n}" for n in range(0, len(rows), _PER_STEP)])
 
 
-_HIT = "index int, ordinal int, category string, score double, rationale string, symbol string, algorithm string, library string, text string"
-
-
-def _hits(*hits: Column) -> Column:
-    return F.concat(*hits).cast(f"array<struct<{_HIT.replace(' ', ':').replace(',:', ',')}>>")
+_HITS = "array<struct<index:int,ordinal:int,category:string,score:double,rationale:string,symbol:string,algorithm:string,library:string,text:string>>"
 
 
 def _hit(index: Column | int, ordinal: Column | int, category: Column | str, score: Column | float, rationale: Column | str, symbol: Column,
@@ -82,7 +78,7 @@ def scan_binary_strings(strings: DataFrame) -> DataFrame:
     version strings, cipher suites, a PEM header, or else the first general pattern. All hits
     of a string are one array, so the strings are read once."""
     s = F.col("string")
-    empty = F.array().cast(f"array<struct<{_HIT.replace(' ', ':').replace(',:', ',')}>>")
+    empty = F.array().cast(_HITS)
     versions = F.filter(F.array(*[
         F.struct(F.lit(i).alias("index"), F.lit(lib).alias("library"), F.lit(conf).alias("score"), s.rlike(pattern(rx)).alias("hit"))
         for i, (rx, lib, conf) in enumerate(patterns.LIBRARY_VERSION_STRINGS)]), lambda v: v["hit"])
@@ -93,8 +89,8 @@ def scan_binary_strings(strings: DataFrame) -> DataFrame:
     header = F.regexp_extract("string", pattern(patterns.BINARY_PEM_HEADER, False), 0)
     df = bind(
         strings, _pem=F.when(F.contains(s, F.lit("-----BEGIN")), header).otherwise(""),
-        _libraries=F.when(s.rlike(pattern("ssl|tls|sodium|nss|nettle|bouncycastle")), _hits(libraries)).otherwise(empty),
-        _suites=F.when(F.contains(F.upper("string"), F.lit("TLS_")), _hits(suites)).otherwise(empty))
+        _libraries=F.when(s.rlike(pattern("ssl|tls|sodium|nss|nettle|bouncycastle")), libraries.cast(_HITS)).otherwise(empty),
+        _suites=F.when(F.contains(F.upper("string"), F.lit("TLS_")), suites.cast(_HITS)).otherwise(empty))
     df = first_pattern(df, "string")
     rows = {r["pattern_ordinal"]: r for r in patterns.pattern_rows()}
     of = lambda field: lookup(F.col("pattern_ordinal"), {k: r[field] for k, r in rows.items() if r[field] is not None})
@@ -102,8 +98,8 @@ def scan_binary_strings(strings: DataFrame) -> DataFrame:
     pem = _hit(21, 0, "KEY_MATERIAL", 0.90, "PEM header in a binary | score=0.90", F.col("_pem"), text=F.col("_pem"))
     plain = _hit(22, 0, F.col("_category"), F.col("_score"), F.format_string("pattern %s in a binary string | score=%.2f", "_name", "_score"), F.col("symbol"), algorithm=F.col("_algorithm"))
     df = bind(df, _all=F.concat(
-        "_libraries", "_suites", F.when(F.col("_pem") != "", _hits(F.array(pem))).otherwise(empty),
-        F.when((F.col("_pem") == "") & F.col("pattern_ordinal").isNotNull(), _hits(F.array(plain))).otherwise(empty)))
+        "_libraries", "_suites", F.when(F.col("_pem") != "", F.array(pem).cast(_HITS)).otherwise(empty),
+        F.when((F.col("_pem") == "") & F.col("pattern_ordinal").isNotNull(), F.array(plain).cast(_HITS)).otherwise(empty)))
     hits = df.select("path", "byte_offset", "binary_format", F.inline("_all")).withColumnRenamed("text", "snippet")
     return finding(
         hits, "STRING_ANALYSIS", F.col("category"), _STRINGS, _seq(1, F.col("index"), F.col("ordinal")), F.col("score"), F.col("rationale"), F.col("symbol"),
