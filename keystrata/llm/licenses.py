@@ -12,9 +12,9 @@ compete: of such a template at least half of the shingles that only it has must
 well (the version, "Lesser", a third clause), and where it has none, none of those that only
 its rivals have. SPDX lines are read as they are.
 
-A text is only cut up if it holds an anchor word. Anchors are chosen from the templates such
-that fewer than a quarter of any template's shingles lack one; a window with three quarters
-of a template's shingles thus always holds one, so nothing is lost.
+A text is only cut up if it holds an anchor word. Anchors are chosen such that more than a
+quarter of any template's shingles have one. A window without any lacks all of those, so it
+holds less than three quarters of the template: nothing is lost.
 
 What is found depends on the text alone, so rows are told apart by a digest of their text:
 null and repeated ids change nothing, and equal texts have equal results. Null and empty
@@ -62,16 +62,17 @@ Templates = list[tuple[str, str]]
 
 
 def anchors(templates: Templates = TEMPLATES) -> list[str]:
-    """Words such that under a quarter of each template's shingles have none of them. Long
-    words come first, as they are the rarest in other texts."""
-    common = set("a all and any are as at be by for from have in is it may not of on one or other such that the this to under with you your".split())
+    """Words such that over a quarter of each template's shingles have one of them. Long words
+    come first, as they are the rarest in other texts, then those that many templates have."""
+    common = set("a all and any are as at be by do for from have in is it may not of on one or other such that the this to under want what with you your".split())
+    each = [[x.split() for x in shingles_of(words_of(text))] for _, text in templates]
+    spread = Counter(w for rest in each for w in {w for s in rest for w in s})
     chosen: set[str] = set()
-    for _, text in templates:
-        rest = [s.split() for s in shingles_of(words_of(text))]
+    for rest in each:
         total = len(rest)
-        while (rest := [s for s in rest if not chosen & set(s)]) and len(rest) >= total / 4:
+        while 4 * len(rest := [s for s in rest if not chosen & set(s)]) >= 3 * total:
             hits = Counter(w for s in rest for w in set(s))
-            chosen.add(max(hits, key=lambda w: (w not in common, len(w) >= 7, hits[w], len(w), w)))
+            chosen.add(max(hits, key=lambda w: (w not in common, len(w) >= 10, hits[w], spread[w], len(w), w)))
     return sorted(chosen)
 
 
