@@ -22,12 +22,13 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One record per line; fields without a value are left out."""
-    df.write.mode(mode).option("ignoreNullFields", "true").json(path)
+    """One record per line; fields without a value are left out. The part files are compressed."""
+    df.write.mode(mode).option("ignoreNullFields", "true").option("compression", "gzip").json(path)
 
 
 def write_csv(inventory: DataFrame, path: str, mode: str = "overwrite") -> None:
-    inventory.write.mode(mode).option("header", "true").option("escape", '"').csv(path)
+    """Compressed part files, each with a header."""
+    inventory.write.mode(mode).option("header", "true").option("escape", '"').option("compression", "gzip").csv(path)
 
 
 def component_xml(components: DataFrame) -> DataFrame:
