@@ -73,15 +73,8 @@ def _written(spark: SparkSession, sf: str, fmt: str) -> str:
 
 @check("document_json", assets.SQL["to_components"])
 def _(spark, sf):
-    head = f"bomFormat string, specVersion string, version int, components array<struct<{_struct(_COMPONENT)}>>"
-    found = spark.read.schema(head).option("multiLine", "true").json(_written(spark, sf, "json"))
-    return _flat(found.where("bomFormat = 'CycloneDX' and specVersion = '1.6' and version = 1").select(F.inline("components")))
-
-
-def _struct(ddl: str) -> str:
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl).simpleString().removeprefix("struct<").removesuffix(">").replace("bom-ref", "`bom-ref`")
+    found = documents.read_bom(spark, _written(spark, sf, "json"), _COMPONENT)
+    return _flat(found.where("header.bomFormat = 'CycloneDX' and header.specVersion = '1.6' and header.version = 1").select("component.*"))
 
 
 @check("document_occurrences", A.with_ctes(*assets._C, select="SELECT asset_id AS bom_ref, file_path AS location, CAST(start_line AS INT) AS line FROM facts"))

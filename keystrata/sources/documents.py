@@ -24,6 +24,7 @@ from keystrata.sources.tables import component_json, component_xml
 
 _HEADER, _COMPONENTS, _FOOTER = 0, 1, 2
 _OPEN, _OCCURRENCE, _CLOSE = 0, 1, 2
+_CLOSING = "]}}"  # of a component in JSON
 
 
 class InvalidDocument(ValueError):
@@ -56,7 +57,7 @@ def _components(components: DataFrame, fmt: str) -> DataFrame:
     if fmt == "json":
         rows = component_json(components)
         record = F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns if c != "evidence")))
-        return rows.select(F.col("`bom-ref`").alias("bom_ref"), F.concat(F.regexp_replace(record, r"\}$", ""), F.lit(',"evidence":{"occurrences":[')).alias("opening"), F.lit("]}}").alias("closing"))
+        return rows.select(F.col("`bom-ref`").alias("bom_ref"), F.concat(F.regexp_replace(record, r"\}$", ""), F.lit(',"evidence":{"occurrences":[')).alias("opening"), F.lit(_CLOSING).alias("closing"))
     rows = component_xml(components)
     xml = lambda *c: F.to_xml(F.struct(*(F.col(f"`{x}`") for x in c)), {"rowTag": "component"})
     front, back = xml("_type", "_bom-ref", "name", "properties"), xml("cryptoProperties")
@@ -126,7 +127,7 @@ def _checked(header: DataFrame, components: DataFrame) -> None:
 
 
 def joined(spark: SparkSession, folder: str, path: str, size: int) -> None:
-    """The commit step: part files of a folder, in order, as the one file ``path``. It appears
+    """The commit step: part files of a folder (compressed or not), in order, as the one file ``path``. It appears
     under its name only when it has ``size`` bytes."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
@@ -135,12 +136,14 @@ def joined(spark: SparkSession, folder: str, path: str, size: int) -> None:
     if not there.exists(at(f"{folder}/_SUCCESS")):
         raise OSError(f"the parts in {folder} are not complete")
     parts = sorted((x.getPath() for x in there.listStatus(source) if x.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
     temporary = at(f"{path.rstrip('/')}.{uuid.uuid4()}.tmp")
     try:
         out = fs.create(temporary)
         try:
             for part in parts:
-                stream = there.open(part)
+                codec = codecs.getCodec(part)
+                stream = there.open(part) if codec is None else codec.createInputStream(there.open(part))
                 try:
                     jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
                 finally:
@@ -168,9 +171,22 @@ def write_bom(header: DataFrame, components: DataFrame, occurrences: DataFrame,
     folder = f"{checkpoint_folder(spark)}/document-{uuid.uuid4()}"
     seen = Observation()
     lines = document_lines(header, components, occurrences, fmt).repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).select("text")
-    lines.observe(seen, F.sum(F.octet_length("text").cast("long") + 1).alias("bytes")).write.text(folder)
+    lines.observe(seen, F.sum(F.octet_length("text").cast("long") + 1).alias("bytes")).write.option("compression", "gzip").text(folder)
     size = seen.get["bytes"]
     joined(spark, folder, path, size)
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     return size
+
+
+def read_bom(spark: SparkSession, path: str, component: str, header: str = "bomFormat string, specVersion string, version int") -> DataFrame:
+    """(header, component): the components of a JSON document that ``write_bom`` wrote, read in
+    stretches by many tasks, with the header beside each. The line that closes a component
+    ends a record; a line end inside a value is always escaped, so none is cut."""
+    records = spark.read.option("lineSep", f"\n{_CLOSING}\n").text(path).select(F.col("value").alias("text"))
+    first = F.startswith("text", F.lit('{"bomFormat":'))
+    head = records.where(first).select(F.from_json(F.concat(F.substring_index("text", "\n", 1), F.lit("]}")), header).alias("header"))
+    body = F.when(first, F.regexp_replace("text", r"^[^\n]*\n?", "")).otherwise(F.col("text"))
+    body = records.select(body.alias("text")).where(~F.col("text").rlike(r"^\s*(\]\}\s*)?$"))
+    found = body.select(F.from_json(F.concat(F.regexp_replace("text", "^,", ""), F.lit(_CLOSING)), component).alias("component"))
+    return F.broadcast(head).crossJoin(found)

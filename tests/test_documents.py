@@ -85,3 +85,28 @@ def test_whole_or_not_at_all(spark, tables, tmp_path, monkeypatch):
     with pytest.raises(OSError):
         documents.write_bom(head, parts, spots, path)
     assert os.listdir(tmp_path) in ([], [".bom.json.crc"])
+
+
+def test_json_is_read_component_by_component(spark, tables, tmp_path):
+    """No task reads the document as one row; values may hold what closes a component."""
+    head, parts = components.document_header(spark), tables[0]
+    spots = parts.select("bom_ref", F.lit("a\n]}}\nb").alias("location"), F.lit(1).alias("line"), F.lit('"').alias("symbol"))
+    path = str(tmp_path / "bom.json")
+    documents.write_bom(head, parts, spots.unionByName(spots), path)
+    found = documents.read_bom(spark, path, "`bom-ref` string, evidence struct<occurrences:array<struct<location:string,line:int,symbol:string>>>")
+    rows = found.select("header.version", "component.*").collect()
+    assert sorted(r["bom-ref"] for r in rows) == sorted(r[0] for r in parts.select("bom_ref").collect())
+    assert all(r["version"] == 1 and [x["location"] for x in r["evidence"]["occurrences"]] == ["a\n]}}\nb"] * 2 for r in rows)
+    documents.write_bom(head, parts.limit(0), spots, path)
+    assert documents.read_bom(spark, path, "`bom-ref` string").count() == 0
+
+
+def test_exports_are_compressed(spark, tmp_path):
+    from keystrata.sources import tables as exports
+
+    rows = spark.createDataFrame([("a\nb", 1)], "name string, n int")
+    exports.write_csv(rows, str(tmp_path / "csv"))
+    exports.write_json(rows, str(tmp_path / "json"))
+    parts = [x for d in ("csv", "json") for x in os.listdir(tmp_path / d) if x.startswith("part-")]
+    assert parts and all(x.endswith(".gz") for x in parts)
+    assert spark.read.json(str(tmp_path / "json")).select("name", "n").collect() == rows.collect()
