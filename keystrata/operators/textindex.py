@@ -37,9 +37,8 @@ def _text(fields: list[str], path: str | None) -> Column:
 
 def trigrams(text: Column) -> Column:
     """The distinct runs of three characters of a text."""
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    each = F.transform(chars, lambda c, i: F.concat(c, F.get(chars, i + 1), F.get(chars, i + 2)))
-    return F.array_distinct(F.filter(each, lambda g: g.isNotNull()))
+    # Looked ahead for at each character, so that they overlap.
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))."), F.lit(1)))
 
 
 def build(df: DataFrame, folder: str, key: str, fields: list[str], path: str | None = None, slots: int = SLOTS, buckets: int = BUCKETS) -> None:
@@ -52,7 +51,8 @@ def build(df: DataFrame, folder: str, key: str, fields: list[str], path: str | N
     held = held.withColumn("bucket", bucket)
     dealt = held.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(_SPREAD))).sortWithinPartitions("bucket", "gram")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    held.groupBy("bucket", "gram").agg(F.count("*").alias("n")).repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/grams")
+    written = df.sparkSession.read.schema("gram string, bucket int").parquet(f"{folder}/postings")
+    written.groupBy("bucket", "gram").agg(F.count("*").alias("n")).repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/grams")
 
 
 def candidates(spark: SparkSession, folder: str, needle: str, buckets: int = BUCKETS) -> DataFrame | None:

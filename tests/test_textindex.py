@@ -47,3 +47,15 @@ def test_reads_hang_on_hits(spark, folder):
 def test_empty_index(spark, table, tmp_path):
     textindex.build(table.limit(0), str(tmp_path), "id", FIELDS)
     assert spark.read.schema(table.schema).parquet(f"{tmp_path}/rows").count() == 0
+
+
+def test_trigrams_overlap_and_count_characters(spark):
+    rows = spark.createDataFrame([(1, "abcab"), (2, "a\n\U0001F511b"), (3, "ab"), (4, None)], "id int, text string")
+    found = {r[0]: r[1] for r in rows.select("id", textindex.trigrams(F.col("text"))).collect()}
+    assert found == {1: ["abc", "bca", "cab"], 2: ["a\n\U0001F511", "\n\U0001F511b"], 3: [], 4: None}
+
+
+def test_trigrams_cut_a_text_once(spark):
+    """The text is not cut into characters again for each of them."""
+    plan = spark.createDataFrame([("abc",)], "text string").select(textindex.trigrams(F.col("text")))._jdf.queryExecution().toString()
+    assert "lambda" not in plan
