@@ -271,3 +271,20 @@ def test_imports_behind_blank_lines(spark):
     got = sorted((r["path"], r["line"], r["module"]) for r in repository.matched_imports(df).collect())
     # As ever, a statement's line is that of the first blank line before it.
     assert got == [("A.java", 2, "java.security.Key"), ("A.java", 6, "javax.crypto.Cipher"), ("A.java", 7, "javax.crypto.Mac"), ("b.js", 1, "crypto"), ("b.js", 5, "crypto")]
+
+
+def test_imports_read_the_texts_once(spark):
+    files = spark.createDataFrame([("a.py", "python", "import hmac as h\nfrom hashlib import md5"), ("a.java", "java", "import javax.crypto.Cipher;")], "path string, language string, text string")
+    found = repository.scan_imports(files)
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r[0] for r in found.select("raw_symbol").collect()) == ["from hashlib import md5", "import hmac as h", "import javax.crypto.Cipher;"]
+
+
+def test_tables_of_one_file_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    from checks import derived
+
+    spark.range(20_000).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(derived, "_PART_BYTES", 1000)
+    found = derived.table(spark, str(tmp_path), "orders")
+    assert found.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert found.distinct().count() == 20_000
