@@ -220,7 +220,8 @@ def asset_detail(assets: DataFrame, evidence: DataFrame, size: int = 1000) -> Da
     findings in emission order, at most ``size`` in a row. An asset with more has further
     rows, told apart by ``part``; one without any has a row with empty lists. Assets that
     share an id share its findings."""
-    parts = evidence_chunks(evidence, size).select("asset_id", F.col("chunk").alias("part"), "supporting_findings")
+    # Dealt by id alone, the findings are numbered, nested and joined where they are.
+    parts = evidence_chunks(evidence.repartition("asset_id"), size).select("asset_id", F.col("chunk").alias("part"), "supporting_findings")
     rationale = ["confidence_rationale"] if "confidence_rationale" in assets.columns else []
     view = asset_view(assets).columns
     held = assets.select(F.struct(*(F.col(c) if c != "confidence_score" else F.round(c, 4).alias(c) for c in view), *rationale).alias("asset"), "asset_id").join(parts, "asset_id", "left")
