@@ -42,6 +42,9 @@ LINE_GAP = 2
 # Lines per bucket of the two-level island labelling.
 BUCKET_LINES = 4096
 
+# Findings of one profile from which on they are combined in the tasks that read them.
+HOT_PROFILE = 100_000
+
 _SHAPE = ["family", "alg", "key", "mode", "curve", "wide", "line", "is_library"]
 
 
@@ -108,8 +111,7 @@ def _wide() -> Column:
 def with_profile(normalized: DataFrame) -> DataFrame:
     """Adds the profile columns: whether line proximity is waived, the line that counts,
     and a digest of everything that distinguishes one profile of a path from another."""
-    df = bind(normalized, wide=_wide())
-    df = bind(df, line=F.when(~F.col("wide"), F.col("location.start_line")))
+    df = bind(normalized, wide=_wide(), line=F.when(~_wide(), F.col("location.start_line")))
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in [*ATTRIBUTES, "wide", "line"]]
     return bind(df, profile_id=F.md5(F.concat_ws("\u0001", *parts)))
 
@@ -131,6 +133,9 @@ def method_names(bits: Column) -> Column:
     return F.array_compact(F.array(*[F.when(bits.bitwiseAND(1 << i) != 0, n) for n, i in names]))
 
 
+_PROFILE = ["path_key", "profile_id", *ATTRIBUTES, "wide", "line"]
+
+
 def fold_profiles(normalized: DataFrame) -> DataFrame:
     """One row per path and profile, with what the later merge needs of its findings.
 
@@ -138,6 +143,26 @@ def fold_profiles(normalized: DataFrame) -> DataFrame:
     combine on the map side and again per cluster.
     """
     df = normalized if "profile_id" in normalized.columns else with_profile(normalized)
+    return _folded(df)
+
+
+def fold_dealt(profiled: DataFrame) -> DataFrame:
+    """The rows of ``fold_profiles``, for a table that is written already. Combining on the
+    map side sorts every task's findings, which is lost work where few of them are equal. So
+    findings are counted by profile first; only those of hot profiles are combined where
+    they are read, all others are dealt by profile and folded once."""
+    key = F.xxhash64("path_key", "profile_id")
+    counts = profiled.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = checkpointed(counts.where(F.col("_n") >= HOT_PROFILE).select("_key"))
+    if hot.isEmpty():
+        return _folded(profiled.repartition(*_PROFILE))
+    # One row for each HOT_PROFILE findings at most, on which adaptive execution decides.
+    keyed = profiled.withColumn("_key", key)
+    rest = _folded(keyed.join(hot, "_key", "left_anti").repartition(*_PROFILE))
+    return rest.unionByName(_folded(keyed.join(hot, "_key", "left_semi")))
+
+
+def _folded(df: DataFrame) -> DataFrame:
     score, seq, fid = F.col("confidence_score"), F.col("emit_seq"), F.col("finding_id")
     lined = F.col("location.start_line").isNotNull()
     parsed = (F.col("discovery_method") == "AST") & lined & (F.coalesce("location.snippet", F.lit("")) != "")
@@ -145,7 +170,7 @@ def fold_profiles(normalized: DataFrame) -> DataFrame:
     first = lambda value: F.min(
         F.when(F.col(value).isNotNull(), F.struct(seq.alias("seq"), fid.alias("id"), F.col(value).alias("value")))
     )
-    return df.groupBy("path_key", "profile_id", *ATTRIBUTES, "wide", "line").agg(
+    return df.groupBy(*_PROFILE).agg(
         F.min(F.struct(seq.alias("seq"), fid.alias("id"))).alias("first_key"),
         F.count(F.lit(1)).alias("n"),
         F.sum(score).alias("score_sum"),
@@ -391,9 +416,16 @@ def _uneven_paths(profiles: DataFrame) -> DataFrame:
     return level.join(lined, "path_key")
 
 
+# What only normalising reads; neither profiles nor evidence hold it.
+_RAW = [
+    "scanner_version", "discovered_at", "suspected_algorithm", "artifact_category", "library_hint", "key_size_hint",
+    "mode_hint", "curve_hint", "raw_parameters",
+]
+
+
 @dataclass
 class Clustered:
-    """Findings with their profile, the folded profiles, and the cluster of each profile."""
+    """Findings (without the hints they were normalised from) with their profile, the folded profiles, and the cluster of each profile."""
 
     profiled: DataFrame
     profiles: DataFrame
@@ -401,11 +433,13 @@ class Clustered:
 
 
 def assign_clusters(normalized: DataFrame) -> Clustered:
-    """Clusters all findings. The profiles are written once to the checkpoint folder: piece
-    finding, clustering and merging all read them. Findings of uneven paths (none, as far
-    as the scanners go) are not folded but keep a profile each."""
-    profiled = normalized if "profile_id" in normalized.columns else with_profile(normalized)
-    profiles = checkpointed(fold_profiles(profiled))
+    """Clusters all findings. Findings with their profile and the folded profiles are written
+    once to the checkpoint folder: folding and evidence read the findings; piece finding,
+    clustering and merging the profiles. A table that has profiles is taken to be written.
+    Findings of uneven paths (none, as far as the scanners go) are not folded but keep a
+    profile each."""
+    profiled = normalized if "profile_id" in normalized.columns else checkpointed(with_profile(normalized.drop(*_RAW)))
+    profiles = checkpointed(fold_dealt(profiled))
     if not _level_libraries(profiles).isEmpty():
         uneven = checkpointed(_uneven_paths(profiles))
         flagged = uneven.withColumn("_uneven", F.lit(True))

@@ -29,7 +29,9 @@ def merge_clusters(profiles: DataFrame, clusters: DataFrame) -> DataFrame:
     Evidence stays a table of its own (``asset_evidence``) rather than a list inside the
     asset row, since one cluster may hold any share of all findings.
     """
-    df = profiles.join(clusters, ["path_key", "profile_id"])
+    # Dealt by cluster before, rows are sorted and merged once; a cluster is part of a piece,
+    # which one task has clustered.
+    df = profiles.join(clusters, ["path_key", "profile_id"]).repartition(*_CLUSTER)
     named = F.col("algorithm") != "Unknown Algorithm"
     known = F.col("primitive_type") != "UNKNOWN"
     grouped = df.groupBy(*_CLUSTER).agg(

@@ -42,14 +42,13 @@ def analyse(
 ) -> dict[str, DataFrame]:
     """Every stage table and report of a table of findings.
 
-    Findings and assets feed several branches, so both are written once to the checkpoint
-    folder; all else is lazy. X, Y and Z apply to every asset that has no inputs of its own;
+    Normalised findings and assets feed several branches, so both are written once to the
+    checkpoint folder; all else is lazy. X, Y and Z apply to every asset that has no inputs of its own;
     a missing value is never taken for zero. Inputs that are no valid duration are left out
     and returned as ``invalid_durations``. Every asset is assessed, also where two share an id.
     """
     _checked(x=x, y=y, z=z)
-    normalized = checkpointed(normalize(findings))
-    assets, evidence = merge.build_assets(normalized)
+    assets, evidence = merge.build_assets(normalize(findings))
     assets = checkpointed(risk.with_risk(classify(assets)))
     config = timeline.TimelineConfig(
         quantum_arrival_years=timeline.TimelineConfig().quantum_arrival_years if z is None else z,
