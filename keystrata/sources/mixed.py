@@ -85,10 +85,13 @@ def _parts(found: DataFrame, roots: tuple[str, ...]) -> DataFrame:
 
 
 def scan_files_mixed(found: DataFrame, roots: tuple[str, ...] = ("",), symbols: DataFrame | None = None, large: Scan | None = None) -> Scan:
-    """Scans files (path, name, length, content) of any kinds. ``symbols`` (path, symbol, dll,
+    """Scans files (path, name, length, content) of any kinds; a name or length that is not
+    given is that of the path or content. ``symbols`` (path, symbol, dll,
     binary_format) belong to the binaries among them; ``large`` is what was found elsewhere
     in files too large for a row."""
     spark = found.sparkSession
+    given = {"name": F.substring_index("path", "/", -1), "length": F.length("content").cast("long")}
+    found = found.withColumns({c: e for c, e in given.items() if c not in found.columns})
     seen = Observation()
     has = lambda t: F.array_contains("targets", t)
     count = lambda c: F.count_if(c)
