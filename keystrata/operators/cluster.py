@@ -156,9 +156,9 @@ def fold_dealt(profiled: DataFrame) -> DataFrame:
     counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     hot = checkpointed(counts.where(F.col("_n") >= HOT_PROFILE).select("_key"))
     if hot.isEmpty():
-        return _folded_by_key(keyed)
+        return _folded_by_key(profiled)
     # One row for each HOT_PROFILE findings at most, on which adaptive execution decides.
-    rest = _folded_by_key(keyed.join(hot, "_key", "left_anti"))
+    rest = _folded_by_key(keyed.join(hot, "_key", "left_anti").drop("_key"))
     return rest.unionByName(_folded(keyed.join(hot, "_key", "left_semi")))
 
 
@@ -168,8 +168,9 @@ def profile_key() -> Column:
     return F.xxhash64("path_key", "profile_id")
 
 
-def _folded_by_key(keyed: DataFrame) -> DataFrame:
-    return _folded(keyed.repartition(*_PROFILE), "_key").drop("_key")
+def _folded_by_key(profiled: DataFrame) -> DataFrame:
+    # The number is made from the dealt findings, so it is not shuffled with them.
+    return _folded(profiled.repartition(*_PROFILE).withColumn("_key", profile_key()), "_key").drop("_key")
 
 
 def _folded(df: DataFrame, *first_by: str) -> DataFrame:
