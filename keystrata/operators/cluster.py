@@ -228,7 +228,8 @@ def line_islands(df: DataFrame, keys: list[str], line: str = "line", gap: int =
     earlier = F.last("_anchor", ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1))
     entry = F.when(F.col("_joined"), earlier).otherwise(F.col("_first"))
     df = df.join(buckets.select(*keys, "_bucket", entry.alias("_entry")), [*keys, "_bucket"])
-    run = F.max("_break").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
+    # By range: rows of one line may have changed places since the break was found on one of them.
+    run = F.max("_break").over(inside.rangeBetween(W.unboundedPreceding, W.currentRow))
     return df.withColumn("island", F.coalesce(run, F.col("_entry"))).drop("_bucket", "_break", "_entry")
 
 

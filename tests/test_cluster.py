@@ -273,3 +273,10 @@ def test_components_are_named_the_same_in_any_order():
     frame_of = lambda rows: pd.DataFrame(rows, columns=[*cluster._KIND]).assign(boundless=False)
     named = lambda rows: {tuple(map(str, x[:4])): x[5] for x in cluster._components((), frame_of(rows)).itertuples(index=False)}
     assert named(kinds) == named(kinds[::-1]) == named(kinds[2:] + kinds[:2])
+
+
+def test_rows_of_one_line_share_their_island(spark):
+    rows = [(f"p{p}", line, n) for p in range(40) for line in (1, 2, 9, 10, 30) for n in range(30)]
+    df = spark.createDataFrame(rows, "path_key string, line int, n int").repartition(7)
+    got = {(r.line, r.island) for r in cluster.line_islands(df, ["path_key"]).distinct().collect()}
+    assert got == {(1, 1), (2, 1), (9, 9), (10, 9), (30, 30)}
