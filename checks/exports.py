@@ -64,10 +64,10 @@ def _flat(found: DataFrame) -> DataFrame:
 
 
 def _written(spark: SparkSession, sf: str, fmt: str) -> str:
-    """A document of all components with their location as the one occurrence."""
+    """A document of all components with their location as the one occurrence, packed."""
     parts, path = assets.component_table(spark, sf), target(spark)
     spots = parts.select("bom_ref", F.inline("evidence"))
-    documents.write_bom(components.document_header(spark), parts, spots, path, fmt)
+    documents.write_bom(components.document_header(spark), parts, spots, path, fmt, compressed=fmt == "json")
     return path
 
 

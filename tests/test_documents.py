@@ -1,5 +1,6 @@
 """Component documents: one valid file each, read back by plain parsers."""
 
+import gzip
 import json
 import os
 import xml.etree.ElementTree as ET
@@ -110,3 +111,37 @@ def test_exports_are_compressed(spark, tmp_path):
     parts = [x for d in ("csv", "json") for x in os.listdir(tmp_path / d) if x.startswith("part-")]
     assert parts and all(x.endswith(".gz") for x in parts)
     assert spark.read.json(str(tmp_path / "json")).select("name", "n").collect() == rows.collect()
+
+
+def test_packed_is_the_plain_document(spark, tables, tmp_path, monkeypatch):
+    """One gzip file that any tool unpacks, cut into members of whole components, and read back
+    as the plain document is; the plain text lies on no disk."""
+    monkeypatch.setattr(documents, "_MEMBER", 1)  # each batch of rows ends one
+    head, (parts, spots) = components.document_header(spark), tables
+    spots = spots.unionByName(spots.limit(1).withColumn("bom_ref", F.lit("of no component")))
+    schema = {"json": "`bom-ref` string, evidence struct<occurrences:array<struct<location:string,line:int,symbol:string>>>",
+              "xml": "`_bom-ref` string, evidence struct<occurrences:struct<occurrence:array<struct<location:string,line:int>>>>"}
+    for fmt, read in (("json", documents.read_bom), ("xml", documents.read_bom_xml)):
+        plain, packed = str(tmp_path / f"plain.{fmt}"), str(tmp_path / f"packed-{fmt}")
+        documents.write_bom(head, parts, spots, plain, fmt)
+        assert documents.write_bom(head, parts, spots, packed, fmt, compressed=True) == os.path.getsize(packed)
+        text = open(plain, "rb").read()
+        assert gzip.open(packed).read() == text and 5 * os.path.getsize(packed) < len(text)
+        for small in ("4096", None):  # bytes of a stretch: members cross its borders
+            if small:
+                spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+            try:
+                found = read(spark, packed, schema[fmt])
+                assert small is None or found.rdd.getNumPartitions() > 8
+                rows = sorted(str(r["component"]) for r in found.collect())
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            assert len(rows) == parts.count() and rows == sorted(str(r["component"]) for r in read(spark, plain, schema[fmt]).collect())
+
+
+def test_rows_are_dealt_once(spark, tables):
+    """Texts are neither counted nor joined before the document is sorted."""
+    parts, spots = tables
+    rows = documents.document_rows(components.document_header(spark), parts, spots)
+    assert "Aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString().replace("Aggregate [min", "")
+    assert "Join LeftSemi" not in rows._jdf.queryExecution().optimizedPlan().toString()
