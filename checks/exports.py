@@ -67,7 +67,7 @@ def _written(spark: SparkSession, sf: str, fmt: str) -> str:
     """A document of all components with their location as the one occurrence, packed."""
     parts, path = assets.component_table(spark, sf), target(spark)
     spots = parts.select("bom_ref", F.inline("evidence"))
-    documents.write_bom(components.document_header(spark), parts, spots, path, fmt, compressed=fmt == "json")
+    documents.write_bom(components.document_header(spark), parts, spots, path, fmt, compressed=True)
     return path
 
 
@@ -79,6 +79,6 @@ def _(spark, sf):
 
 @check("document_occurrences", A.with_ctes(*assets._C, select="SELECT asset_id AS bom_ref, file_path AS location, CAST(start_line AS INT) AS line FROM facts"))
 def _(spark, sf):
-    found = spark.read.schema("`_bom-ref` string, evidence struct<occurrences:struct<occurrence:array<struct<location:string,line:int>>>>")
-    found = found.format("xml").option("rowTag", "component").load(_written(spark, sf, "xml"))
+    component = "`_bom-ref` string, evidence struct<occurrences:struct<occurrence:array<struct<location:string,line:int>>>>"
+    found = documents.read_bom_xml(spark, _written(spark, sf, "xml"), component).select("component.*")
     return found.select(F.col("`_bom-ref`").alias("bom_ref"), F.inline("evidence.occurrences.occurrence"))
