@@ -59,3 +59,19 @@ def test_trigrams_cut_a_text_once(spark):
     """The text is not cut into characters again for each of them."""
     plan = spark.createDataFrame([("abc",)], "text string").select(textindex.trigrams(F.col("text")))._jdf.queryExecution().toString()
     assert "lambda" not in plan
+
+
+def test_postings_are_lists_of_numbers(spark, table, folder):
+    """Postings are written as lists for many rows each, without keys, and none is lost; lists
+    whose rows lie far apart are begun anew."""
+    lists = spark.read.parquet(f"{folder}/postings")
+    assert "key" not in lists.columns
+    grams = table.select(F.explode(textindex.trigrams(textindex._text(FIELDS, "path"))).alias("gram")).groupBy("gram").count()
+    assert {tuple(r) for r in spark.read.parquet(f"{folder}/grams").select("gram", "n").collect()} == {tuple(r) for r in grams.collect()}
+    assert lists.count() * 2 < lists.agg(F.sum(F.size("gaps"))).first()[0]
+    numbers = spark.createDataFrame([(1, 5, ["abc", "bcd"]), (0, 1 << 40, ["abc"]), (1, 7, ["abc"]), (1, 1 << 33, ["abc"]), (2, 9, [])], "slot int, number long, grams array<string>")
+    held = numbers.coalesce(1).mapInArrow(textindex._listed, "gram string, slot int, base long, gaps array<int>")
+    assert sorted((r["gram"], r["slot"], r["base"], r["gaps"]) for r in held.collect()) == [
+        ("abc", 0, 1 << 40, [0]), ("abc", 1, 5, [0, 2]), ("abc", 1, 1 << 33, [0]), ("bcd", 1, 5, [0])]
+    single = held.where("gram = 'abc'").select("slot", "base", "gaps").mapInArrow(textindex._single, "slot int, number long")
+    assert sorted(map(tuple, single.collect())) == [(0, 1 << 40), (1, 5), (1, 7), (1, 1 << 33)]
