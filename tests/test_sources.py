@@ -288,3 +288,29 @@ def test_tables_of_one_file_are_dealt_by_size(spark, tmp_path, monkeypatch):
     found = derived.table(spark, str(tmp_path), "orders")
     assert found.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     assert found.distinct().count() == 20_000
+
+
+def test_patterns_are_tried_where_they_may_match(spark):
+    """What a pattern's matches hold is looked for first, and loses none of them, in any case and
+    with letters that only count as such in another case."""
+    import random
+    import re
+
+    from keystrata.dims import patterns
+
+    one = [r for r in patterns.pattern_rows() if r["pattern"] not in patterns.MULTILINE]
+    assert set(patterns.HOLDS) == {r["pattern"] for r in one}
+    names = ["rsa", "rsa-2048", "aes", "aes-256-gcm", "AES_128", "aes192", "sha256", "sha-512", "SHA_1", "sha384", "sha3", "sha-3-256", "md5", "MD-5", "3des", "des-ede3", "tripledes",
+             "tdea", "des", "ecdsa", "ec-dsa", "elliptic curve", "secp256r1", "secp521r1", "prime256v1", "ecdhe", "x25519", "x448", "ed25519", "edwards25519", "eddsa", "pkcs1", "pkcs1-oaep",
+             "oaep", "pss", "rsaes", "rsassa", "aes.mode_gcm", "hmac-sha256", "hmac", "rc4", "arcfour", "arc4", "tls_rsa_with_aes_128", "sslv3", "ssl2", "tlsv1", "tls_v1_0", "tlsv1.0",
+             "tlsv1_client_method", "pbkdf2-hmac", "pbkdf2hma", "bcrypt", "argon2id", "scrypt", "ml-kem", "mlkem", "crystals-kyber", "kyber", "ml_dsa", "dilithium", "crystals_dilithium",
+             "slh-dsa", "slhdsa", "sphincs+", "none"]
+    r = random.Random(4)
+    case = lambda s: "".join(r.choice([c.upper(), c]) for c in s)
+    texts = [" ".join(case(n) for n in r.sample(names, 3)) for _ in range(600)] + ["R\u017fA \u017fha256", "\u212ayber", "ell\u0131pt\u0131c curve"]
+    files = spark.createDataFrame([(str(i), "python", t) for i, t in enumerate(texts)], "path string, analyzer string, text string")
+    got = sorted((x["path"], x["pattern"], x["symbol"]) for x in repository.pattern_hits(files).collect())
+    want = sorted((str(i), p["pattern"], m[0]) for i, t in enumerate(texts[:600]) for p in one for m in re.finditer(p["regex"], t, re.I))
+    assert [x for x in got if int(x[0]) < 600] == want and len(want) > 1500
+    assert {x[1] for x in got if int(x[0]) >= 600} == {"RSA_generic", "SHA256_variants", "ML_KEM_identifier", "ECDSA_variants"}
+    assert {x[1] for x in want} == set(patterns.HOLDS)
