@@ -1,11 +1,11 @@
 """A stored trigram index for substring search over listings.
 
 ``build`` writes three tables below a folder: the rows, with a number for each key, in slots by
-a hash of the key; for every three characters that occur in a row's searched text a posting, in buckets by
-trigram; and how many rows have each trigram. ``find`` looks up the rarest trigrams of the
-needle, intersects their postings, reads only the slots that hold what is left, and verifies
-there by the search that would scan everything. So its result is that of the scan, while what
-it reads hangs on the hits.
+a hash of the key; for every three characters that occur in a row's searched text a posting,
+in buckets by trigram; and how many rows have each trigram. ``find`` looks up the rarest
+trigrams of the needle, intersects their postings, reads only the slots that hold what is
+left, and verifies there by the search that would scan everything. So its result is that of
+the scan, while what it reads hangs on the hits.
 
 A posting is the key's number, of which a stretch of rows gives one list of gaps for each of
 its trigrams: lists are dealt and written, not single postings, and no key is written again.
